@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 VIEWS: dict[str, tuple[str, str]] = {
     "bars": ("", """
 daily AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS d, round(sum(l_extendedprice), 2) AS ext,
@@ -114,6 +116,27 @@ def half_up(sql: str) -> str:
     return out + sql[i:]
 
 
+def doubles(sql: str) -> str:
+    """Decimal literals as doubles: 0.05 is an exact DECIMAL in SQL but a binary double in Spark's Python API."""
+    return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", sql)
+
+
+def ewm(x: str, alpha: float | str, first: int = 1, rn: str = "rn", over: str = "w") -> str:
+    """Recursive exponential average as one running sum (short histories only)."""
+    k = f"({rn} - {first})"
+    return (f"(CASE WHEN {k} >= 0 THEN pow(1.0 - {alpha}, {k}) * sum(CASE WHEN {k} = 0 THEN ({x}) WHEN {k} > 0 THEN "
+            f"{alpha} * ({x}) * pow(1.0 - {alpha}, -{k}) END) OVER ({over} ROWS UNBOUNDED PRECEDING) END)")
+
+
+def full(agg: str, n: int, x: str | None = None, over: str = "w") -> str:
+    """agg over the last n rows, null until n non-null values are there; agg may use {} for extra arguments."""
+    x = x or agg[agg.index("(") + 1:agg.rindex(")")]
+    return f"(CASE WHEN count({x}) OVER ({over} ROWS {n - 1} PRECEDING) = {n} THEN {agg} OVER ({over} ROWS {n - 1} PRECEDING) END)"
+
+
+W = "WINDOW w AS (PARTITION BY ticker ORDER BY d)"
+
+
 def with_views(views: str, body: str, ctes: str = "") -> str:
     """WITH <views and their inputs>, <ctes> <body>."""
     order: list[str] = []
@@ -128,4 +151,4 @@ def with_views(views: str, body: str, ctes: str = "") -> str:
     for v in views.split():
         add(v)
     parts = [VIEWS[v][1].strip() for v in order] + ([ctes.strip().rstrip(",")] if ctes.strip() else [])
-    return half_up(f"WITH {', '.join(parts)}\n{body.strip()}" if parts else body.strip())
+    return half_up(doubles(f"WITH {', '.join(parts)}\n{body.strip()}" if parts else body.strip()))

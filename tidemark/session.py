@@ -24,6 +24,7 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
         b.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
