@@ -55,6 +55,11 @@ def with_returns(bars: DataFrame) -> DataFrame:
     )
 
 
+def with_tail(b: DataFrame) -> DataFrame:
+    """Adds k, the distance from the newest row of the ticker (0 = newest), to the output of with_returns."""
+    return b.withColumn("k", F.count(F.lit(1)).over(whole()) - F.col("rn"))
+
+
 def latest(df: DataFrame, key=KEY, order=DAY, n: int = 1) -> DataFrame:
     """The newest n rows per key. The rank filter is pushed below the shuffle as a per-task top-n."""
     keys = [key] if isinstance(key, str) else key

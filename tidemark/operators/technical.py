@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ewm import span, with_ewm
+from tidemark.functions.ewm import span, with_ewm, with_ewms
 from tidemark.functions.frames import between, by, full, last_n, running
 
 C, H, L, O, V, R = (F.col(x) for x in ("c", "h", "l", "o", "v", "r"))
@@ -93,9 +93,9 @@ def rsi(b: DataFrame, periods=(7, 14, 21)) -> DataFrame:
     delta = C - lagged("c", 1)
     df = b.withColumn("_g", F.coalesce(F.greatest(delta, F.lit(0.0)), F.lit(0.0))).withColumn(
         "_l", F.coalesce(F.greatest(-delta, F.lit(0.0)), F.lit(0.0)))
+    df = with_ewms(df, {**{f"_ag{n}": ("_g", 1.0 / n) for n in periods}, **{f"_al{n}": ("_l", 1.0 / n) for n in periods}})
     for n in periods:
-        df = with_ewm(with_ewm(df, "_ag", "_g", 1.0 / n), "_al", "_l", 1.0 / n)
-        df = df.withColumn(f"rsi_{n}", 100 - 100 / (1 + F.col("_ag") / (F.col("_al") + EPS)))
+        df = df.withColumn(f"rsi_{n}", 100 - 100 / (1 + F.col(f"_ag{n}") / (F.col(f"_al{n}") + EPS)))
         df = df.withColumn(f"rsi_{n}_slope", F.col(f"rsi_{n}") - lagged(f"rsi_{n}", 5))
     for n in (5, 14, 21):
         g, lo = F.sum("_g").over(last_n(n)), F.sum("_l").over(last_n(n))
@@ -104,7 +104,7 @@ def rsi(b: DataFrame, periods=(7, 14, 21)) -> DataFrame:
 
 
 def macd(b: DataFrame) -> DataFrame:
-    df = with_ewm(with_ewm(b, "_e12", "c", span(12)), "_e26", "c", span(26))
+    df = with_ewms(b, {"_e12": ("c", span(12)), "_e26": ("c", span(26))})
     df = df.withColumn("macd", F.col("_e12") - F.col("_e26"))
     df = with_ewm(df, "macd_signal", "macd", span(9)).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
     return df.select("ticker", "d", "macd", "macd_signal", "macd_hist",
@@ -128,9 +128,9 @@ def true_range() -> Column:
 
 
 def atr(b: DataFrame) -> DataFrame:
-    df = b.withColumn("tr", true_range())
+    df = with_ewms(b.withColumn("tr", true_range()), {f"atr_{n}": ("tr", span(n)) for n in (14, 21)})
     for n in (14, 21):
-        df = with_ewm(df, f"atr_{n}", "tr", span(n)).withColumn(f"atr_{n}_normalized", F.col(f"atr_{n}") / C)
+        df = df.withColumn(f"atr_{n}_normalized", F.col(f"atr_{n}") / C)
     return df.withColumn("atr_sma_14", full(F.avg, "tr", 14)).withColumn("atr_pct", F.col("atr_sma_14") / C * 100)
 
 
@@ -141,7 +141,7 @@ def adx(b: DataFrame) -> DataFrame:
     df = df.withColumn("_p", F.when(F.col("_up") > F.col("_dn"), F.col("_up")).otherwise(0.0))
     df = df.withColumn("_m", F.when(F.col("_up") > F.col("_dn"), 0.0).otherwise(F.col("_dn")))
     a = span(14)
-    df = with_ewm(with_ewm(with_ewm(df, "_atr", "tr", a), "_ps", "_p", a), "_ms", "_m", a, first=2)
+    df = with_ewm(with_ewms(df, {"_atr": ("tr", a), "_ps": ("_p", a)}), "_ms", "_m", a, first=2)
     df = df.withColumn("di_plus", 100 * F.col("_ps") / (F.col("_atr") + EPS)).withColumn("di_minus", 100 * F.col("_ms") / (F.col("_atr") + EPS))
     df = df.withColumn("_dx", 100 * F.abs(F.col("di_plus") - F.col("di_minus")) / (F.col("di_plus") + F.col("di_minus") + EPS))
     return with_ewm(df, "adx", "_dx", a, first=2).withColumn("trend_strength", F.col("adx") / 100)
@@ -191,11 +191,8 @@ def obv_vpt(b: DataFrame) -> DataFrame:
 
 
 def ma_ema_cross(b: DataFrame, periods=(5, 10, 20, 50, 100, 200)) -> DataFrame:
-    df = b
-    for n in periods:
-        df = with_ewm(df.withColumn(f"sma_{n}", full(F.avg, C, n)), f"ema_{n}", "c", span(n))
-        df = df.withColumn(f"price_vs_sma_{n}", C / (F.col(f"sma_{n}") + EPS) - 1)
-        df = df.withColumn(f"price_vs_ema_{n}", C / (F.col(f"ema_{n}") + EPS) - 1)
+    df = with_ewms(b.select("*", *[full(F.avg, C, n).alias(f"sma_{n}") for n in periods]), {f"ema_{n}": ("c", span(n)) for n in periods})
+    df = df.select("*", *[(C / (F.col(f"{m}_{n}") + EPS) - 1).alias(f"price_vs_{m}_{n}") for n in periods for m in ("sma", "ema")])
     s50, s200 = F.col("sma_50"), F.col("sma_200")
     return df.withColumn("golden_cross", F.when(s50 > s200, 1).otherwise(-1)).withColumn("golden_cross_distance", (s50 - s200) / (s200 + EPS))
 

@@ -17,6 +17,10 @@ bars AS (SELECT ticker, d, o, round(greatest(o, c) * (1 + 0.01 * (n % 3)), 4) AS
     "rets": ("bars", """
 rets AS (SELECT *, row_number() OVER w AS rn, c / lag(c) OVER w - 1 AS r, ln(c / lag(c) OVER w) AS lr
     FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d))"""),
+    "tails": ("rets", "tails AS (SELECT *, count(*) OVER (PARTITION BY ticker) - rn AS k FROM rets)"),
+    "fret": ("rets", """
+fret AS (SELECT d, n_regionkey AS f, round(avg(r), 8) AS fr FROM rets JOIN supplier ON ticker = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+    WHERE r IS NOT NULL GROUP BY 1, 2)"""),
     "bench": ("rets", """
 bench_m AS (SELECT d, coalesce(round(avg(r), 8), 0.0) AS m FROM rets GROUP BY d),
 bench AS (SELECT d, round(100 * exp(sum(ln(1 + m)) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING)), 4) AS c FROM bench_m)"""),

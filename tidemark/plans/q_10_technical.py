@@ -108,7 +108,7 @@ reg("obv_vpt", "ticker d obv:2 vpt:5 obv_trend obv_momentum obv_vs_mean vpt_tren
     obv / nullif(lag(obv, 20) OVER w, 0) - 1 AS obv_momentum, obv / nullif({full('avg(obv)', 20)}, 0) - 1 AS obv_vs_mean, vpt - lag(vpt, 10) OVER w AS vpt_trend
     FROM ob {W}""", T.obv_vpt, ctes=OB)
 P = (5, 10, 20, 50, 100, 200)
-reg("ma_ema_cross", "ticker d " + " ".join(f"sma_{n}:4 ema_{n}:5 price_vs_sma_{n} price_vs_ema_{n}" for n in P) + " golden_cross:i golden_cross_distance",
+reg("ma_ema_cross", "ticker d " + " ".join(f"sma_{n}:7 ema_{n}:5 price_vs_sma_{n} price_vs_ema_{n}" for n in P) + " golden_cross:i golden_cross_distance",
     "SELECT *, " + ", ".join(f"c / (sma_{n} + 1e-10) - 1 AS price_vs_sma_{n}, c / (ema_{n} + 1e-10) - 1 AS price_vs_ema_{n}" for n in P)
     + ", CASE WHEN sma_50 > sma_200 THEN 1 ELSE -1 END AS golden_cross, (sma_50 - sma_200) / (sma_200 + 1e-10) AS golden_cross_distance FROM (SELECT ticker, d, c, "
     + ", ".join(f"{full('avg(c)', n)} AS sma_{n}, {ewm('c', f'(2.0/{n + 1})')} AS ema_{n}" for n in P) + f" FROM rets {W})", T.ma_ema_cross)

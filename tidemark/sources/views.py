@@ -206,3 +206,11 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.col("ticker") % 9 == 0
     reason = F.element_at(F.array(*[F.lit(x) for x in DELIST_REASONS]), ((F.col("ticker") / 9).cast("int") % 6 + 1).cast("int"))
     return g.select("ticker", "ipo", F.when(gone, F.col("last_d")).alias("delist"), F.when(gone, reason).alias("reason"))
+
+
+def factor_returns(spark: SparkSession, sf_dir: str, rets: DataFrame) -> DataFrame:
+    """d, f, fr: mean return of the instruments of each region; a handful of factor series."""
+    sup, nat = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    m = sup.join(nat, sup.s_nationkey == nat.n_nationkey).select(F.col("s_suppkey").alias("ticker"), F.col("n_regionkey").alias("f"))
+    return (rets.where("r is not null").select("ticker", "d", "r").join(m, "ticker").groupBy("d", "f")
+            .agg(rnd(F.avg("r"), 8).alias("fr")))
