@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
+def _carry(decay: float):
+    return lambda acc, x: acc * decay + x
+
+
 def with_ewms(df: DataFrame, specs: dict[str, tuple[str, float]], key="ticker", order="d", rn: str = "rn",
               first: int = 1) -> DataFrame:
     """Adds one recursive (adjust=False) average per entry {out: (value column, alpha)}, started at row number `first`
@@ -39,7 +43,7 @@ def with_ewms(df: DataFrame, specs: dict[str, tuple[str, float]], key="ticker",
     df = df.select("*", *tails)
     outs = []
     for out, (_, a) in specs.items():
-        carry = F.aggregate("_tail_" + out, F.lit(0.0), lambda acc, x, a=a: acc * (1.0 - a) ** BLOCK + x)
+        carry = F.aggregate("_tail_" + out, F.lit(0.0), _carry((1.0 - a) ** BLOCK))
         y = F.coalesce(F.col("_loc_" + out), F.lit(0.0)) + F.when(F.col("_blk") > 0, carry * powq(a, F.col("_pos") + 1)).otherwise(0.0)
         outs.append(F.when(live, y).alias(out))
     drop = ["_pos", "_blk", *["_loc_" + o for o in specs], *["_tail_" + o for o in specs]]

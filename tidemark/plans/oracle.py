@@ -99,7 +99,7 @@ chain AS (SELECT p_brand AS underlying, round(p_retailprice / 10) * 10 AS strike
     "membership": ("", """
 mem0 AS (SELECT l_suppkey AS ticker, CAST(min(l_shipdate) AS DATE) AS ipo, CAST(max(l_shipdate) AS DATE) AS last_d FROM lineitem GROUP BY 1),
 membership AS (SELECT ticker, ipo, CASE WHEN ticker % 9 = 0 THEN last_d END AS delist, CASE WHEN ticker % 9 = 0 THEN
-    ['bankruptcy', 'regulatory', 'acquisition', 'merger', 'voluntary', 'other'][CAST(floor(ticker / 9) AS BIGINT) % 6 + 1] END AS reason FROM mem0)"""),
+    ['bankruptcy', 'performance', 'acquisition', 'merger', 'voluntary', 'exchange_transfer'][CAST(floor(ticker / 9) AS BIGINT) % 6 + 1] END AS reason FROM mem0)"""),
 }
 
 

@@ -35,9 +35,9 @@ reg("vol_percentile", "ticker vol_percentile vol_below current_vol", f"""SELECT
 reg("vol_term_structure", "ticker horizon:i vol", """SELECT ticker, horizon, sqrt(greatest(lrv + pow(p, horizon) * (v0 - lrv), 0.0) * 252) AS vol FROM
     (SELECT ticker, arg_max(r * r, d) AS v0, 0.98 AS p, 0.000002 / (1 - 0.98 + 1e-10) AS lrv FROM rets WHERE r IS NOT NULL GROUP BY ticker), (SELECT unnest([1, 5, 10, 21, 42, 63, 126, 252]) AS horizon)""",
     lambda b: X.vol_term_structure(b, 0.000002, 0.05, 0.04, 0.91))
-HURST = """lags AS (SELECT unnest(range(2, 100)) AS lag), nn AS (SELECT ticker, count(r) AS n FROM rets GROUP BY 1),
+HURST = """lags AS (SELECT unnest(range(2, 100)) AS lag), nn AS (SELECT ticker, count(r) AS nn FROM rets GROUP BY 1),
 ch AS (SELECT r.ticker, lag, (rn - 2) // lag AS ch, rn, r, avg(r) OVER p AS m, stddev_pop(r) OVER p AS sd FROM rets r JOIN nn USING (ticker), lags
-    WHERE rn >= 2 AND ((rn - 2) // lag) * lag < n - lag WINDOW p AS (PARTITION BY r.ticker, lag, (rn - 2) // lag)),
+    WHERE rn >= 2 AND ((rn - 2) // lag) * lag < nn - lag WINDOW p AS (PARTITION BY r.ticker, lag, (rn - 2) // lag)),
 cu AS (SELECT ticker, lag, ch, sd, sum(r - m) OVER (PARTITION BY ticker, lag, ch ORDER BY rn ROWS UNBOUNDED PRECEDING) AS dev FROM ch),
 rs AS (SELECT ticker, lag, avg(x) AS x FROM (SELECT ticker, lag, ch, (max(dev) - min(dev)) / (max(sd) + 1e-10) AS x FROM cu GROUP BY 1, 2, 3) GROUP BY 1, 2),
 h1 AS (SELECT ticker, greatest(least(regr_slope(ln(x), ln(lag)), 1.0), 0.0) AS hurst FROM rs GROUP BY 1),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.frames import by, rnd, running, whole
 
 METRICS = ["revenue", "cost_of_revenue", "gross_profit", "net_income", "op_cash_flow", "assets", "liabilities", "shares"]
-DELIST_REASONS = ["bankruptcy", "regulatory", "acquisition", "merger", "voluntary", "other"]
+DELIST_REASONS = ["bankruptcy", "performance", "acquisition", "merger", "voluntary", "exchange_transfer"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
