@@ -25,8 +25,10 @@ def avg_rank(value, key, ) -> Column:
 def with_rank_stats(df: DataFrame, keys: list[str], value: str, bins: int = 512, prefix: str = "") -> DataFrame:
     """Adds n (non-null values of the group), n_less and n_equal (self included) as long columns.
 
-    Exact for any distribution: binning only decides where the counting happens.
+    Exact for any distribution: binning only decides where the counting happens. The input is read by several branches,
+    so it is kept (memory, then disk) for the time of the query.
     """
+    df = df.persist()
     n, less, eq = prefix + "n", prefix + "n_less", prefix + "n_equal"
     kb = [F.col(k) for k in keys] or [F.lit(1).alias("_all")]
     kn = keys or ["_all"]

@@ -17,8 +17,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     Of several right rows with one timestamp the one with the greatest `values` tuple is used."""
     cols = left.columns
     ls = left.select(F.struct(*cols).alias("_row"), F.col(key).alias("_k"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
-                     F.lit(None).cast(right.select(F.struct(right_ts, *values).alias("x")).schema["x"].dataType).alias("_v"))
-    rs = right.groupBy(F.col(key).alias("_k"), F.col(right_ts).alias("_t")).agg(F.max(F.struct(right_ts, *values)).alias("_v"))
+                     F.lit(None).cast(right.select(F.struct(F.col(right_ts).alias("_ts"), *values).alias("x")).schema["x"].dataType).alias("_v"))
+    rs = right.groupBy(F.col(key).alias("_k"), F.col(right_ts).alias("_t")).agg(F.max(F.struct(F.col(right_ts).alias("_ts"), *values)).alias("_v"))
     rs = rs.select(F.lit(None).cast(ls.schema["_row"].dataType).alias("_row"), "_k", "_t", F.lit(0).alias("_side"), "_v")
     u = ls.unionByName(rs)
     if bucket is None:

@@ -156,3 +156,27 @@ def with_views(views: str, body: str, ctes: str = "") -> str:
         add(v)
     parts = [VIEWS[v][1].strip() for v in order] + ([ctes.strip().rstrip(",")] if ctes.strip() else [])
     return half_up(doubles(f"WITH {', '.join(parts)}\n{body.strip()}" if parts else body.strip()))
+
+
+def sql_horner(coef, x: str) -> str:
+    acc = ""
+    for c in coef:
+        acc = f"{c!r}" if not acc else f"({acc} * {x} + {c!r})"
+    return acc
+
+
+def sql_norm_cdf(x: str) -> str:
+    from tidemark.functions.normal import CDF_DEN, CDF_NUM
+
+    a = f"abs({x})"
+    tail = f"(CASE WHEN {a} > 7.07 THEN 0.0 ELSE exp(-{a} * {a} / 2) * {sql_horner(CDF_NUM, a)} / {sql_horner(CDF_DEN, a)} END)"
+    return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+def sql_norm_ppf(p: str) -> str:
+    from tidemark.functions.normal import PPF_A, PPF_B, PPF_C, PPF_D, PPF_LOW
+
+    q, r = f"({p} - 0.5)", f"(({p} - 0.5) * ({p} - 0.5))"
+    lo, hi = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    return (f"(CASE WHEN {p} <= 0 OR {p} >= 1 THEN NULL WHEN {p} < {PPF_LOW} THEN {sql_horner(PPF_C, lo)} / {sql_horner(PPF_D, lo)} "
+            f"WHEN {p} <= {1 - PPF_LOW!r} THEN {sql_horner(PPF_A, r)} * {q} / {sql_horner(PPF_B, r)} ELSE -{sql_horner(PPF_C, hi)} / {sql_horner(PPF_D, hi)} END)")
