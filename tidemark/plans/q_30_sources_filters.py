@@ -12,7 +12,7 @@ from tidemark.sources import views as V
 
 
 def reg(name, cols, views, sql, fn, ctes=""):
-    query(name, cols, with_views(views, sql, ctes))(fn)
+    query(name, cols, with_views(views, sql, ctes) if sql else None)(fn)
 
 
 reg("bars_scan", "ticker d o:4 h:4 l:4 c:4 v:2", "bars", "SELECT * FROM bars WHERE d BETWEEN DATE '1996-03-01' AND DATE '1999-06-30'",
