@@ -92,12 +92,12 @@ reg("fact_extraction", "doc_id:i pos:i fact:s grp:s", "", None, lambda s, d: X.s
 
 def filings_text(s, d):
     """A business section per supplier that lists the nations it ships to and the segments it meets."""
-    e = V.edges(s, d)
+    e = V.edges(s, d).withColumn("dst", F.replace("dst", F.lit("_"), F.lit("-")))
     g = e.groupBy("src").agg(F.array_join(F.array_sort(F.collect_set(F.when(c("tier") == 2, c("dst")))), ", ").alias("n"), F.array_join(F.array_sort(F.collect_set(F.when(c("tier") == 1, c("dst")))), " and ").alias("g"))
     return g.select("src", F.concat(F.lit("<p>We sell parts.</p> Our customers include "), c("n"), F.lit(". Our sales grew. We compete with "), c("g"), F.lit(". The end.")).alias("text"))
 
 
-reg("relationship_extraction", "src:i kind:s name:s", "edges", "SELECT src, CASE tier WHEN 2 THEN 'customer' ELSE 'competitor' END AS kind, dst AS name FROM edges WHERE lower(dst) NOT IN (" + ", ".join(f"'{w}'" for w in X.NOT_COMPANIES) + ")", lambda s, d: X.relationships(filings_text(s, d), "src", "text", [("customer", "customers include"), ("competitor", "compete with")]))
+reg("relationship_extraction", "src:i kind:s name:s", "edges", "SELECT src, CASE tier WHEN 2 THEN 'customer' ELSE 'competitor' END AS kind, replace(dst, '_', '-') AS name FROM edges WHERE lower(dst) NOT IN (" + ", ".join(f"'{w}'" for w in X.NOT_COMPANIES) + ")", lambda s, d: X.relationships(filings_text(s, d), "src", "text", [("customer", "customers include"), ("competitor", "compete with")]))
 
 # scalar and calendar functions
 reg("calendar_month_ends", "x:s", "", "SELECT last_day(CAST(m AS DATE)) AS x FROM (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders), LATERAL (SELECT unnest(generate_series(CAST(date_trunc('month', a) AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS m) WHERE last_day(CAST(m AS DATE)) BETWEEN a AND b",
