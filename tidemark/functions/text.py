@@ -22,14 +22,11 @@ SOURCE_WEIGHTS = {"reuters": 95, "bloomberg": 95, "wall street journal": 92, "ws
 HEDGES = ("could", "would", "might", "may ", "expects", "projected", "forecast", "if ", "should", "potential", "possible", "likely to", "aims to", "plans to", "hopes")
 
 
-def words(ws) -> Column:
-    return F.array(*[F.lit(w) for w in ws])
-
-
 def keyword_hits(text: Column, keywords) -> Column:
-    """Number of distinct keywords inside the text."""
+    """Number of distinct keywords inside the text. Spelled out as a sum so that the lowered text is one shared
+    subexpression of the generated code."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.size(F.filter(words(keywords), lambda k: F.contains(low, k)))
+    return sum((F.contains(low, F.lit(k)).cast("int") for k in keywords), F.lit(0))
 
 
 def has_any(text: Column, keywords) -> Column:
@@ -53,9 +50,8 @@ def materiality(title: Column, reason: Column, publisher: Column, material=None,
     """40, less 30 in passing, plus at most 45 from the first four material words, less 25 for lists, less 12 for wires."""
     material = MATERIAL if material is None else material
     t, r = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(reason, F.lit("")))
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in material.items()])
-    hits = F.slice(F.filter(pairs, lambda p: F.contains(t, p["k"]) | F.contains(r, p["k"])), 1, 4)
-    gain = F.least(F.aggregate(hits, F.lit(0), lambda a, p: a + p["v"]), F.lit(45))
+    found = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(k)) | F.contains(r, F.lit(k)), v) for k, v in material.items()]))
+    gain = F.least(F.aggregate(F.slice(found, 1, 4), F.lit(0), lambda a, v: a + v), F.lit(45))
     s = F.lit(40) - F.when(has_any(r, passing), 30).otherwise(0) + gain - F.when(has_any(t, fluff), 25).otherwise(0) - F.when(has_any(publisher, wires), 12).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.lit(100), s))
 

@@ -20,15 +20,35 @@ HORIZON_WEIGHTS = {
     "medium_term": {"quality": 0.35, "momentum": 0.25, "trend": 0.20, "accumulation": 0.20},
     "long_term": {"quality": 0.55, "trend": 0.20, "momentum": 0.15, "accumulation": 0.10},
 }
+HURST_LAGS = tuple(range(2, 50))
 REGIME_MULTIPLIER = {"calm": 1.10, "normal": 1.00, "elevated": 0.80, "panic": 0.50}
 
 
+def _lagged_slope(a: Column) -> Column:
+    """Slope of ln(deviation of lagged differences) on ln(lag), lags 2..49 of a year of closes at most. The lags are
+    fixed, so the regression is a weighted sum of the 48 logarithms."""
+    xs = [math.log(g) for g in HURST_LAGS]
+    mx = sum(xs) / len(xs)
+    sxx = sum((v - mx) ** 2 for v in xs)
+
+    def log_dev(g):
+        diff = F.zip_with(F.slice(a, g + 1, F.size(a)), F.slice(a, F.lit(1), F.size(a) - g), lambda p, q: p - q)
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+        m = F.aggregate(diff, zero, lambda t, x: F.struct((t["s"] + x).alias("s"), (t["q"] + x * x).alias("q")))
+        n = F.size(a) - g
+        return F.log(F.sqrt(m["q"] / n - (m["s"] / n) * (m["s"] / n)))
+
+    logs = F.transform(F.array(*[F.lit(g) for g in HURST_LAGS]), log_dev)
+    w = F.array(*[F.lit((v - mx) / sxx) for v in xs])
+    return F.aggregate(F.zip_with(logs, w, lambda y, k: y * k), F.lit(0.0), lambda t, v: t + v)
+
+
 def factor_inputs(b: DataFrame) -> DataFrame:
     """Raw momentum, accumulation and trend inputs of the newest bar of every ticker: one shuffle, one aggregation."""
     sign = F.coalesce(F.signum("r"), F.lit(0.0))
     flow = F.when(F.col("h") == F.col("l"), 0.0).otherwise(F.try_divide(2 * C - F.col("l") - F.col("h"), F.col("h") - F.col("l"))) * F.col("v")
     t = with_tail(b).withColumn("obv", F.sum(F.col("v") * sign).over(running())).withColumn("ad", F.sum(flow).over(running()))
-    t = t.withColumn("i", (-F.col("k")).cast("double"))
+    t = t.select("*", (-F.col("k")).cast("double").alias("i"), F.max(F.when(F.col("k") < 504, C)).over(running()).alias("hi504"))
     at = lambda k: F.max(F.when(F.col("k") == k, C))
     tail = lambda n, x: F.when(F.col("k") < n, x)
     slope = lambda y: F.regr_slope(tail(63, F.col(y)), tail(63, F.col("i")))
@@ -38,7 +58,9 @@ def factor_inputs(b: DataFrame) -> DataFrame:
         F.avg(tail(63, F.col("obv"))).alias("mo"), F.avg(tail(63, C)).alias("mc"), F.avg(tail(63, F.col("ad"))).alias("ma"),
         F.avg(tail(20, F.col("v"))).alias("v20"), F.avg(tail(90, F.col("v"))).alias("v90"), (F.avg(tail(60, F.abs(F.coalesce(R, F.lit(0.0))) / (C * F.col("v") + 1))) * 1e9).alias("amihud"),
         F.avg(tail(50, C)).alias("ma50"), F.avg(tail(200, C)).alias("ma200"), (F.stddev_samp(tail(252, R)) * ANN).alias("vol_12m"), F.max(tail(252, C)).alias("hi52"),
-        (F.avg(tail(504, R)) * 252).alias("mu2"), (F.stddev_samp(tail(504, R)) * ANN).alias("sd2"))
+        (F.avg(tail(504, R)) * 252).alias("mu2"), (F.stddev_samp(tail(504, R)) * ANN).alias("sd2"), F.abs(F.min(tail(504, C / F.col("hi504") - 1))).alias("max_dd_2y"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("k") < 252, F.struct("d", "c")))), lambda e: e["c"]).alias("last252"))
+    hurst = _lagged_slope(F.col("last252"))
     m3 = F.col("p0") / F.col("p63") - 1
     obv_slope, price_slope = F.col("so") / (F.abs("mo") + 1e-9), F.col("sc") / (F.col("mc") + 1e-9)
     ok = F.col("n") >= 252
@@ -49,12 +71,14 @@ def factor_inputs(b: DataFrame) -> DataFrame:
         obv_slope.alias("obv_slope"), (obv_slope - price_slope).alias("price_vol_divergence"), (F.col("v20") / F.col("v90")).alias("volume_surge"), "amihud",
         (F.col("sa") / (F.abs("ma") + 1e-9)).alias("ad_slope"), (F.col("p0") / F.col("ma50") - 1).alias("pct_above_ma50"), (F.col("p0") / F.col("ma200") - 1).alias("pct_above_ma200"),
         F.when((F.col("p0") > F.col("ma50")) & (F.col("ma50") > F.col("ma200")), 1).when((F.col("p0") < F.col("ma50")) & (F.col("ma50") < F.col("ma200")), -1).otherwise(0).alias("ma_alignment"),
-        F.when(v12 > 0, (F.col("p0") / F.col("p252") - 1) / v12).otherwise(0.0).alias("vol_adj_return"), (1 - F.col("p0") / F.col("hi52")).alias("dist_from_high"),
-        F.when(F.col("sd2") > 0, F.col("mu2") / F.col("sd2")).otherwise(0.0).alias("sharpe_2y"))
+        F.when(v12 > 0, (F.col("p0") / F.col("p252") - 1) / v12).otherwise(0.0).alias("vol_adj_return"), (1 - F.col("p0") / F.col("hi52")).alias("dist_from_high"), "max_dd_2y",
+        F.when(F.col("n") >= 100, clip(F.coalesce(hurst, F.lit(0.5)), 0, 1)).otherwise(0.5).alias("hurst"), F.when(F.col("sd2") > 0, F.col("mu2") / F.col("sd2")).otherwise(0.0).alias("sharpe_2y"))
 
 
 def factor_scores(raw: DataFrame) -> DataFrame:
-    """0..100 scores with the scanner weights and the back-test weights. raw: factor_inputs plus hurst."""
+    """0..100 scores with the scanner weights and the back-test weights. raw: factor_inputs."""
+    # one row per instrument, read many times by the score expressions: keep it instead of repeating the inputs inside them
+    raw = raw.persist()
     ls = linear_score
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     mom = (0.40 * ls(zero("mom_12_1"), -0.20, 0.50) + 0.25 * ls(zero("mom_6m"), -0.15, 0.30) + 0.20 * ls(zero("mom_3m"), -0.10, 0.20) + 0.15 * ls(zero("sharpe_3m"), -1.0, 2.0))
@@ -72,12 +96,6 @@ def factor_scores(raw: DataFrame) -> DataFrame:
                       F.when(F.col("n") >= 200, trend_bt).otherwise(50.0).alias("trend_bt"), qual.alias("quality"))
 
 
-def max_dd_2y(b: DataFrame) -> DataFrame:
-    """Deepest fall from the running high of the last 504 closes."""
-    t = with_tail(b).where("k < 504")
-    return t.withColumn("_m", F.max("c").over(running())).groupBy("ticker").agg(F.abs(F.min(C / F.col("_m") - 1)).alias("max_dd_2y"))
-
-
 def rank_by_horizon(scores: DataFrame) -> DataFrame:
     """Composite per horizon and its position (best first, ticker breaks ties). A horizon holds the whole universe, so the
     position is counted from value bins instead of sorting a horizon in one task."""

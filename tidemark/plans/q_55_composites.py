@@ -4,7 +4,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import composites as X
-from tidemark.operators.volatility import hurst_rs
 from tidemark.plans.q_10_technical import ANN, market, rets
 from tidemark.plans.q_20_volatility import HURST
 from tidemark.plans.q_30_sources_filters import CAP, reg
@@ -13,9 +12,7 @@ from tidemark.sources import views as V
 
 
 def scores(s, d):
-    b = rets(s, d)
-    h = hurst_rs(b).select("ticker", F.col("hurst_diff").alias("hurst"))
-    return X.factor_scores(X.factor_inputs(b).join(h, "ticker").join(X.max_dd_2y(b), "ticker"))
+    return X.factor_scores(X.factor_inputs(rets(s, d)))
 
 
 LS = lambda x, lo, hi: f"(CASE WHEN {x} IS NULL THEN 50 ELSE least(greatest(({x} - {lo}) / ({hi} - {lo}) * 100, 0.0), 100.0) END)"
