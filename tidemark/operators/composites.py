@@ -13,7 +13,6 @@ from tidemark.functions.scores import linear_score
 from tidemark.operators.filters import cap_tier
 
 ANN = math.sqrt(252)
-C, R = F.col("c"), F.col("r")
 # Horizon weights of the screen, signal quality weights, regime multipliers.
 HORIZON_WEIGHTS = {
     "short_term": {"momentum": 0.40, "accumulation": 0.30, "trend": 0.20, "quality": 0.10},
@@ -46,19 +45,19 @@ def _lagged_slope(a: Column) -> Column:
 def factor_inputs(b: DataFrame) -> DataFrame:
     """Raw momentum, accumulation and trend inputs of the newest bar of every ticker: one shuffle, one aggregation."""
     sign = F.coalesce(F.signum("r"), F.lit(0.0))
-    flow = F.when(F.col("h") == F.col("l"), 0.0).otherwise(F.try_divide(2 * C - F.col("l") - F.col("h"), F.col("h") - F.col("l"))) * F.col("v")
+    flow = F.when(F.col("h") == F.col("l"), 0.0).otherwise(F.try_divide(2 * F.col("c") - F.col("l") - F.col("h"), F.col("h") - F.col("l"))) * F.col("v")
     t = with_tail(b).withColumn("obv", F.sum(F.col("v") * sign).over(running())).withColumn("ad", F.sum(flow).over(running()))
-    t = t.select("*", (-F.col("k")).cast("double").alias("i"), F.max(F.when(F.col("k") < 504, C)).over(running()).alias("hi504"))
-    at = lambda k: F.max(F.when(F.col("k") == k, C))
+    t = t.select("*", (-F.col("k")).cast("double").alias("i"), F.max(F.when(F.col("k") < 504, F.col("c"))).over(running()).alias("hi504"))
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("c")))
     tail = lambda n, x: F.when(F.col("k") < n, x)
     slope = lambda y: F.regr_slope(tail(63, F.col(y)), tail(63, F.col("i")))
     g = t.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n"), F.count("r").alias("nr"), at(0).alias("p0"), at(20).alias("p21"), at(62).alias("p63"), at(125).alias("p126"), at(251).alias("p252"),
-        (F.stddev_samp(tail(63, R)) * ANN).alias("vol_3m"), slope("obv").alias("so"), slope("c").alias("sc"), slope("ad").alias("sa"),
-        F.avg(tail(63, F.col("obv"))).alias("mo"), F.avg(tail(63, C)).alias("mc"), F.avg(tail(63, F.col("ad"))).alias("ma"),
-        F.avg(tail(20, F.col("v"))).alias("v20"), F.avg(tail(90, F.col("v"))).alias("v90"), (F.avg(tail(60, F.abs(F.coalesce(R, F.lit(0.0))) / (C * F.col("v") + 1))) * 1e9).alias("amihud"),
-        F.avg(tail(50, C)).alias("ma50"), F.avg(tail(200, C)).alias("ma200"), (F.stddev_samp(tail(252, R)) * ANN).alias("vol_12m"), F.max(tail(252, C)).alias("hi52"),
-        (F.avg(tail(504, R)) * 252).alias("mu2"), (F.stddev_samp(tail(504, R)) * ANN).alias("sd2"), F.abs(F.min(tail(504, C / F.col("hi504") - 1))).alias("max_dd_2y"),
+        (F.stddev_samp(tail(63, F.col("r"))) * ANN).alias("vol_3m"), slope("obv").alias("so"), slope("c").alias("sc"), slope("ad").alias("sa"),
+        F.avg(tail(63, F.col("obv"))).alias("mo"), F.avg(tail(63, F.col("c"))).alias("mc"), F.avg(tail(63, F.col("ad"))).alias("ma"),
+        F.avg(tail(20, F.col("v"))).alias("v20"), F.avg(tail(90, F.col("v"))).alias("v90"), (F.avg(tail(60, F.abs(F.coalesce(F.col("r"), F.lit(0.0))) / (F.col("c") * F.col("v") + 1))) * 1e9).alias("amihud"),
+        F.avg(tail(50, F.col("c"))).alias("ma50"), F.avg(tail(200, F.col("c"))).alias("ma200"), (F.stddev_samp(tail(252, F.col("r"))) * ANN).alias("vol_12m"), F.max(tail(252, F.col("c"))).alias("hi52"),
+        (F.avg(tail(504, F.col("r"))) * 252).alias("mu2"), (F.stddev_samp(tail(504, F.col("r"))) * ANN).alias("sd2"), F.abs(F.min(tail(504, F.col("c") / F.col("hi504") - 1))).alias("max_dd_2y"),
         F.transform(F.sort_array(F.collect_list(F.when(F.col("k") < 252, F.struct("d", "c")))), lambda e: e["c"]).alias("last252"))
     hurst = _lagged_slope(F.col("last252"))
     m3 = F.col("p0") / F.col("p63") - 1
@@ -149,7 +148,7 @@ def ascent_score(m: DataFrame) -> DataFrame:
 def price_position(b: DataFrame, bench_3m: DataFrame) -> DataFrame:
     """Distance from the 252-row high and low, range position, three-month return over the benchmark's.
     bench_3m: one row (b3)."""
-    t = with_tail(b).where("k < 252").groupBy("ticker").agg(F.max("c").alias("hi"), F.min("c").alias("lo"), F.max(F.when(F.col("k") == 0, C)).alias("p0"), F.max(F.when(F.col("k") == 63, C)).alias("p63"))
+    t = with_tail(b).where("k < 252").groupBy("ticker").agg(F.max("c").alias("hi"), F.min("c").alias("lo"), F.max(F.when(F.col("k") == 0, F.col("c"))).alias("p0"), F.max(F.when(F.col("k") == 63, F.col("c"))).alias("p63"))
     return t.crossJoin(bench_3m).select("ticker", ((F.col("p0") / F.col("hi") - 1) * 100).alias("pct_from_high"), ((F.col("p0") / F.col("lo") - 1) * 100).alias("pct_from_low"),
                                         F.when(F.col("hi") > F.col("lo"), (F.col("p0") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 100).alias("range_percentile"),
                                         ((F.col("p0") / F.col("p63") - 1 - F.col("b3")) * 100).alias("relative_strength"))
@@ -157,7 +156,7 @@ def price_position(b: DataFrame, bench_3m: DataFrame) -> DataFrame:
 
 def gap_range(b: DataFrame) -> DataFrame:
     """Mean absolute overnight gap of 20 rows and intraday range of 5 rows against the 15 before."""
-    gap, rng = F.abs(F.col("o") / F.lag("c").over(by()) - 1), (F.col("h") - F.col("l")) / C
+    gap, rng = F.abs(F.col("o") / F.lag("c").over(by()) - 1), (F.col("h") - F.col("l")) / F.col("c")
     x = b.select("ticker", "d", "rn", gap.alias("g"), rng.alias("x"))
     base = F.avg("x").over(by().rowsBetween(-19, -5))
     return x.select("ticker", "d", full(F.avg, "g", 20).alias("gap_frequency"), F.when((F.col("rn") >= 30) & (base > 0), F.avg("x").over(last_n(5)) / base - 1).alias("range_expansion"))
@@ -179,7 +178,7 @@ def relative_strength(b: DataFrame, sector: DataFrame) -> DataFrame:
     x = b.join(sector, ["ticker", "d"])
     w = by()
     n = F.count(F.lit(1)).over(Window.partitionBy("ticker"))
-    x = x.select("ticker", "d", "c", "sc", (n - F.row_number().over(w)).alias("k"), (C / F.lag("c").over(w) - 1).alias("y"), (F.col("sc") / F.lag("sc").over(w) - 1).alias("x"))
+    x = x.select("ticker", "d", "c", "sc", (n - F.row_number().over(w)).alias("k"), (F.col("c") / F.lag("c").over(w) - 1).alias("y"), (F.col("sc") / F.lag("sc").over(w) - 1).alias("x"))
     at = lambda col, k: F.max(F.when(F.col("k") == k, F.col(col)))
     rs = lambda k: (at("c", 0) / at("c", k - 1) - 1) - (at("sc", 0) / at("sc", k - 1) - 1)
     inn = F.col("k") < 125
@@ -206,8 +205,8 @@ def support_resistance(levels: DataFrame, last: DataFrame, pct: float = 0.01) ->
 def expected_return(b: DataFrame, rf: float = 0.052, premium: float = 0.055, beta: float = 1.0) -> DataFrame:
     """Five annual return estimates and their fixed-weight mean."""
     t = with_tail(b)
-    g = t.groupBy("ticker").agg((F.avg("r") * 252).alias("mu_historical"), (F.avg(F.when(F.col("k") < 63, R)) * 252).alias("rec"), F.count("r").alias("n"),
-                                (F.max(F.when(F.col("k") == 0, C)) / F.avg(F.when(F.col("k") < 200, C)) - 1).alias("dist"))
+    g = t.groupBy("ticker").agg((F.avg("r") * 252).alias("mu_historical"), (F.avg(F.when(F.col("k") < 63, F.col("r"))) * 252).alias("rec"), F.count("r").alias("n"),
+                                (F.max(F.when(F.col("k") == 0, F.col("c"))) / F.avg(F.when(F.col("k") < 200, F.col("c"))) - 1).alias("dist"))
     h, capm = F.col("mu_historical"), rf + beta * premium
     mom = 0.4 * h + 0.6 * F.when(F.col("n") >= 63, F.col("rec")).otherwise(h)
     rev = h - 0.3 * F.col("dist")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.frames import between, by, clip, full, last_n
 from tidemark.functions.normal import norm_cdf
 
-C = F.col("c")
 
 
 def _first_touch(path: Column, hit) -> Column:
@@ -27,13 +26,13 @@ def triple_barrier(b: DataFrame, h: int = 10, pt: float = 1.5, sl: float = 1.5,
     """First touch on the close within h rows of p0(1 +- k vol sqrt(h)); profit is tested first; the last row is the time stop."""
     x = b.withColumn("vol", full(F.stddev_samp, "r", vol_rows)).withColumn("path", F.collect_list(F.struct("d", "c")).over(between(1, h)))
     x = x.where(F.col("vol").isNotNull() & (F.size("path") > 0))
-    up, lo = C * (1 + pt * F.col("vol") * h ** 0.5), C * (1 - sl * F.col("vol") * h ** 0.5)
+    up, lo = F.col("c") * (1 + pt * F.col("vol") * h ** 0.5), F.col("c") * (1 - sl * F.col("vol") * h ** 0.5)
     x = x.withColumn("up", up).withColumn("lo", lo)
     x = x.withColumn("iu", _first_touch(F.col("path"), lambda e: e["c"] >= F.col("up"))).withColumn("il", _first_touch(F.col("path"), lambda e: e["c"] <= F.col("lo")))
     i = F.coalesce(F.least("iu", "il"), F.size("path")).cast("int")
     kind = F.when(F.col("iu").isNull() & F.col("il").isNull(), "time").when(F.col("il").isNull() | (F.col("iu") < F.col("il")), "profit").otherwise("stop")
     x = x.withColumn("e", F.element_at("path", i)).withColumn("barrier", kind)
-    ret = F.col("e.c") / C - 1
+    ret = F.col("e.c") / F.col("c") - 1
     lab = F.when(F.abs(ret) < min_ret, 0).when(F.col("barrier") == "profit", 1).when(F.col("barrier") == "stop", -1).otherwise(0)
     return x.select("ticker", F.col("d").alias("t0"), F.col("e.d").alias("t1"), ret.alias("ret"), lab.alias("label"), "barrier", "vol")
 
@@ -47,10 +46,10 @@ def log_labels(b: DataFrame, horizons=(5, 21, 63, 252), mult: float = 2.0) -> Da
     x = x.select("*", *[F.lead("c", h).over(by()).alias(f"c{h}") for h in horizons]).where(F.col("s").isNotNull() & (F.col("s") > 0) & F.col(f"c{max(horizons)}").isNotNull())
     out = []
     for h in horizons:
-        end = F.log(F.col(f"c{h}") / C)
+        end = F.log(F.col(f"c{h}") / F.col("c"))
         if h <= 21:
             p = F.slice("path", 1, h)
-            iu, il = _first_touch(p, lambda e: e >= C * F.exp(mult * F.col("s"))), _first_touch(p, lambda e: e <= C * F.exp(-mult * F.col("s")))
+            iu, il = _first_touch(p, lambda e: e >= F.col("c") * F.exp(mult * F.col("s"))), _first_touch(p, lambda e: e <= F.col("c") * F.exp(-mult * F.col("s")))
             end = F.when(iu.isNull() & il.isNull(), end).when(il.isNull() | (iu < il), mult * F.col("s")).otherwise(-mult * F.col("s"))
         out.append(end.alias(f"label_{h}"))
     return x.select("ticker", "d", *out)
@@ -63,9 +62,9 @@ def touch_labels(b: DataFrame, days: int = 21, k: float = 1.0) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy(day).rangeBetween(1, days)
     x = b.withColumn("target", full(F.stddev_samp, "r", 21) * days ** 0.5).withColumn("path", F.collect_list("c").over(w)).where("target is not null and size(path) > 0")
     t = F.col("target")
-    x = x.withColumn("iu", _first_touch(F.col("path"), lambda e: e / C - 1 >= k * t)).withColumn("il", _first_touch(F.col("path"), lambda e: e / C - 1 <= -k * t))
+    x = x.withColumn("iu", _first_touch(F.col("path"), lambda e: e / F.col("c") - 1 >= k * t)).withColumn("il", _first_touch(F.col("path"), lambda e: e / F.col("c") - 1 <= -k * t))
     i = F.coalesce(F.least("iu", "il"), F.size("path")).cast("int")
-    x = x.withColumn("i", i).withColumn("ret", F.element_at("path", F.col("i")) / C - 1)
+    x = x.withColumn("i", i).withColumn("ret", F.element_at("path", F.col("i")) / F.col("c") - 1)
     timeout = (F.col("iu").isNull() & F.col("il").isNull()) | (F.col("i") == F.size("path"))
     return x.select("ticker", "d", "ret", F.when(F.abs("ret") < 0.1 * t, 0).otherwise(F.signum("ret")).cast("int").alias("label"), timeout.alias("timeout"))
 
@@ -126,7 +125,7 @@ def uniqueness(events: DataFrame, bars: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("ticker").orderBy("d")
     cum = w.rowsBetween(Window.unboundedPreceding, 0)
-    c = concurrency(events, bars).select("ticker", "d", F.sum("open_spans").over(cum).alias("s"), F.sum(1 / F.col("open_spans")).over(cum).alias("q"), F.row_number().over(w).alias("i"),
+    c = concurrency(events, bars).select("ticker", "d", F.sum("open_spans").over(cum).alias("s"), F.sum(F.coalesce(F.try_divide(F.lit(1.0), F.col("open_spans")), F.lit(0.0))).over(cum).alias("q"), F.row_number().over(w).alias("i"),
                                          F.col("open_spans").alias("o"))
     c = c.withColumn("v", F.struct("s", "q", "i"))
     from tidemark.operators.joins import asof_join
@@ -134,7 +133,7 @@ def uniqueness(events: DataFrame, bars: DataFrame) -> DataFrame:
     end = asof_join(events, c.select("ticker", "d", "v"), "ticker", "t1", "d", ["v"])
     j = end.join(c.select("ticker", F.col("d").alias("t0"), F.col("s").alias("s0"), F.col("q").alias("q0"), F.col("i").alias("i0"), "o"), ["ticker", "t0"])
     n = F.col("v.i") - F.col("i0") + 1
-    mean_o, mean_q = (F.col("v.s") - F.col("s0") + F.col("o")) / n, (F.col("v.q") - F.col("q0") + 1 / F.col("o")) / n
+    mean_o, mean_q = (F.col("v.s") - F.col("s0") + F.col("o")) / n, (F.col("v.q") - F.col("q0") + F.try_divide(F.lit(1.0), F.col("o"))) / n
     return j.select("ticker", "t0", "t1", (1 / F.greatest(mean_o, F.lit(1.0))).alias("tb_weight"), mean_q.alias("ma_weight"))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.normal import norm_pdf
 
-K, S = F.col("strike"), F.col("spot")
 
 
 def gamma_exposure(chain: DataFrame, spot: DataFrame, rate: float = 0.05) -> DataFrame:
@@ -15,8 +14,8 @@ def gamma_exposure(chain: DataFrame, spot: DataFrame, rate: float = 0.05) -> Dat
     x = chain.join(spot, "underlying").where("strike > 0 and days_to_expiry > 0 and iv > 0")
     t = F.col("days_to_expiry") / 365
     sd = F.col("iv") * F.sqrt(t)
-    d1 = (F.log(S / K) + (rate + F.col("iv") ** 2 / 2) * t) / sd
-    gex = norm_pdf(d1) / (S * sd) * (F.col("oi_call") - F.col("oi_put")) * 100 * S * S / 1e9
+    d1 = (F.log(F.col("spot") / F.col("strike")) + (rate + F.col("iv") ** 2 / 2) * t) / sd
+    gex = norm_pdf(d1) / (F.col("spot") * sd) * (F.col("oi_call") - F.col("oi_put")) * 100 * F.col("spot") * F.col("spot") / 1e9
     return x.withColumn("gex", gex)
 
 
@@ -44,17 +43,17 @@ def max_pain(chain: DataFrame) -> DataFrame:
     up = Window.partitionBy("underlying").orderBy(F.col("strike").desc()).rowsBetween(Window.unboundedPreceding, -1)
     dn = Window.partitionBy("underlying").orderBy("strike").rowsBetween(Window.unboundedPreceding, -1)
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    pain = z(F.sum(F.col("c") * K).over(up)) - K * z(F.sum("c").over(up)) + K * z(F.sum("p").over(dn)) - z(F.sum(F.col("p") * K).over(dn))
+    pain = z(F.sum(F.col("c") * F.col("strike")).over(up)) - F.col("strike") * z(F.sum("c").over(up)) + F.col("strike") * z(F.sum("p").over(dn)) - z(F.sum(F.col("p") * F.col("strike")).over(dn))
     return s.withColumn("pain", pain).groupBy("underlying").agg(F.min(F.struct("pain", "strike")).alias("m")).select("underlying", F.col("m.strike").alias("max_pain"), F.col("m.pain").alias("pain"))
 
 
 def iv_term_skew(chain: DataFrame, spot: DataFrame) -> DataFrame:
     """At-the-money volatility per expiry, mean volatility of the out-of-the-money bands, skew."""
     x = chain.join(spot, "underlying")
-    atm = x.groupBy("underlying", "days_to_expiry").agg(F.min_by("iv", F.struct(F.abs(K - S), K)).alias("atm_iv"))
+    atm = x.groupBy("underlying", "days_to_expiry").agg(F.min_by("iv", F.struct(F.abs(F.col("strike") - F.col("spot")), F.col("strike"))).alias("atm_iv"))
     x = x.join(atm, ["underlying", "days_to_expiry"])
-    r = S * F.col("atm_iv") * F.sqrt(F.col("days_to_expiry") / 365) * 0.5
-    put, call = (K < S - r) & (K > S - 2 * r), (K > S + r) & (K < S + 2 * r)
+    r = F.col("spot") * F.col("atm_iv") * F.sqrt(F.col("days_to_expiry") / 365) * 0.5
+    put, call = (F.col("strike") < F.col("spot") - r) & (F.col("strike") > F.col("spot") - 2 * r), (F.col("strike") > F.col("spot") + r) & (F.col("strike") < F.col("spot") + 2 * r)
     g = x.groupBy("underlying", "days_to_expiry").agg(F.first("atm_iv").alias("atm_iv"), F.avg(F.when(put, F.col("iv"))).alias("p"), F.avg(F.when(call, F.col("iv"))).alias("c"))
     g = g.withColumn("skew_25d", F.coalesce("p", "atm_iv") - F.coalesce("c", "atm_iv"))
     w = Window.partitionBy("underlying")
@@ -65,7 +64,7 @@ def iv_term_skew(chain: DataFrame, spot: DataFrame) -> DataFrame:
 def option_flow(chain: DataFrame, spot: DataFrame) -> DataFrame:
     """Put/call ratios of volume and open interest, volatility skew of the three strikes nearest the spot per side."""
     x = chain.join(spot, "underlying")
-    w = lambda oi: Window.partitionBy("underlying", F.col(oi) > 0).orderBy(F.abs(K - S), "strike", "days_to_expiry", "iv")
+    w = lambda oi: Window.partitionBy("underlying", F.col(oi) > 0).orderBy(F.abs(F.col("strike") - F.col("spot")), "strike", "days_to_expiry", "iv")
     x = x.withColumn("rc", F.row_number().over(w("oi_call"))).withColumn("rp", F.row_number().over(w("oi_put")))
     civ, piv = F.avg(F.when((F.col("oi_call") > 0) & (F.col("rc") <= 3), F.col("iv"))), F.avg(F.when((F.col("oi_put") > 0) & (F.col("rp") <= 3), F.col("iv")))
     g = x.groupBy("underlying").agg(civ.alias("call_iv"), piv.alias("put_iv"), (F.sum("vol_put") / F.greatest(F.sum("vol_call"), F.lit(1.0))).alias("pc_volume"), (F.sum("oi_put") / F.greatest(F.sum("oi_call"), F.lit(1.0))).alias("pc_oi"))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.ewm import span, with_ewm, with_ewms
 from tidemark.functions.frames import between, by, full, last_n, running
 
-C, H, L, O, V, R = (F.col(x) for x in ("c", "h", "l", "o", "v", "r"))
 EPS = 1e-10
 ANN = math.sqrt(252)
 
@@ -27,7 +26,7 @@ def tsmom(b: DataFrame, lookbacks=(5, 10, 21, 63, 126, 252)) -> DataFrame:
     """Sum of returns over each lookback, its sign and its ratio to the scaled deviation."""
     out = []
     for k in lookbacks:
-        s, sd = full(F.sum, R, k), full(F.stddev_samp, R, k)
+        s, sd = full(F.sum, F.col("r"), k), full(F.stddev_samp, F.col("r"), k)
         out += [s.alias(f"tsmom_{k}d"), F.signum(s).alias(f"tsmom_sign_{k}d"),
                 F.when(sd > 0, s / (sd * math.sqrt(252 / k))).alias(f"tsmom_sharpe_{k}d")]
     return b.select("ticker", "d", *out)
@@ -35,8 +34,8 @@ def tsmom(b: DataFrame, lookbacks=(5, 10, 21, 63, 126, 252)) -> DataFrame:
 
 def momentum_12_1(b: DataFrame) -> DataFrame:
     ok = F.col("rn") >= 253
-    m1 = F.sum(R).over(last_n(21))
-    return b.select("ticker", "d", F.when(ok, F.sum(R).over(between(-251, -21))).alias("cs_momentum_12_1"),
+    m1 = F.sum(F.col("r")).over(last_n(21))
+    return b.select("ticker", "d", F.when(ok, F.sum(F.col("r")).over(between(-251, -21))).alias("cs_momentum_12_1"),
                     F.when(ok, m1).alias("cs_momentum_1m"), F.when(ok, -m1).alias("momentum_reversal"))
 
 
@@ -44,8 +43,8 @@ def momentum_price(b: DataFrame) -> DataFrame:
     """Price ratios on the 252nd, 126th, 63rd and 21st newest close (lag = position - 1)."""
     ok = F.col("rn") >= 252
     p = {n: lagged("c", n - 1) for n in (252, 126, 63, 21)}
-    m3, vol = C / p[63] - 1, F.stddev_samp(R).over(last_n(63)) * ANN
-    cols = {"mom_12_1": p[21] / p[252] - 1, "mom_6m": C / p[126] - 1, "mom_3m": m3, "mom_1m": C / p[21] - 1,
+    m3, vol = F.col("c") / p[63] - 1, F.stddev_samp(F.col("r")).over(last_n(63)) * ANN
+    cols = {"mom_12_1": p[21] / p[252] - 1, "mom_6m": F.col("c") / p[126] - 1, "mom_3m": m3, "mom_1m": F.col("c") / p[21] - 1,
             "vol_3m": vol, "sharpe_3m": F.when(vol > 0, m3 / vol).otherwise(0.0)}
     return b.select("ticker", "d", *[F.when(ok, v).alias(k) for k, v in cols.items()])
 
@@ -55,12 +54,12 @@ def momentum_log(b: DataFrame) -> DataFrame:
     ok = F.col("rn") >= 252
     p = lambda n: lagged("c", n - 1)
     return b.select("ticker", "d", F.when(ok, F.log(p(21) / p(252))).alias("mom_12_1"), F.when(ok, F.log(p(21) / p(126))).alias("mom_6_1"),
-                    F.when(ok, F.log(C / p(21))).alias("mom_1m"))
+                    F.when(ok, F.log(F.col("c") / p(21))).alias("mom_1m"))
 
 
 def momentum_pit(b: DataFrame) -> DataFrame:
     """Returns over 5..252 bars and the 12-month return without the last month."""
-    ret = {k: C / lagged("c", n) - 1 for k, n in {"r_1w": 5, "r_1m": 21, "r_3m": 63, "r_6m": 126, "r_12m": 252}.items()}
+    ret = {k: F.col("c") / lagged("c", n) - 1 for k, n in {"r_1w": 5, "r_1m": 21, "r_3m": 63, "r_6m": 126, "r_12m": 252}.items()}
     return b.select("ticker", "d", *[v.alias(k) for k, v in ret.items()]).withColumn(
         "r_12m_ex_1m", F.when(F.col("r_1m") > -1, (1 + F.col("r_12m")) / (1 + F.col("r_1m")) - 1))
 
@@ -83,14 +82,14 @@ def residual_momentum(b: DataFrame, market: DataFrame, n: int = 126) -> DataFram
 
 def momentum_acceleration(b: DataFrame) -> DataFrame:
     ok = F.col("rn") >= 64
-    recent, medium = F.sum(R).over(last_n(21)), F.sum(R).over(between(-62, -21))
+    recent, medium = F.sum(F.col("r")).over(last_n(21)), F.sum(F.col("r")).over(between(-62, -21))
     return b.select("ticker", "d", F.when(ok, recent - medium / 2).alias("momentum_acceleration"),
                     F.when(ok, recent - 2 * medium).alias("momentum_concavity"))
 
 
 def rsi(b: DataFrame, periods=(7, 14, 21)) -> DataFrame:
     """Wilder RSI, its 5-row slope, and the simple-mean form."""
-    delta = C - lagged("c", 1)
+    delta = F.col("c") - lagged("c", 1)
     df = b.withColumn("_g", F.coalesce(F.greatest(delta, F.lit(0.0)), F.lit(0.0))).withColumn(
         "_l", F.coalesce(F.greatest(-delta, F.lit(0.0)), F.lit(0.0)))
     df = with_ewms(df, {**{f"_ag{n}": ("_g", 1.0 / n) for n in periods}, **{f"_al{n}": ("_l", 1.0 / n) for n in periods}})
@@ -115,8 +114,8 @@ def macd(b: DataFrame) -> DataFrame:
 def bollinger(b: DataFrame, periods=(20, 50)) -> DataFrame:
     df = b
     for n in periods:
-        sma, sd = full(F.avg, C, n), full(F.stddev_samp, C, n)
-        df = df.withColumn(f"bb_pct_b_{n}", (C - (sma - 2 * sd)) / (4 * sd + EPS)).withColumn(f"bb_bandwidth_{n}", 4 * sd / sma)
+        sma, sd = full(F.avg, F.col("c"), n), full(F.stddev_samp, F.col("c"), n)
+        df = df.withColumn(f"bb_pct_b_{n}", (F.col("c") - (sma - 2 * sd)) / (4 * sd + EPS)).withColumn(f"bb_bandwidth_{n}", 4 * sd / sma)
         bw = f"bb_bandwidth_{n}"
         df = df.withColumn(f"bb_squeeze_{n}", F.when(F.col(bw) < full(F.avg, bw, 20), 1).otherwise(0))
     return df
@@ -124,19 +123,19 @@ def bollinger(b: DataFrame, periods=(20, 50)) -> DataFrame:
 
 def true_range() -> Column:
     prev = lagged("c", 1)
-    return F.greatest(H - L, F.abs(H - prev), F.abs(L - prev))
+    return F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - prev), F.abs(F.col("l") - prev))
 
 
 def atr(b: DataFrame) -> DataFrame:
     df = with_ewms(b.withColumn("tr", true_range()), {f"atr_{n}": ("tr", span(n)) for n in (14, 21)})
     for n in (14, 21):
-        df = df.withColumn(f"atr_{n}_normalized", F.col(f"atr_{n}") / C)
-    return df.withColumn("atr_sma_14", full(F.avg, "tr", 14)).withColumn("atr_pct", F.col("atr_sma_14") / C * 100)
+        df = df.withColumn(f"atr_{n}_normalized", F.col(f"atr_{n}") / F.col("c"))
+    return df.withColumn("atr_sma_14", full(F.avg, "tr", 14)).withColumn("atr_pct", F.col("atr_sma_14") / F.col("c") * 100)
 
 
 def adx(b: DataFrame) -> DataFrame:
     """Directional index; the minus side and the index itself start at the second row."""
-    up, dn = F.greatest(H - lagged("h", 1), F.lit(0.0)), F.greatest(lagged("l", 1) - L, F.lit(0.0))
+    up, dn = F.greatest(F.col("h") - lagged("h", 1), F.lit(0.0)), F.greatest(lagged("l", 1) - F.col("l"), F.lit(0.0))
     df = b.withColumn("tr", true_range()).withColumn("_up", F.when(F.col("rn") > 1, up)).withColumn("_dn", F.when(F.col("rn") > 1, dn))
     df = df.withColumn("_p", F.when(F.col("_up") > F.col("_dn"), F.col("_up")).otherwise(0.0))
     df = df.withColumn("_m", F.when(F.col("_up") > F.col("_dn"), 0.0).otherwise(F.col("_dn")))
@@ -150,8 +149,8 @@ def adx(b: DataFrame) -> DataFrame:
 def stochastic(b: DataFrame) -> DataFrame:
     df = b
     for n in (14, 21):
-        lo, hi = full(F.min, L, n), full(F.max, H, n)
-        df = df.withColumn(f"stoch_k_{n}", 100 * (C - lo) / (hi - lo + EPS))
+        lo, hi = full(F.min, F.col("l"), n), full(F.max, F.col("h"), n)
+        df = df.withColumn(f"stoch_k_{n}", 100 * (F.col("c") - lo) / (hi - lo + EPS))
         df = df.withColumn(f"stoch_d_{n}", full(F.avg, f"stoch_k_{n}", 3))
     return df
 
@@ -159,7 +158,7 @@ def stochastic(b: DataFrame) -> DataFrame:
 def cci(b: DataFrame, n: int = 20) -> DataFrame:
     """Commodity channel index; the absolute deviation is about the mean of the same frame."""
     w = last_n(n)
-    df = b.withColumn("_tp", (H + L + C) / 3)
+    df = b.withColumn("_tp", (F.col("h") + F.col("l") + F.col("c")) / 3)
     df = df.withColumn("_m", F.avg("_tp").over(w)).withColumn("_x", F.collect_list("_tp").over(w))
     mad = F.aggregate(F.transform("_x", lambda x: F.abs(x - F.col("_m"))), F.lit(0.0), lambda a, x: a + x) / n
     df = df.withColumn("cci", F.when(F.size("_x") == n, (F.col("_tp") - F.col("_m")) / (0.015 * mad + EPS)))
@@ -167,53 +166,53 @@ def cci(b: DataFrame, n: int = 20) -> DataFrame:
 
 
 def williams_r(b: DataFrame, n: int = 14) -> DataFrame:
-    hi, lo = full(F.max, H, n), full(F.min, L, n)
-    return b.select("ticker", "d", (-100 * (hi - C) / (hi - lo + EPS)).alias("williams_r"))
+    hi, lo = full(F.max, F.col("h"), n), full(F.min, F.col("l"), n)
+    return b.select("ticker", "d", (-100 * (hi - F.col("c")) / (hi - lo + EPS)).alias("williams_r"))
 
 
 def chaikin_money_flow(b: DataFrame) -> DataFrame:
     """20-row money flow with its 5-row change, and the 21-row form in which a bar without range counts as zero."""
-    clv = ((C - L) - (H - C)) / (H - L + EPS)
-    flow = F.when(H == L, 0.0).otherwise(F.try_divide((C - L) - (H - C), H - L)) * V
-    cmf = full(F.sum, clv * V, 20) / (full(F.sum, V, 20) + EPS)
+    clv = ((F.col("c") - F.col("l")) - (F.col("h") - F.col("c"))) / (F.col("h") - F.col("l") + EPS)
+    flow = F.when(F.col("h") == F.col("l"), 0.0).otherwise(F.try_divide((F.col("c") - F.col("l")) - (F.col("h") - F.col("c")), F.col("h") - F.col("l"))) * F.col("v")
+    cmf = full(F.sum, clv * F.col("v"), 20) / (full(F.sum, F.col("v"), 20) + EPS)
     df = b.withColumn("cmf", cmf).withColumn("cmf_trend", F.col("cmf") - lagged("cmf", 5))
-    df = df.withColumn("chaikin_21", full(F.sum, flow, 21) / full(F.sum, V, 21))
+    df = df.withColumn("chaikin_21", full(F.sum, flow, 21) / full(F.sum, F.col("v"), 21))
     return df.withColumn("ad_line", F.sum(flow).over(running()))
 
 
 def obv_vpt(b: DataFrame) -> DataFrame:
     w = running()
-    df = b.withColumn("obv", F.sum(F.signum(C - lagged("c", 1)) * V).over(w)).withColumn("vpt", F.sum(R * V).over(w))
-    df = df.withColumn("obv_trend", (F.col("obv") - lagged("obv", 20)) / (F.avg(V).over(w) + EPS))
+    df = b.withColumn("obv", F.sum(F.signum(F.col("c") - lagged("c", 1)) * F.col("v")).over(w)).withColumn("vpt", F.sum(F.col("r") * F.col("v")).over(w))
+    df = df.withColumn("obv_trend", (F.col("obv") - lagged("obv", 20)) / (F.avg(F.col("v")).over(w) + EPS))
     df = df.withColumn("obv_momentum", F.try_divide(F.col("obv"), lagged("obv", 20)) - 1)
     df = df.withColumn("obv_vs_mean", F.try_divide(F.col("obv"), full(F.avg, "obv", 20)) - 1)
     return df.withColumn("vpt_trend", F.col("vpt") - lagged("vpt", 10))
 
 
 def ma_ema_cross(b: DataFrame, periods=(5, 10, 20, 50, 100, 200)) -> DataFrame:
-    df = with_ewms(b.select("*", *[full(F.avg, C, n).alias(f"sma_{n}") for n in periods]), {f"ema_{n}": ("c", span(n)) for n in periods})
-    df = df.select("*", *[(C / (F.col(f"{m}_{n}") + EPS) - 1).alias(f"price_vs_{m}_{n}") for n in periods for m in ("sma", "ema")])
+    df = with_ewms(b.select("*", *[full(F.avg, F.col("c"), n).alias(f"sma_{n}") for n in periods]), {f"ema_{n}": ("c", span(n)) for n in periods})
+    df = df.select("*", *[(F.col("c") / (F.col(f"{m}_{n}") + EPS) - 1).alias(f"price_vs_{m}_{n}") for n in periods for m in ("sma", "ema")])
     s50, s200 = F.col("sma_50"), F.col("sma_200")
     return df.withColumn("golden_cross", F.when(s50 > s200, 1).otherwise(-1)).withColumn("golden_cross_distance", (s50 - s200) / (s200 + EPS))
 
 
 def volume_ratios(b: DataFrame) -> DataFrame:
-    a20 = full(F.avg, V, 20)
-    return b.select("ticker", "d", (V / (a20 + EPS)).alias("volume_ratio"), (full(F.avg, V, 5) / (a20 + EPS)).alias("volume_trend"),
-                    (C * V).alias("dollar_volume"), full(F.avg, C * V, 20).alias("dollar_volume_ma20"), (V / full(F.avg, V, 21)).alias("rvol"))
+    a20 = full(F.avg, F.col("v"), 20)
+    return b.select("ticker", "d", (F.col("v") / (a20 + EPS)).alias("volume_ratio"), (full(F.avg, F.col("v"), 5) / (a20 + EPS)).alias("volume_trend"),
+                    (F.col("c") * F.col("v")).alias("dollar_volume"), full(F.avg, F.col("c") * F.col("v"), 20).alias("dollar_volume_ma20"), (F.col("v") / full(F.avg, F.col("v"), 21)).alias("rvol"))
 
 
 def candle_shape(b: DataFrame) -> DataFrame:
-    return b.select("ticker", "d", ((H - L) / C).alias("daily_range"), ((H - F.greatest(C, O)) / C).alias("upper_shadow"),
-                    ((F.least(C, O) - L) / C).alias("lower_shadow"), (F.abs(C - O) / C).alias("body_size"))
+    return b.select("ticker", "d", ((F.col("h") - F.col("l")) / F.col("c")).alias("daily_range"), ((F.col("h") - F.greatest(F.col("c"), F.col("o"))) / F.col("c")).alias("upper_shadow"),
+                    ((F.least(F.col("c"), F.col("o")) - F.col("l")) / F.col("c")).alias("lower_shadow"), (F.abs(F.col("c") - F.col("o")) / F.col("c")).alias("body_size"))
 
 
 def ichimoku(b: DataFrame) -> DataFrame:
-    mid = lambda n: (full(F.max, H, n) + full(F.min, L, n)) / 2
+    mid = lambda n: (full(F.max, F.col("h"), n) + full(F.min, F.col("l"), n)) / 2
     df = b.withColumn("tenkan", mid(9)).withColumn("kijun", mid(26)).withColumn("_b", mid(52))
     df = df.withColumn("senkou_a", F.lag((F.col("tenkan") + F.col("kijun")) / 2, 26).over(by())).withColumn("senkou_b", lagged("_b", 26))
     cloud = F.greatest("senkou_a", "senkou_b")
-    return df.where("rn >= 52").select("ticker", "d", "tenkan", "kijun", F.when(C > cloud, 1).otherwise(-1).alias("above_cloud"),
+    return df.where("rn >= 52").select("ticker", "d", "tenkan", "kijun", F.when(F.col("c") > cloud, 1).otherwise(-1).alias("above_cloud"),
                                        F.when(F.col("tenkan") > F.col("kijun"), 1).otherwise(-1).alias("tenkan_kijun_cross"))
 
 
@@ -221,7 +220,7 @@ def pivot_points(b: DataFrame) -> DataFrame:
     ph, pl, pc = lagged("h", 1), lagged("l", 1), lagged("c", 1)
     p = (ph + pl + pc) / 3
     r1, s1 = 2 * p - pl, 2 * p - ph
-    return b.select("ticker", "d", ((C - p) / p).alias("vs_pivot"), ((C - r1) / r1).alias("vs_r1"), ((C - s1) / (F.abs(s1) + EPS)).alias("vs_s1"))
+    return b.select("ticker", "d", ((F.col("c") - p) / p).alias("vs_pivot"), ((F.col("c") - r1) / r1).alias("vs_r1"), ((F.col("c") - s1) / (F.abs(s1) + EPS)).alias("vs_s1"))
 
 
 FIB = {"236": 0.236, "382": 0.382, "500": 0.5, "618": 0.618, "786": 0.786}
@@ -229,30 +228,30 @@ FIB = {"236": 0.236, "382": 0.382, "500": 0.5, "618": 0.618, "786": 0.786}
 
 def fibonacci_levels(b: DataFrame) -> DataFrame:
     w = last_n(252)
-    df = b.withColumn("_hi", F.max(H).over(w)).withColumn("_lo", F.min(L).over(w)).where("rn >= 52")
+    df = b.withColumn("_hi", F.max(F.col("h")).over(w)).withColumn("_lo", F.min(F.col("l")).over(w)).where("rn >= 52")
     lvl = lambda x: F.col("_lo") + x * (F.col("_hi") - F.col("_lo"))
-    return df.select("ticker", "d", *[((C - lvl(x)) / (lvl(x) + EPS)).alias(f"vs_fib_{k}") for k, x in FIB.items()])
+    return df.select("ticker", "d", *[((F.col("c") - lvl(x)) / (lvl(x) + EPS)).alias(f"vs_fib_{k}") for k, x in FIB.items()])
 
 
 def vwap_distance(b: DataFrame) -> DataFrame:
-    tp = full(F.sum, (H + L + C) / 3 * V, 21) / full(F.sum, V, 21)
-    cl = full(F.sum, C * V, 20) / full(F.sum, V, 20)
-    return b.select("ticker", "d", ((C / tp - 1) * 100).alias("vwap_dist_21"), ((C - cl) / cl).alias("vwap_distance_20"))
+    tp = full(F.sum, (F.col("h") + F.col("l") + F.col("c")) / 3 * F.col("v"), 21) / full(F.sum, F.col("v"), 21)
+    cl = full(F.sum, F.col("c") * F.col("v"), 20) / full(F.sum, F.col("v"), 20)
+    return b.select("ticker", "d", ((F.col("c") / tp - 1) * 100).alias("vwap_dist_21"), ((F.col("c") - cl) / cl).alias("vwap_distance_20"))
 
 
 def money_flow_index(b: DataFrame) -> DataFrame:
     """Typical-price share of positive flow (0..1), and the close-based 0..100 proxy."""
-    df = b.withColumn("_tp", (H + L + C) / 3)
-    prev, flow, w = lagged("_tp", 1), F.col("_tp") * V, last_n(14)
+    df = b.withColumn("_tp", (F.col("h") + F.col("l") + F.col("c")) / 3)
+    prev, flow, w = lagged("_tp", 1), F.col("_tp") * F.col("v"), last_n(14)
     df = df.withColumn("_pf", F.when(F.col("_tp") > prev, flow).otherwise(0.0)).withColumn("_nf", F.when(F.col("_tp") < prev, flow).otherwise(0.0))
-    df = df.withColumn("_pc", F.when(C > lagged("c", 1), C * V).otherwise(0.0)).withColumn("_nc", F.when(C > lagged("c", 1), 0.0).otherwise(C * V))
+    df = df.withColumn("_pc", F.when(F.col("c") > lagged("c", 1), F.col("c") * F.col("v")).otherwise(0.0)).withColumn("_nc", F.when(F.col("c") > lagged("c", 1), 0.0).otherwise(F.col("c") * F.col("v")))
     pf, nf, pc, nc = (F.sum(x).over(w) for x in ("_pf", "_nf", "_pc", "_nc"))
     return df.select("ticker", "d", F.when((F.col("rn") >= 15) & (pf + nf > 0), pf / (pf + nf)).alias("money_flow_index"),
                      F.when((F.col("rn") >= 40) & (nc > 0), 100 - 100 / (1 + pc / nc)).alias("mfi_proxy"))
 
 
 def trade_size_flow(b: DataFrame) -> DataFrame:
-    df = b.withColumn("_s", F.when((V > 0) & (F.col("n") > 0), V / F.col("n"))).where("_s is not null")
+    df = b.withColumn("_s", F.when((F.col("v") > 0) & (F.col("n") > 0), F.col("v") / F.col("n"))).where("_s is not null")
     df = df.withColumn("_k", F.row_number().over(by())).withColumn("_base", F.avg("_s").over(between(-39, -5)))
     df = df.withColumn("_l10", F.collect_list("_s").over(last_n(10))).withColumn("_l5", F.avg("_s").over(last_n(5)))
     blocks = F.size(F.filter("_l10", lambda x: x > 1.5 * F.col("_base"))) / 10
@@ -261,16 +260,16 @@ def trade_size_flow(b: DataFrame) -> DataFrame:
 
 
 def volume_surge_accumulation(b: DataFrame) -> DataFrame:
-    dv, up = C * V, C > lagged("c", 1)
-    df = b.withColumn("_dv", dv).withColumn("_uv", F.when(up, V).otherwise(0.0)).withColumn(
-        "_ac", F.when(up & (V > lagged("v", 1)), 1).otherwise(0))
+    dv, up = F.col("c") * F.col("v"), F.col("c") > lagged("c", 1)
+    df = b.withColumn("_dv", dv).withColumn("_uv", F.when(up, F.col("v")).otherwise(0.0)).withColumn(
+        "_ac", F.when(up & (F.col("v") > lagged("v", 1)), 1).otherwise(0))
     rec, base = F.avg("_dv").over(last_n(21)), F.avg("_dv").over(between(-83, -21))
-    v20, ok = F.sum(V).over(last_n(20)), F.col("rn") >= 65
+    v20, ok = F.sum(F.col("v")).over(last_n(20)), F.col("rn") >= 65
     return df.select("ticker", "d", F.when(ok & (base > 0), rec / base).alias("dollar_vol_trend"),
                      F.when(ok & (v20 > 0), F.sum("_uv").over(last_n(20)) / v20).alias("up_day_share"),
                      F.when(ok & (rec > 0), F.log10(rec)).alias("log_adv"),
                      F.when(F.col("rn") >= 40, F.sum("_ac").over(last_n(20))).alias("accumulation_days"),
-                     F.when(F.col("rn") >= 40, F.avg(V).over(last_n(5)) / F.avg(V).over(between(-39, -5)) - 1).alias("vol_change_pct"))
+                     F.when(F.col("rn") >= 40, F.avg(F.col("v")).over(last_n(5)) / F.avg(F.col("v")).over(between(-39, -5)) - 1).alias("vol_change_pct"))
 
 
 def drawdown_structure(b: DataFrame) -> DataFrame:
@@ -278,8 +277,8 @@ def drawdown_structure(b: DataFrame) -> DataFrame:
     day = F.unix_date("d")
     w3 = Window.partitionBy("ticker").orderBy(day).rangeBetween(-1095, 0)
     w1 = Window.partitionBy("ticker").orderBy(day).rangeBetween(-365, 0)
-    hi, lo = F.max(F.struct(C.alias("c"), (-day).alias("k"))).over(w3), F.min(F.struct(C.alias("c"), day.alias("k"))).over(w1)
+    hi, lo = F.max(F.struct(F.col("c").alias("c"), (-day).alias("k"))).over(w3), F.min(F.struct(F.col("c").alias("c"), day.alias("k"))).over(w1)
     df = b.select("ticker", "d", "c", hi.alias("_hi"), lo.alias("_lo"), F.count(F.lit(1)).over(w3).alias("_n3"), F.count(F.lit(1)).over(w1).alias("_n1"))
     ok3, ok1 = F.col("_n3") >= 30, F.col("_n1") >= 30
-    return df.select("ticker", "d", F.when(ok3, 1 - C / F.col("_hi.c")).alias("dd_3y"), F.when(ok3, day + F.col("_hi.k")).alias("days_underwater"),
-                     F.when(ok1, C / F.col("_lo.c") - 1).alias("off_1y_low"), F.when(ok1, day - F.col("_lo.k")).alias("days_since_1y_low"))
+    return df.select("ticker", "d", F.when(ok3, 1 - F.col("c") / F.col("_hi.c")).alias("dd_3y"), F.when(ok3, day + F.col("_hi.k")).alias("days_underwater"),
+                     F.when(ok1, F.col("c") / F.col("_lo.c") - 1).alias("off_1y_low"), F.when(ok1, day - F.col("_lo.k")).alias("days_since_1y_low"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.ewm import with_ewm
 from tidemark.functions.frames import between, by, clip, full, last_n, with_tail
 
-C, H, L, O, V, R = (F.col(x) for x in ("c", "h", "l", "o", "v", "r"))
 ANN = math.sqrt(252)
 LN2 = math.log(2)
 
@@ -23,42 +22,42 @@ def when_tail(n: int, value) -> Column:
 
 def realized_vol(b: DataFrame) -> DataFrame:
     """Newest realised volatilities per ticker, volatility of volatility, its persistence and the population forms."""
-    t = with_tail(b).withColumn("rv", full(F.stddev_samp, R, 21) * ANN)
+    t = with_tail(b).withColumn("rv", full(F.stddev_samp, F.col("r"), 21) * ANN)
     t = t.withColumn("rv1", F.lag("rv").over(by()))
     nr = F.count("r")
-    vols = [F.when(nr >= n, F.stddev_samp(when_tail(n, R)) * ANN).alias(f"realized_vol_{n}d") for n in (5, 10, 21, 42, 63, 126, 252)]
+    vols = [F.when(nr >= n, F.stddev_samp(when_tail(n, F.col("r"))) * ANN).alias(f"realized_vol_{n}d") for n in (5, 10, 21, 42, 63, 126, 252)]
     ok = nr >= 252
     return t.groupBy("ticker").agg(
         *vols, F.when(ok, F.stddev_samp("rv")).alias("vol_of_vol"), F.when(ok, F.avg("rv")).alias("vol_regime_mean"),
         F.when(ok, F.corr("rv", "rv1")).alias("vol_persistence"),
-        F.when(nr >= 63, F.stddev_samp(when_tail(21, R)) / (F.stddev_samp(when_tail(63, R)) + 1e-10 / ANN)).alias("vol_ratio_short_long"),
-        (F.stddev_pop("r") * ANN).alias("historical_vol"), (F.stddev_pop(when_tail(21, R)) * ANN).alias("realized_vol_1m"))
+        F.when(nr >= 63, F.stddev_samp(when_tail(21, F.col("r"))) / (F.stddev_samp(when_tail(63, F.col("r"))) + 1e-10 / ANN)).alias("vol_ratio_short_long"),
+        (F.stddev_pop("r") * ANN).alias("historical_vol"), (F.stddev_pop(when_tail(21, F.col("r"))) * ANN).alias("realized_vol_1m"))
 
 
 def downside_deviation(b: DataFrame, n: int = 63) -> DataFrame:
     """Root mean square of the last n losses, and the population deviation of all losses."""
-    neg = F.when(R < 0, R)
-    rec = F.when((F.col("k") < n) & (R < 0), R)
+    neg = F.when(F.col("r") < 0, F.col("r"))
+    rec = F.when((F.col("k") < n) & (F.col("r") < 0), F.col("r"))
     return with_tail(b).groupBy("ticker").agg(
         F.when(F.count(rec) < 2, 0.0).otherwise(F.sqrt(F.avg(rec * rec)) * ANN).alias("downside_dev"),
         F.when(F.count(neg) > 2, F.stddev_pop(neg) * ANN).alias("downside_vol"),
-        F.when(F.count(F.when(R > 0, R)) > 2, F.stddev_pop(F.when(R > 0, R)) * ANN).alias("up_vol"))
+        F.when(F.count(F.when(F.col("r") > 0, F.col("r"))) > 2, F.stddev_pop(F.when(F.col("r") > 0, F.col("r"))) * ANN).alias("up_vol"))
 
 
 def parkinson(b: DataFrame, n: int = 21) -> DataFrame:
-    x = F.log(H / L)
+    x = F.log(F.col("h") / F.col("l"))
     return b.select("ticker", "d", (F.sqrt(full(F.sum, x * x, n) / (4 * n * LN2)) * ANN).alias("parkinson_vol"))
 
 
 def garman_klass(b: DataFrame, n: int = 21) -> DataFrame:
-    hl, co = F.log(H / L), F.log(C / O)
+    hl, co = F.log(F.col("h") / F.col("l")), F.log(F.col("c") / F.col("o"))
     m = full(F.avg, 0.5 * hl * hl - (2 * LN2 - 1) * co * co, n)
     return b.select("ticker", "d", F.when(m >= 0, F.sqrt(m) * ANN).alias("garman_klass_vol"))
 
 
 def yang_zhang(b: DataFrame, n: int = 21) -> DataFrame:
     k = 0.34 / (1.34 + (n + 1) / (n - 1))
-    oc, co, ho, lo = F.log(O / F.lag("c").over(by())), F.log(C / O), F.log(H / O), F.log(L / O)
+    oc, co, ho, lo = F.log(F.col("o") / F.lag("c").over(by())), F.log(F.col("c") / F.col("o")), F.log(F.col("h") / F.col("o")), F.log(F.col("l") / F.col("o"))
     df = b.select("ticker", "d", "rn", oc.alias("oc"), co.alias("co"), (ho * (ho - co) + lo * (lo - co)).alias("rs"))
     yz = full(F.var_samp, "oc", n) + k * full(F.var_samp, "co", n) + (1 - k) * full(F.avg, "rs", n)
     return df.select("ticker", "d", (F.sqrt(F.greatest(yz, F.lit(0.0))) * ANN).alias("yang_zhang_vol"), yz.alias("_yz")).where("_yz is not null")
@@ -68,13 +67,13 @@ def ewma_vol_ensemble(b: DataFrame, lam: float = 0.94, floor: float = 0.05) -> D
     """0.5 EWMA (started at zero) + 0.3 of 21 rows + 0.2 of 63 rows, with the regime by ratio to the running history."""
     a = 1 - lam
     # a zero start equals the recursive form with the first term scaled by a
-    df = with_ewm(b, "_ew", F.when(F.col("rn") == 2, R * R * a).otherwise(R * R), a, first=2)
+    df = with_ewm(b, "_ew", F.when(F.col("rn") == 2, F.col("r") * F.col("r") * a).otherwise(F.col("r") * F.col("r")), a, first=2)
     n = F.col("rn") - 1
     run = Window.partitionBy("ticker").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_e", F.sqrt(F.col("_ew") * 252))
-    df = df.withColumn("_v21", F.when(n >= 21, F.stddev_samp(R).over(last_n(21)) * ANN).otherwise(F.col("_e")))
-    df = df.withColumn("_v63", F.when(n >= 63, F.stddev_samp(R).over(last_n(63)) * ANN).otherwise(F.col("_v21")))
-    df = df.withColumn("_hist", F.when(n >= 252, F.stddev_samp(R).over(run) * ANN).otherwise(0.15)).where(n >= 5)
+    df = df.withColumn("_v21", F.when(n >= 21, F.stddev_samp(F.col("r")).over(last_n(21)) * ANN).otherwise(F.col("_e")))
+    df = df.withColumn("_v63", F.when(n >= 63, F.stddev_samp(F.col("r")).over(last_n(63)) * ANN).otherwise(F.col("_v21")))
+    df = df.withColumn("_hist", F.when(n >= 252, F.stddev_samp(F.col("r")).over(run) * ANN).otherwise(0.15)).where(n >= 5)
     df = df.withColumn("vol_estimate", F.greatest(0.5 * F.col("_e") + 0.3 * F.col("_v21") + 0.2 * F.col("_v63"), F.lit(floor)))
     x = F.col("vol_estimate") / (F.col("_hist") + 1e-10)
     reg = F.when(x > 2.5, "CRISIS").when(x > 1.5, "ELEVATED").when(x < 0.7, "CALM").otherwise("NORMAL")
@@ -85,7 +84,7 @@ def ewma_vol_ensemble(b: DataFrame, lam: float = 0.94, floor: float = 0.05) -> D
 
 def vol_percentile(b: DataFrame) -> DataFrame:
     """Newest 21-row volatility inside its own history: mean of strict and weak rank, and the strictly-below share."""
-    t = with_tail(b).withColumn("rv", full(F.stddev_samp, R, 21) * ANN).where("rv is not null")
+    t = with_tail(b).withColumn("rv", full(F.stddev_samp, F.col("r"), 21) * ANN).where("rv is not null")
     cur = F.max(F.when(F.col("k") == 0, F.col("rv"))).over(Window.partitionBy("ticker"))
     t = t.withColumn("_cur", cur)
     less, eq, n = F.sum((F.col("rv") < F.col("_cur")).cast("int")), F.sum((F.col("rv") == F.col("_cur")).cast("int")), F.count(F.lit(1))
@@ -100,7 +99,7 @@ def vol_term_structure(b: DataFrame, omega: float, alpha: float, gamma: float, b
     p = alpha + gamma / 2 + beta
     p = 0.98 if p >= 1 else p
     lrv = omega / (1 - p + 1e-10)
-    cur = b.where("r is not null").groupBy("ticker").agg(F.max_by(R * R, "d").alias("v0"))
+    cur = b.where("r is not null").groupBy("ticker").agg(F.max_by(F.col("r") * F.col("r"), "d").alias("v0"))
     h = F.explode(F.array(*[F.lit(x) for x in HORIZONS])).alias("horizon")
     df = cur.select("ticker", "v0", h)
     var = lrv + F.pow(F.lit(p), F.col("horizon")) * (F.col("v0") - lrv)
@@ -215,7 +214,7 @@ def autocorr_vol_clustering(b: DataFrame) -> DataFrame:
     w = by()
     x = b.select("ticker", "r", F.lag("r", 1).over(w).alias("r1"), F.lag("r", 5).over(w).alias("r5"))
     return x.groupBy("ticker").agg(F.corr("r", "r1").alias("acf_lag1"), F.corr("r", "r5").alias("acf_lag5"),
-                                   F.corr(R * R, F.col("r1") * F.col("r1")).alias("vol_clustering"), F.skewness("r").alias("skewness"),
+                                   F.corr(F.col("r") * F.col("r"), F.col("r1") * F.col("r1")).alias("vol_clustering"), F.skewness("r").alias("skewness"),
                                    F.kurtosis("r").alias("excess_kurtosis"))
 
 
@@ -224,7 +223,7 @@ def kalman_local_level(b: DataFrame) -> DataFrame:
 
     The state (level, covariance, last ten levels) is folded over the ticker's daily array inside the JVM."""
     w = by()
-    x = b.withColumn("dc", C - F.lag("c").over(w))
+    x = b.withColumn("dc", F.col("c") - F.lag("c").over(w))
     g = x.groupBy("ticker").agg(F.var_pop("dc").alias("Q"), (F.var_pop("lr") * F.avg("c") * F.avg("c")).alias("R"),
                                 F.sort_array(F.collect_list(F.struct("d", "c"))).alias("s"))
     st = lambda x, p, k, h: F.struct(x.alias("x"), p.alias("p"), k.alias("k"), h.alias("h"))
@@ -248,11 +247,11 @@ def kalman_local_level(b: DataFrame) -> DataFrame:
 
 def amihud(b: DataFrame) -> DataFrame:
     """Three named forms: mean(|r| / mean(v|r|)) x 1e6, mean(|r| / dollar volume), and the 60-row x 1e9 form."""
-    a = F.abs(R)
-    df = b.withColumn("_m", full(F.avg, V * a, 21))
+    a = F.abs(F.col("r"))
+    df = b.withColumn("_m", full(F.avg, F.col("v") * a, 21))
     df = df.withColumn("amihud_volume_return", full(F.avg, a / (F.col("_m") + 1e-10), 21) * 1e6)
-    return df.select("ticker", "d", "amihud_volume_return", (full(F.avg, a / (C * V), 21) * 1e6).alias("amihud_dollar_21"),
-                     (full(F.avg, F.coalesce(a, F.lit(0.0)) / (C * V + 1), 60) * 1e9).alias("amihud_dollar_60"))
+    return df.select("ticker", "d", "amihud_volume_return", (full(F.avg, a / (F.col("c") * F.col("v")), 21) * 1e6).alias("amihud_dollar_21"),
+                     (full(F.avg, F.coalesce(a, F.lit(0.0)) / (F.col("c") * F.col("v") + 1), 60) * 1e9).alias("amihud_dollar_60"))
 
 
 def kyle_lambda(b: DataFrame, n: int = 21) -> DataFrame:
@@ -269,15 +268,15 @@ def roll_spread(b: DataFrame, n: int = 21) -> DataFrame:
 
 def vpin(b: DataFrame, n: int = 50) -> DataFrame:
     """Mean share of one-sided volume; a rising day counts as full buy and half sell volume, as the reference rule has it."""
-    buy, sell = F.when(R > 0, V).otherwise(V * 0.5), F.when(R < 0, V).otherwise(V * 0.5)
+    buy, sell = F.when(F.col("r") > 0, F.col("v")).otherwise(F.col("v") * 0.5), F.when(F.col("r") < 0, F.col("v")).otherwise(F.col("v") * 0.5)
     x = F.abs(buy - sell) / (buy + sell + 1e-10)
     return b.select("ticker", "d", clip(full(F.avg, x, n), 0, 1).alias("vpin"))
 
 
 def order_flow_imbalance(b: DataFrame, n: int = 5) -> DataFrame:
-    s = full(F.sum, R, n)
+    s = full(F.sum, F.col("r"), n)
     df = b.withColumn("_s", s)
-    buy, sell = F.sum(F.when(F.col("_s") > 0, V).otherwise(0.0)), F.sum(F.when(F.col("_s") < 0, V).otherwise(0.0))
+    buy, sell = F.sum(F.when(F.col("_s") > 0, F.col("v")).otherwise(0.0)), F.sum(F.when(F.col("_s") < 0, F.col("v")).otherwise(0.0))
     return df.groupBy("ticker").agg(clip((buy - sell) / (F.sum("v") + 1e-10), -1, 1).alias("ofi"))
 
 
@@ -296,5 +295,5 @@ def support_extrema(b: DataFrame, n: int = 10) -> DataFrame:
     """Rows whose high (low) is the extreme of the 2n+1 rows around them; the first and last n rows never qualify."""
     w = between(-n, n)
     ok = F.count(F.lit(1)).over(w) == 2 * n + 1
-    return b.select("ticker", "d", F.when(ok & (H == F.max("h").over(w)), H).alias("resistance"),
-                    F.when(ok & (L == F.min("l").over(w)), L).alias("support")).where("resistance is not null or support is not null")
+    return b.select("ticker", "d", F.when(ok & (F.col("h") == F.max("h").over(w)), F.col("h")).alias("resistance"),
+                    F.when(ok & (F.col("l") == F.min("l").over(w)), F.col("l")).alias("support")).where("resistance is not null or support is not null")
