@@ -267,7 +267,7 @@ def roll_spread(b: DataFrame, n: int = 21) -> DataFrame:
 
 
 def vpin(b: DataFrame, n: int = 50) -> DataFrame:
-    """Mean share of one-sided volume; a rising day counts as full buy and half sell volume, as the reference rule has it."""
+    """Mean share of one-sided volume; a rising day counts as full buy and half sell volume."""
     buy, sell = F.when(F.col("r") > 0, F.col("v")).otherwise(F.col("v") * 0.5), F.when(F.col("r") < 0, F.col("v")).otherwise(F.col("v") * 0.5)
     x = F.abs(buy - sell) / (buy + sell + 1e-10)
     return b.select("ticker", "d", clip(full(F.avg, x, n), 0, 1).alias("vpin"))
