@@ -44,7 +44,10 @@ h1 AS (SELECT ticker, greatest(least(regr_slope(ln(x), ln(lag)), 1.0), 0.0) AS h
 v AS (SELECT ticker, rn, c FROM tails WHERE k < 252),
 df AS (SELECT a.ticker, lag, stddev_pop(a.c - b.c) AS tau FROM lags JOIN v a ON lag < 50 JOIN v b ON a.ticker = b.ticker AND b.rn = a.rn - lag GROUP BY 1, 2),
 h2 AS (SELECT ticker, greatest(least(regr_slope(ln(tau), ln(lag)), 1.0), 0.0) AS hurst_diff FROM df GROUP BY 1)"""
-reg("hurst_rs", "ticker hurst hurst_diff", "SELECT * FROM h1 JOIN h2 USING (ticker)", X.hurst_rs, "tails", HURST)
+HURST_LOG = """gch AS (SELECT r.ticker, lag, (rn - 2) // lag AS ch, rn, lr, avg(lr) OVER p AS m, stddev_samp(lr) OVER p AS sd FROM rets r JOIN nn USING (ticker), lags WHERE rn >= 2 AND lag BETWEEN 10 AND 49 AND ((rn - 2) // lag) * lag < nn - lag WINDOW p AS (PARTITION BY r.ticker, lag, (rn - 2) // lag)),
+gcu AS (SELECT ticker, lag, ch, sd, sum(lr - m) OVER (PARTITION BY ticker, lag, ch ORDER BY rn ROWS UNBOUNDED PRECEDING) AS dev FROM gch),
+grs AS (SELECT ticker, lag, avg(x) AS x FROM (SELECT ticker, lag, ch, (max(dev) - min(dev)) / max(sd) AS x FROM gcu WHERE sd > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2), h3 AS (SELECT ticker, greatest(least(regr_slope(ln(x), ln(lag)), 0.95), 0.1) AS hurst_log FROM grs GROUP BY 1)"""
+reg("hurst_rs", "ticker hurst hurst_log hurst_diff", "SELECT * FROM h1 JOIN h2 USING (ticker) JOIN h3 USING (ticker)", X.hurst_rs, "tails", HURST + ", " + HURST_LOG)
 WT = X.fracdiff_weights(0.4)
 reg("fracdiff", "ticker d fracdiff", f"""SELECT ticker, d, CASE WHEN len(x) = {len(WT)} THEN list_sum(list_transform(list_zip(x, ww), lambda z: z[1] * z[2])) END AS fracdiff
     FROM (SELECT ticker, d, list(c) OVER (w ROWS {len(WT) - 1} PRECEDING) AS x FROM rets {W}),

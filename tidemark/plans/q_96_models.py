@@ -11,7 +11,8 @@ from tidemark.operators.aggregates import ic_summary, rank_ic
 from tidemark.operators.windows import cs_rank_minmax
 from tidemark.plans.oracle import W
 from tidemark.plans.oracle import full as sfull
-from tidemark.plans.q_10_technical import ANN, market, rets
+from tidemark.plans.q_10_technical import ANN, BB, GL, MC, market, rets
+from tidemark.plans.q_20_volatility import HURST, HURST_LOG
 from tidemark.plans.q_30_sources_filters import reg
 from tidemark.sources import views as V
 
@@ -91,7 +92,7 @@ def variants(s, d):
 VARQ = " UNION ALL ".join(f"SELECT {k} AS strategy, i, CASE WHEN n{k} >= 5 AND z{k} > {t} THEN mr WHEN n{k} >= 5 AND z{k} < -{t} THEN -mr ELSE 0 END AS r FROM vz" for k, (t, n) in enumerate(((0.3, 10), (0.5, 15), (0.7, 20), (0.9, 30))))
 VZ = "vz AS (SELECT mr, row_number() OVER (ORDER BY d) - 1 AS i, " + ", ".join(f"count(mr) OVER (ORDER BY d ROWS {n - 1} PRECEDING) AS n{k}, (mr - avg(mr) OVER (ORDER BY d ROWS {n - 1} PRECEDING)) / (stddev_samp(mr) OVER (ORDER BY d ROWS {n - 1} PRECEDING) + 1e-10) AS z{k}" for k, (t, n) in enumerate(((0.3, 10), (0.5, 15), (0.7, 20), (0.9, 30)))) + " FROM mkt WHERE mr IS NOT NULL)"
 reg("threshold_variant_returns", "strategy:i i:i r:8", "mkt", VARQ, variants, VZ)
-reg("ml_feature_sets", "ticker d rsi_14:5 macd:5 bb:5 vol_ratio", "rets", None, lambda s, d: small_set(s, d))
+reg("ml_feature_sets", "ticker d rsi_14:5 macd:5 bb:5 vol_ratio", "rets", f"SELECT rs.ticker, rs.d, rsi_14, macd, bb_pct_b_20 AS bb, vol_ratio FROM rs JOIN m1 USING (ticker, d) JOIN bb USING (ticker, d) JOIN (SELECT ticker, d, v / ({sfull('avg(v)', 20)} + 1e-10) AS vol_ratio FROM rets {W}) USING (ticker, d)", lambda s, d: small_set(s, d), ", ".join((GL, MC, BB)))
 
 
 def small_set(s, d):
@@ -141,17 +142,26 @@ def directional(s, d):
     w = Window.partitionBy("ticker").orderBy("d")
     m = b.select("ticker", "d", ((c("c") / F.lag("c", 63).over(w) - 1) * 100).alias("m63"), ((c("c") / F.lag("c", 252).over(w) - 1) * 100).alias("m252"), ((c("c") / F.lag("c", 5).over(w) - 1) * 100).alias("m5"), (c("v") / full(F.avg, "v", 20)).alias("rv"), full(F.avg, "c", 50).alias("a50"), full(F.avg, "c", 200).alias("a200"))
     x = m.join(T.rsi(b, (14,)).select("ticker", "d", "rsi_sma_14"), ["ticker", "d"]).join(T.macd(b).select("ticker", "d", "macd_hist"), ["ticker", "d"])
-    x = x.withColumn("_k", F.row_number().over(Window.partitionBy("ticker").orderBy(c("d").desc()))).where("_k = 1").join(VO.vol_percentile(b).select("ticker", "vol_percentile"), "ticker")
+    x = x.withColumn("_k", F.row_number().over(Window.partitionBy("ticker").orderBy(c("d").desc()))).where("_k = 1").join(VO.vol_percentile(b).select("ticker", "vol_percentile"), "ticker").join(VO.hurst_rs(b).select("ticker", "hurst_log"), "ticker")
     cn = lambda v, lo, hi: F.least(F.greatest((v - lo) / (hi - lo + 1e-10) * 2 - 1, F.lit(-1.0)), F.lit(1.0))
     pm = lambda k: F.when(k, 1.0).otherwise(-1.0)
     rs = F.when(c("rsi_sma_14") < 30, 1.0).when(c("rsi_sma_14") > 70, -1.0).otherwise(cn(50 - c("rsi_sma_14"), -20, 20))
-    sg = [(0.040, cn(c("m63"), -20, 20)), (0.035, pm(c("m252") > 0)), (-0.025, cn(-c("m5"), -5, 5)), (0.030, rs), (0.025, pm(c("macd_hist") > 0)), (0.020, cn(c("rv") * pm(c("m5") > 0), -3, 3)), (0.020, cn(50 - c("vol_percentile"), -50, 50)), (0.025, pm(c("a50") > c("a200")))]
+    # a trending series repeats the momentum signal, a reverting one the RSI signal
+    hs = F.when(c("hurst_log") > 0.55, cn(c("m63"), -20, 20)).when(c("hurst_log") < 0.45, rs).otherwise(0.0)
+    sg = [(0.030, hs), (0.040, cn(c("m63"), -20, 20)), (0.035, pm(c("m252") > 0)), (-0.025, cn(-c("m5"), -5, 5)), (0.030, rs), (0.025, pm(c("macd_hist") > 0)), (0.020, cn(c("rv") * pm(c("m5") > 0), -3, 3)), (0.020, cn(50 - c("vol_percentile"), -50, 50)), (0.025, pm(c("a50") > c("a200")))]
     comp = sum((k * v for k, v in sg), F.lit(0.0)) / 0.25
     x = x.select("ticker", "d", comp.alias("composite"))
     return x.withColumn("signal", F.when(c("composite") > 0.3, "STRONG_BUY").when(c("composite") > 0.1, "BUY").when(c("composite") > -0.1, "NEUTRAL").when(c("composite") > -0.3, "SELL").otherwise("STRONG_SELL"))
 
 
-reg("directional_composite", "ticker d composite signal:s", "", None, directional)
+CNQ = lambda v, lo, hi: f"least(greatest(({v} - ({lo})) / ({hi} - ({lo}) + 1e-10) * 2 - 1, -1.0), 1.0)"
+RSQ = f"CASE WHEN rsi_sma_14 < 30 THEN 1.0 WHEN rsi_sma_14 > 70 THEN -1.0 ELSE {CNQ('50 - rsi_sma_14', -20, 20)} END"
+PMQ = lambda k: f"CASE WHEN {k} THEN 1.0 ELSE -1.0 END"
+DIRQ = f"""SELECT *, CASE WHEN composite > 0.3 THEN 'STRONG_BUY' WHEN composite > 0.1 THEN 'BUY' WHEN composite > -0.1 THEN 'NEUTRAL' WHEN composite > -0.3 THEN 'SELL' ELSE 'STRONG_SELL' END AS signal FROM (SELECT ticker, d, (0.040 * {CNQ('m63', -20, 20)} + 0.035 * {PMQ('m252 > 0')} - 0.025 * {CNQ('-m5', -5, 5)} + 0.030 * {RSQ} + 0.025 * {PMQ('macd_hist > 0')} + 0.020 * {CNQ(f"(rv * {PMQ('m5 > 0')})", -3, 3)}
+    + 0.030 * CASE WHEN hurst_log > 0.55 THEN {CNQ('m63', -20, 20)} WHEN hurst_log < 0.45 THEN {RSQ} ELSE 0 END + 0.020 * {CNQ('50 - vp', -50, 50)} + 0.025 * {PMQ('a50 > a200')}) / 0.25 AS composite FROM
+    (SELECT ticker, d, k, (c / lag(c, 63) OVER w - 1) * 100 AS m63, (c / lag(c, 252) OVER w - 1) * 100 AS m252, (c / lag(c, 5) OVER w - 1) * 100 AS m5, v / {sfull('avg(v)', 20)} AS rv, {sfull('avg(c)', 50)} AS a50, {sfull('avg(c)', 200)} AS a200 FROM tails {W}) JOIN (SELECT ticker, d, rsi_sma_14 FROM rs) USING (ticker, d) JOIN (SELECT ticker, d, macd_hist FROM m3) USING (ticker, d) JOIN h3 USING (ticker)
+    JOIN (SELECT ticker, (2 * count(*) FILTER (rv < cur) + count(*) FILTER (rv = cur) + 1) * 50.0 / count(*) AS vp FROM (SELECT *, max(CASE WHEN k = 0 THEN rv END) OVER (PARTITION BY ticker) AS cur FROM (SELECT *, {sfull('stddev_samp(r)', 21)} * {ANN} AS rv FROM tails {W}) WHERE rv IS NOT NULL) GROUP BY ticker) USING (ticker) WHERE k = 0)"""
+reg("directional_composite", "ticker d composite signal:s", "tails", DIRQ, directional, ", ".join((GL, MC, HURST[:HURST.index(",\nch AS")], HURST_LOG)))
 
 
 def altdata(s, d):
