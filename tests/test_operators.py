@@ -48,6 +48,14 @@ def test_asof_join_plain_and_bucketed_agree_with_brute_force(spark):
         assert len(got) == len(left) and all(want[(r["k"], r["t"])] == r["v"] for r in got)
 
 
+def test_forward_exit_needs_a_matured_window(spark):
+    b = spark.createDataFrame([(1, D0 + dt.timedelta(days=i), 10.0 + i) for i in (0, 2, 30, 95)], "ticker long, d date, c double")
+    p = spark.createDataFrame([(1, D0), (1, D0 + dt.timedelta(days=20))], "ticker long, x date")
+    got = joins.forward_exit(b, p, 28, slip=5).collect()
+    # from day 0: in at day 2, out at day 30; from day 20 the first close after day 48 is past the slip
+    assert [(r["entry"], r["exit"]) for r in got] == [(12.0, 40.0)]
+
+
 def test_slip_and_weekend(spark):
     b = spark.createDataFrame([(1, dt.date(2024, 1, 5), 10.0), (1, dt.date(2024, 1, 8), 11.0)], "ticker long, d date, c double")
     p = spark.createDataFrame([(1, dt.date(2024, 1, 6)), (1, dt.date(2024, 3, 1))], "ticker long, x date")

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str],
-              bucket: Column | None = None, prefix: str = "") -> DataFrame:
-    """Adds to every left row the values of the newest right row with right_ts <= left_ts (null when none).
+              bucket: Column | None = None, prefix: str = "", forward: bool = False) -> DataFrame:
+    """Adds to every left row the values of the newest right row with right_ts <= left_ts (null when none), or with
+    forward=True of the first one with right_ts >= left_ts.
     Of several right rows with one timestamp the one with the greatest `values` tuple is used."""
+    if forward and bucket is not None:
+        raise ValueError("bucket is for the backward form")
     cols = left.columns
     ls = left.select(F.struct(*cols).alias("_row"), F.col(key).alias("_k"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
                      F.lit(None).cast(right.select(F.struct(F.col(right_ts).alias("_ts"), *values).alias("x")).schema["x"].dataType).alias("_v"))
@@ -22,7 +25,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     rs = rs.select(F.lit(None).cast(ls.schema["_row"].dataType).alias("_row"), "_k", "_t", F.lit(0).alias("_side"), "_v")
     u = ls.unionByName(rs)
     if bucket is None:
-        w = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        time = F.col("_t").desc() if forward else F.col("_t")
+        w = Window.partitionBy("_k").orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
         u = u.withColumn("_m", F.last("_v", ignorenulls=True).over(w))
     else:
         u = u.withColumn("_b", bucket)
@@ -77,13 +81,14 @@ def year_ago(q: DataFrame, key: str, ts: str, value: str, tol: int = 45, last: b
 
 
 def forward_exit(bars: DataFrame, points: DataFrame, days: int, slip: int = 10) -> DataFrame:
-    """Entry: first close after x (within the window); exit: first close on or after x + days, both within x + days + slip."""
-    cand = points.select("ticker", "x").join(bars.select("ticker", "d", "c"), "ticker").where(
-        (F.col("d") > F.col("x")) & (F.col("d") <= F.date_add("x", days + slip)))
-    g = cand.groupBy("ticker", "x").agg(F.min_by("c", "d").alias("entry"),
-                                       F.min_by(F.when(F.col("d") >= F.date_add("x", days), F.col("c")),
-                                                F.when(F.col("d") >= F.date_add("x", days), F.col("d"))).alias("exit"))
-    return g.where("exit is not null").withColumn("ret", F.col("exit") / F.col("entry") - 1)
+    """Entry: first close after x; exit: first close on or after x + days, at most slip days later (null if not matured).
+    Both are forward as-of joins, so a bar is read once per join and not once per point."""
+    b = bars.select("ticker", "d", "c")
+    x = points.select("ticker", "x").distinct().withColumn("_from", F.date_add("x", 1)).withColumn("_to", F.date_add("x", days))
+    x = asof_join(x, b, "ticker", "_from", "d", ["c"], prefix="in_", forward=True)
+    x = asof_join(x, b, "ticker", "_to", "d", ["d", "c"], prefix="out_", forward=True)
+    x = x.where(F.col("out_d") <= F.date_add("x", days + slip))
+    return x.select("ticker", "x", F.col("in_c").alias("entry"), F.col("out_c").alias("exit")).withColumn("ret", F.col("exit") / F.col("entry") - 1)
 
 
 def base_pair_stats(series: DataFrame, base: int, market: DataFrame, min_days: int = 120) -> DataFrame:

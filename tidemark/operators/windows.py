@@ -114,10 +114,11 @@ def ttm(series: DataFrame, key: str = "cik", lo: int = 230, hi: int = 320) -> Da
 
 def q4_synthesis(quarterly: DataFrame, annual: DataFrame) -> DataFrame:
     """Fourth quarter = year minus exactly three quarters that end inside it, when positive and not filed itself.
-    Each quarter is sent to the year ends that can hold it by an equi-join on the key; a key has one row per quarter."""
+    A quarter can only belong to a year that ends in its own or the next calendar year, so the join is on (key, year)."""
     miss = annual.join(quarterly.select("cik", "end"), ["cik", "end"], "left_anti").select("cik", F.col("end").alias("ae"), F.col("val").alias("av"), F.col("filed").alias("af"))
     gap = F.datediff("ae", "end")
-    j = miss.join(quarterly, "cik").where((gap > 0) & (gap < 380) & (gap <= 320))
+    near = quarterly.select("cik", "end", "val", "filed", F.explode(F.array(F.year("end"), F.year("end") + 1)).alias("_y"))
+    j = miss.withColumn("_y", F.year("ae")).join(near, ["cik", "_y"]).where((gap > 0) & (gap < 380) & (gap <= 320))
     g = j.groupBy("cik", "ae", "av", "af").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("s"), F.max("filed").alias("qf"))
     add = g.where((F.col("n") == 3) & (F.col("av") - F.col("s") > 0)).select("cik", F.col("ae").alias("end"), (F.col("av") - F.col("s")).alias("val"), F.greatest("af", "qf").alias("filed"))
     return quarterly.select("cik", "end", "val", "filed").unionByName(add)

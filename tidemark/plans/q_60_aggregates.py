@@ -176,7 +176,8 @@ reg("stage_restricted_summary", ESC, "bars quarters", ES.format("NOT passed OR s
 def recoveries(s, d):
     """Entry at the filing, target 5 % above the first close after it, followed for a year."""
     q = V.quarters(s, d).select("ticker", "filed", (F.col("net_income") > 0).alias("healthy"))
-    j = q.join(V.bars(s, d).select("ticker", "d", "c"), "ticker").where((F.col("d") > F.col("filed")) & (F.col("d") <= F.date_add("filed", 365)))
+    q = q.withColumn("y", F.explode(F.array(F.year("filed"), F.year("filed") + 1)))  # the only two years a follow-up can touch
+    j = q.join(V.bars(s, d).select("ticker", "d", "c", F.year("d").alias("y")), ["ticker", "y"]).where((F.col("d") > F.col("filed")) & (F.col("d") <= F.date_add("filed", 365)))
     g = j.groupBy("ticker", "filed", "healthy").agg(F.min_by("c", "d").alias("entry"), F.sort_array(F.collect_list(F.struct("d", "c"))).alias("p"))
     hit = F.try_element_at(F.filter("p", lambda x: x["c"] >= F.col("entry") * 1.05), F.lit(1))
     g = g.withColumn("hit", hit)
