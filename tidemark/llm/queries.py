@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, lines, packing, records, rules
+from tidemark.llm import bpe, jaccard, lines, packing, records, rules
 from tidemark.llm.shared import table
 
 
@@ -29,5 +29,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), records.with_end(public_tokenizers.path("byte_bpe_50k.json"), 0, spaced=True))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op6_line_dedup": op6_line_dedup, "op7_records": op7_records, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op6_line_dedup": op6_line_dedup, "op7_records": op7_records, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_jaccard_join": op10_jaccard_join}
 SQL: dict[str, str] = {"op6_line_dedup": lines.oracle()}

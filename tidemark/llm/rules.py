@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from tidemark.llm.shared import written
 from tidemark.llm.tokens import slices
 
-SUPPORT, STEPS, LEAST, BINS, CUT = 0.75, 4, 60, 256, 60.0
+SUPPORT, STEPS, LEAST, BINS, CUT = 0.75, 4, 60, 256, 40.0
 #: Standard deviations that no statistic goes below: symbols, duplicate lines, repeated words, capitals, marks (roots of shares), log word length.
 FLOORS = (0.10, 0.25, 0.25, 0.06, 0.08, 0.08)
 D = len(FLOORS)
