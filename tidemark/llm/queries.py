@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, jaccard, lines, packing, records, rules
+from tidemark.llm import bpe, chat, jaccard, lines, packing, records, rules, urls
 from tidemark.llm.shared import table
 
 
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.conversation_pairs(table(spark, sf_dir, "conversations")), "conv_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
 
@@ -33,5 +41,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op6_line_dedup": op6_line_dedup, "op7_records": op7_records, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_jaccard_join": op10_jaccard_join}
-SQL: dict[str, str] = {"op6_line_dedup": lines.oracle()}
+QUERIES = {"op2_url_templates": op2_url_templates, "op4_bpe": op4_bpe, "op5_preferences": op5_preferences, "op6_line_dedup": op6_line_dedup, "op7_records": op7_records, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_jaccard_join": op10_jaccard_join}
+SQL: dict[str, str] = {"op2_url_templates": urls.oracle(), "op5_preferences": chat.oracle(), "op6_line_dedup": lines.oracle()}

@@ -88,8 +88,8 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def vector() -> list[Column]:
     """Transformed statistics of a document with words; null without."""
-    share = lambda a, b: F.sqrt(F.col(a) / F.col(b))
-    return [share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), share("n_upper", "word_chars"), share("n_marks", "word_chars"), F.log(F.col("word_chars") / F.col("n_words"))]
+    share = lambda a, b: F.sqrt(F.try_divide(a, b))
+    return [share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), share("n_upper", "word_chars"), share("n_marks", "word_chars"), F.log(F.try_divide("word_chars", "n_words"))]
 
 
 def grouped(stats: DataFrame) -> DataFrame:
