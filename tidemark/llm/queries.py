@@ -5,14 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, jaccard, lines, packing, records, rules, urls
+from tidemark.llm import ann, bpe, chat, cotrain, jaccard, lines, packing, records, rules, urls
 from tidemark.llm.shared import table
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
 
 
+def op3_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -41,5 +50,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {"op2_url_templates": op2_url_templates, "op4_bpe": op4_bpe, "op5_preferences": op5_preferences, "op6_line_dedup": op6_line_dedup, "op7_records": op7_records, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_cotraining": op1_cotraining, "op2_url_templates": op2_url_templates, "op3_kmeans_tree": op3_kmeans_tree, "op4_bpe": op4_bpe, "op5_preferences": op5_preferences, "op6_line_dedup": op6_line_dedup, "op7_records": op7_records, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_jaccard_join": op10_jaccard_join}
 SQL: dict[str, str] = {"op2_url_templates": urls.oracle(), "op5_preferences": chat.oracle(), "op6_line_dedup": lines.oracle()}
