@@ -111,7 +111,7 @@ class Codec:
         self.pieces = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE_SPACE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{WHITE_SPACE}]").replace(r"\S", f"[^{WHITE_SPACE}]"))
         self.merge = RankQueue(self.ranks).merge
         self.seen: dict[str, bytes] = {}
-        self.chunks = ChunkEncoder(self.encode_strings, spaced=True)
+        self.chunks = ChunkEncoder(self.encode_strings, spaced=True, entries=700_000)
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for b, i in self.ranks.items():
             self.bytes_of[i] = b
@@ -124,7 +124,7 @@ class Codec:
                 ids = seen.get(p)
                 if ids is None:
                     ids = np.array(self.merge(p.encode("utf-8", "replace")), "<u4").tobytes()
-                    if len(p) <= 32 and len(seen) < 400_000:
+                    if len(p) <= 32 and len(seen) < 500_000:
                         seen[p] = ids
                 parts.append(ids)
             out.append(b"".join(parts))

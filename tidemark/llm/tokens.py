@@ -14,8 +14,10 @@ import numpy as np
 
 #: A blank before white space or at the end: there a run of blanks is divided by look-ahead, and a text is encoded whole.
 UNSAFE = re.compile(r" (?:\s|\Z)")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 LONGEST_CACHED = 64
+#: A mark of these behind a letter is a token group of its own in the patterns of both vocabularies.
+TAILS = frozenset(".,;:!?")
 #: How the byte-level vocabularies write a blank; and a character that stands between strings encoded together.
 BLANK, MARK = "\u0120", "\x00"
 
@@ -26,6 +28,7 @@ class ChunkEncoder:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, entries: int = CACHE_ENTRIES):
         self.encode, self.spaced, self.entries = encode, spaced, entries
         self.cache: dict[str, bytes] = {"": b""} if not spaced else {}
+        self.tails: dict[str, bytes] = {}
 
     def batch(self, texts: list[str]) -> list[bytes]:
         cache, whole, heads, parts = self.cache, {}, {}, []
@@ -41,11 +44,17 @@ class ChunkEncoder:
                 del pieces[0]
             parts.append(pieces)
             missing.update(p for p in pieces if p not in cache)
-        new = list(missing)
+        ended = {p: p[:-1] for p in missing if p[-1:] in TAILS and p[-2:-1].isalpha()}
+        new = list(missing.difference(ended).union(stem for stem in ended.values() if stem not in cache))
         own = [*whole, *heads]
         got = self.encode([(" " + p if self.spaced else p) for p in new] + [texts[i] for i in whole] + list(heads.values()))
         cache.update(zip(new, got[: len(new)]))
         alone = dict(zip(own, got[len(new) :]))
+        if ended and not self.tails:
+            self.tails = dict(zip(TAILS, self.encode(list(TAILS))))
+        for p, stem in ended.items():
+            cache[p] = cache[stem] + self.tails[p[-1]]
+        new += ended
         out = [alone.get(i, b"") + b"".join(map(cache.__getitem__, p)) for i, p in enumerate(parts)]
         if len(cache) > self.entries:
             for p in new:
