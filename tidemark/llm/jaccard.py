@@ -23,7 +23,6 @@ Extra columns are left out.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +34,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import written
 from tidemark.llm.tokens import slices
 
-CELL_BITS, PARTS, LEADERS = 20, 64, 4
+CELL_BITS, PARTS = 20, 64
 CELLS = (1 << CELL_BITS) // PARTS
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-_WORDS: dict[bytes, int] = {}
-
-
-def _word(w: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+#: Mixings, how many of them draw a leader, and how many minima a set must share with its leader to be compared.
+MINIMA, LEADERS, ALIKE = 8, 4, 5
+#: Bits of the filter that spares most documents without a candidate a second look.
+FILTER_BITS = 26
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, *((np.arange(1, MINIMA + 1, dtype=object) * 0xD6E8FEB86659FD93 % (1 << 64)) | 1)], np.uint64)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_SEGMENT = 1 << 20
 
 
 def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
@@ -50,24 +50,63 @@ def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit digests of the k-word shingles."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    known = _WORDS
-    if len(known) > 600_000:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = _word(w)
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-    size = min(k, n)
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as the longest segment asked for; and a random number per byte."""
+
+    base = 0x5851F42D4C957F2D
+    up = down = np.ones(1, np.uint64)
+    of_byte = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> None:
+        if len(cls.up) < n:
+            steps = np.full((2, max(n, _SEGMENT + 4096)), cls.base, np.uint64)
+            steps[1] = pow(cls.base, -1, 1 << 64)
+            steps[:, 0] = 1
+            with np.errstate(over="ignore"):
+                cls.up, cls.down = np.cumprod(steps, axis=1, dtype=np.uint64)
+
+
+def _word_digests(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit digest of every word, from running sums of byte values times powers; in segments that end with a word."""
+    all_starts, all_digests, at = [], [], 0
+    data = np.frombuffer(raw, np.uint8)
+    while at < len(data):
+        end = min(at + _SEGMENT, len(data))
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        part = data[at:end]
+        inside = np.concatenate([[False], ~_SPACE[part], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        _Powers.to(len(part) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_Powers.of_byte[part] * _Powers.up[: len(part)])])
+            all_digests.append(_mix((sums[ends] - sums[starts]) * _Powers.down[starts], _ODD[2]))
+        all_starts.append(starts + at)
+        at = end
+    none = np.zeros(0, np.int64)
+    return np.concatenate(all_starts or [none]), np.concatenate(all_digests or [none.astype(np.uint64)])
+
+
+def shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """Per text: sorted distinct 64-bit digests of its k-word shingles."""
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    starts, words = _word_digests(b" ".join(raw).lower())
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
+    out = []
     with np.errstate(over="ignore"):
-        h = np.full(n - size + 1, size, np.uint64)
-        for i in range(size):
-            h = _mix(h * _ODD[0] + w[i : n - size + 1 + i], _ODD[1])
-    return np.unique(h)
+        for a, b in zip(bounds, bounds[1:]):
+            w, size = words[a:b], min(k, b - a)
+            if not size:
+                out.append(words[:0])
+                continue
+            h = np.full(len(w) - size + 1, size, np.uint64)
+            for i in range(size):
+                h = _mix(h * _ODD[0] + w[i : len(w) - size + 1 + i], _ODD[1])
+            h.sort()
+            out.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
+    return out
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -93,13 +132,13 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
         sketch, task = np.zeros(1 << CELL_BITS, np.uint32), TaskContext.get().partitionId()
         names = ["doc_id", "n", "digest", "minima", "task", "part", "cells"]
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
-        for b in slices(batches, 2_000_000):
-            sets = [shingles(t, k) for t in b.column("text").to_pylist()]
+        for b in slices(batches, 1_000_000):
+            sets = shingles(b.column("text").to_pylist(), k)
             if sum(map(len, sets)):
                 cells, times = np.unique(np.concatenate(sets) >> np.uint64(64 - CELL_BITS), return_counts=True)
                 sketch[cells.astype(np.int64)] += times.astype(np.uint32)
             with np.errstate(over="ignore"):
-                minima = [[int(_mix(s, _ODD[3 + m]).min().astype(np.int64)) for m in range(LEADERS)] if len(s) else [] for s in sets]
+                minima = [[int(_mix(s, _ODD[3 + m]).min().astype(np.int64)) for m in range(MINIMA)] if len(s) else [] for s in sets]
             none = [None] * b.num_rows
             columns = [b.column("doc_id"), [len(s) for s in sets], [digest(s) if len(s) else None for s in sets], minima, none, none, none]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], names)
@@ -133,10 +172,9 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, weights: np.ndarray) -
     """Per document with a set: digest, n, and the first tokens in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2_000_000):
+        for b in slices(batches, 1_000_000):
             ids, sizes, firsts = [], [], []
-            for t in b.column("text").to_pylist():
-                s = shingles(t, k)
+            for s in shingles(b.column("text").to_pylist(), k):
                 if len(s):
                     p = prefix_length(len(s), num, den)
                     w = weights[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
@@ -150,21 +188,60 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, weights: np.ndarray) -
     return docs.select("text").mapInArrow(run, "digest binary, n int, tokens array<long>")
 
 
+def _slots(ids: pa.Array) -> np.ndarray:
+    """Places of document ids in the filter."""
+    import pyarrow.compute as pc
+
+    with np.errstate(over="ignore"):
+        x = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return (_mix(x * _ODD[0], _ODD[1]) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def id_filter(wanted: DataFrame) -> np.ndarray:
+    """A bit array of fixed size (8 MB) with the places of the ids in `rep`; more ids only make it less selective."""
+    size = (1 << FILTER_BITS) // 8 // PARTS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, some = np.zeros(1 << FILTER_BITS, bool), False
+        for b in batches:
+            bits[_slots(b.column("rep"))] = True
+            some = some or b.num_rows > 0
+        if some:
+            packed = np.packbits(bits)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "cells": pa.array([packed[i * size : (i + 1) * size].tobytes() for i in range(PARTS)], pa.binary())})
+
+    def either(rows: pd.DataFrame) -> pd.DataFrame:
+        cells = np.zeros(size, np.uint8)
+        for x in rows["cells"]:
+            cells |= np.frombuffer(x, np.uint8)
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "cells": [cells.tobytes()]})
+
+    schema = "part int, cells binary"
+    marked = wanted.select("rep").coalesce(16).mapInArrow(mark, schema).groupBy("part").applyInPandas(either, schema)
+    out = np.zeros((PARTS, size), np.uint8)
+    for r in marked.collect():
+        out[r["part"]] = np.frombuffer(r["cells"], np.uint8)
+    return out.ravel()
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Whole sets of the classes in `wanted` (rep, digest, ...), computed again from one document of each: its columns and `shingles`."""
-    extra = [c for c in wanted.columns if c not in ("rep", "digest")]
-    picked = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"]))
-    schema = picked.select(*extra).schema
+    """The columns of `wanted` (rep, digest, ...) with the whole `shingles` of each class, computed again from one of its documents.
+
+    Only documents that pass the filter are looked at again; texts are not shuffled. A repeated row gives its set once per task, and
+    a link found twice is one link.
+    """
+    bits = id_filter(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2_000_000):
-            sets = [shingles(t, k) for t in b.column("text").to_pylist()]
-            mine = pa.array([d == digest(s) for d, s in zip(b.column("digest").to_pylist(), sets)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in extra), pa.array([s.tobytes() for s in sets], pa.binary())], [*extra, "shingles"])
-            yield out.filter(mine)
+        seen: set[bytes] = set()
+        for whole in batches:
+            places = _slots(whole.column("doc_id"))
+            for b in slices([whole.filter(pa.array((bits[places >> 3] >> (7 - (places & 7)) & 1).astype(bool)))], 1_000_000):
+                rows = [(digest(s), s.tobytes()) for s in shingles(b.column("text").to_pylist(), k) if len(s)]
+                rows = [r for r in rows if r[0] not in seen and not seen.add(r[0])]
+                yield pa.RecordBatch.from_pydict({"digest": pa.array([r[0] for r in rows], pa.binary()), "shingles": pa.array([r[1] for r in rows], pa.binary())})
 
-    made = picked.select("text", "digest", *extra).mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in schema), "shingles binary"]))
-    return made.dropDuplicates(["id"])
+    return docs.mapInArrow(run, "digest binary, shingles binary").join(wanted.drop("rep"), "digest").drop("digest")
 
 
 def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -202,13 +279,17 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.drop("old")
 
 
-def leader_pairs(profile: DataFrame, classes: DataFrame) -> DataFrame:
-    """(x leader, y): for each mixing, the classes with one minimum meet a leader that is drawn for this mixing."""
-    minima = profile.filter("digest is not null").select("digest", "minima").dropDuplicates(["digest"]).join(classes.select("digest", "id"), "digest")
-    rows = minima.select("id", F.posexplode("minima").alias("m", "least"))
+def leader_pairs(profile: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(x leader, y): for each mixing, the classes with one minimum meet a leader that is drawn for this mixing. Pairs whose sizes
+    cannot link, or that share too few minima to be likely to, are left to the exact search."""
+    rows = profile.filter("digest is not null").select("digest", "minima").dropDuplicates(["digest"]).join(classes.select("digest", "id", "n"), "digest")
+    drawn = rows.select("id", "n", "minima", F.posexplode(F.slice("minima", 1, LEADERS)).alias("m", "least"))
     draw = F.xxhash64("id", "m")
-    leaders = rows.groupBy("m", "least").agg(F.min_by("id", draw).alias("x"), F.count("*").alias("held")).filter("held > 1")
-    return rows.join(leaders, ["m", "least"]).filter(F.col("x") != F.col("id")).select("x", F.col("id").alias("y")).distinct()
+    leaders = drawn.groupBy("m", "least").agg(F.min_by(F.struct("id", "n", "minima"), draw).alias("x"), F.count("*").alias("held")).filter("held > 1")
+    pairs = drawn.join(leaders, ["m", "least"]).filter(F.col("x.id") != F.col("id"))
+    shared = F.size(F.filter(F.zip_with("minima", "x.minima", lambda a, b: a == b), lambda same: same))
+    sizes = (F.col("n") * den >= F.col("x.n") * num) & (F.col("x.n") * den >= F.col("n") * num)
+    return pairs.filter(sizes & (shared >= ALIKE)).select(F.col("x.id").alias("x"), F.col("id").alias("y")).distinct()
 
 
 def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -241,13 +322,14 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     owned = profile.filter("part is null")
     classes = written(owned.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
 
-    pairs = leader_pairs(owned, classes)
+    pairs = written(leader_pairs(owned, classes, num, den), "jaccard-pairs")
     of = pairs.groupBy(F.col("y").alias("id")).agg(F.collect_set("x").alias("leaders"))
     wanted = of.unionByName(pairs.select(F.col("x").alias("id"), F.array().cast("array<long>").alias("leaders")))
     wanted = wanted.groupBy("id").agg(F.flatten(F.collect_list("leaders")).alias("leaders"))  # LEADERS at most
     leads = pairs.select(F.col("x").alias("id")).distinct().withColumn("leads", F.lit(True))
     wanted = classes.select("rep", "digest", "id").join(wanted, "id").join(leads, "id", "left")
-    sets = written(sets_of(docs, wanted.withColumn("leads", F.coalesce("leads", F.lit(False))), k), "jaccard-sets")
+    wanted = written(wanted.withColumn("leads", F.coalesce("leads", F.lit(False))), "jaccard-wanted")
+    sets = written(sets_of(docs, wanted, k), "jaccard-sets")
     members = sets.select(F.explode("leaders").alias("x"), F.col("id").alias("y"), F.col("shingles").alias("right"))
     leaders = sets.filter("leads").select(F.col("id").alias("x"), F.col("shingles").alias("left"))
     derived = written(verified(members.join(leaders, "x"), num, den), "jaccard-derived")
@@ -260,7 +342,8 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     left = written(candidates(entries, num, den), "jaccard-candidates")
     missing = left.select(F.col("x").alias("id")).union(left.select("y")).distinct()
     have = sets.select("id", "shingles").join(missing, "id", "left_semi")
-    more = sets_of(docs, classes.select("rep", "digest", "id").join(missing, "id", "left_semi").join(sets.select("id"), "id", "left_anti"), k)
+    lacking = classes.select("rep", "digest", "id").join(missing, "id", "left_semi").join(sets.select("id"), "id", "left_anti")
+    more = sets_of(docs, written(lacking, "jaccard-wanted"), k).select("id", "shingles")
     whole = written(have.unionByName(more), "jaccard-sets")
     rows = left.join(whole.select(F.col("id").alias("y"), F.col("shingles").alias("right")), "y").join(whole.select(F.col("id").alias("x"), F.col("shingles").alias("left")), "x")
     searched = written(verified(rows, num, den), "jaccard-searched")
