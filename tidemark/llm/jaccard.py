@@ -8,7 +8,8 @@
    any order is right, a good one is fast), and two sets that link share a token among the first `n - ceil(t n) + 1` of each. The
    index list of a token holds one block per component: smallest and largest size, earliest position. Blocks of one component are
    never paired, and a pair of blocks is skipped when the sizes cannot link or the positions leave too few tokens behind the
-   shared one. Blocks with several sets are opened for the pairs that remain, and sizes and positions are tested again per set.
+   shared one. Blocks with several sets are opened for the pairs that remain, and sizes, positions and parity bits of the whole
+   sets are tested per pair of sets.
 4. Candidates are verified on whole sets; components come from label propagation with pointer jumping over the links.
 
 No pair is made inside a component once it is known, no list is held by one task (lists are joined on the token, and Spark can
@@ -40,6 +41,7 @@ CELLS = (1 << CELL_BITS) // PARTS
 MINIMA, LEADERS, ALIKE = 8, 4, 5
 #: Bits of the filter that spares most documents without a candidate a second look.
 FILTER_BITS = 26
+BITS = ("b0", "b1", "b2", "b3")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, *((np.arange(1, MINIMA + 1, dtype=object) * 0xD6E8FEB86659FD93 % (1 << 64)) | 1)], np.uint64)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _SEGMENT = 1 << 20
@@ -169,11 +171,14 @@ def token_weights(profile: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, weights: np.ndarray) -> DataFrame:
-    """Per document with a set: digest, n, and the first tokens in the global order."""
+    """Per document with a set: digest, n, the first tokens in the global order, and 256 parity bits of the whole set.
+
+    A bit is the parity of the set's tokens with one remainder; two sets differ in at least as many tokens as in bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1_000_000):
-            ids, sizes, firsts = [], [], []
+            ids, sizes, firsts, parity = [], [], [], []
             for s in shingles(b.column("text").to_pylist(), k):
                 if len(s):
                     p = prefix_length(len(s), num, den)
@@ -181,15 +186,17 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, weights: np.ndarray) -
                     ids.append(digest(s))
                     sizes.append(len(s))
                     firsts.append(s[np.argsort(w, kind="stable")[:p]].astype(np.int64))
+                    parity.append(np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view("<i8"))
             ends = np.cumsum([0, *map(len, firsts)])
             tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), tokens], ["digest", "n", "tokens"])
+            bits = np.array(parity, np.int64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), tokens, *map(pa.array, bits)], ["digest", "n", "tokens", *BITS])
 
-    return docs.select("text").mapInArrow(run, "digest binary, n int, tokens array<long>")
+    return docs.select("text").mapInArrow(run, "digest binary, n int, tokens array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _slots(ids: pa.Array) -> np.ndarray:
-    """Places of document ids in the filter."""
+    """Places of numbers in the filter."""
     import pyarrow.compute as pc
 
     with np.errstate(over="ignore"):
@@ -197,14 +204,18 @@ def _slots(ids: pa.Array) -> np.ndarray:
         return (_mix(x * _ODD[0], _ODD[1]) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def id_filter(wanted: DataFrame) -> np.ndarray:
-    """A bit array of fixed size (8 MB) with the places of the ids in `rep`; more ids only make it less selective."""
+def _holds(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (7 - (places & 7)) & 1).astype(bool)
+
+
+def membership(wanted: DataFrame, key: str) -> np.ndarray:
+    """A bit array of fixed size (8 MB) with the places of the numbers in `key`; more of them only make it less selective."""
     size = (1 << FILTER_BITS) // 8 // PARTS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, some = np.zeros(1 << FILTER_BITS, bool), False
         for b in batches:
-            bits[_slots(b.column("rep"))] = True
+            bits[_slots(b.column(key))] = True
             some = some or b.num_rows > 0
         if some:
             packed = np.packbits(bits)
@@ -217,7 +228,7 @@ def id_filter(wanted: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": [rows["part"].iloc[0]], "cells": [cells.tobytes()]})
 
     schema = "part int, cells binary"
-    marked = wanted.select("rep").coalesce(16).mapInArrow(mark, schema).groupBy("part").applyInPandas(either, schema)
+    marked = wanted.select(key).coalesce(16).mapInArrow(mark, schema).groupBy("part").applyInPandas(either, schema)
     out = np.zeros((PARTS, size), np.uint8)
     for r in marked.collect():
         out[r["part"]] = np.frombuffer(r["cells"], np.uint8)
@@ -230,13 +241,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     Only documents that pass the filter are looked at again; texts are not shuffled. A repeated row gives its set once per task, and
     a link found twice is one link.
     """
-    bits = id_filter(wanted)
+    bits = membership(wanted, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for whole in batches:
             places = _slots(whole.column("doc_id"))
-            for b in slices([whole.filter(pa.array((bits[places >> 3] >> (7 - (places & 7)) & 1).astype(bool)))], 1_000_000):
+            for b in slices([whole.filter(pa.array(_holds(bits, places)))], 1_000_000):
                 rows = [(digest(s), s.tobytes()) for s in shingles(b.column("text").to_pylist(), k) if len(s)]
                 rows = [r for r in rows if r[0] not in seen and not seen.add(r[0])]
                 yield pa.RecordBatch.from_pydict({"digest": pa.array([r[0] for r in rows], pa.binary()), "shingles": pa.array([r[1] for r in rows], pa.binary())})
@@ -292,27 +303,56 @@ def leader_pairs(profile: DataFrame, classes: DataFrame, num: int, den: int) ->
     return pairs.filter(sizes & (shared >= ALIKE)).select(F.col("x.id").alias("x"), F.col("id").alias("y")).distinct()
 
 
-def candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x, y) of classes in different components that share a token of both prefixes and whose sizes and positions allow a link."""
-    tokens = entries.select("id", "component", "several", "n", F.posexplode("tokens").alias("at", "token"))
-    single = tokens.filter("not several").select("token", "component", F.col("id").alias("one"), F.col("n").alias("low"), F.col("n").alias("high"), "at", F.lit(False).alias("several"))
-    shared = tokens.filter("several").groupBy("token", "component").agg(F.min("id").alias("one"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("at").alias("at")).withColumn("several", F.lit(True))
-    blocks = single.unionByName(shared)
-    l, r = blocks.alias("l"), blocks.alias("r")
-    sizes = (F.col("r.high") * den >= F.col("l.low") * num) & (F.col("l.high") * den >= F.col("r.low") * num)
-    behind = 1 + F.least(F.col("l.high") - F.col("l.at"), F.col("r.high") - F.col("r.at")) - 1
-    positions = behind * (num + den) >= (F.col("l.low") + F.col("r.low")) * num
-    pairs = l.join(r, F.col("l.token") == F.col("r.token")).filter((F.col("l.component") < F.col("r.component")) & sizes & positions)
-    flat = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("one", "component", "several", "low", "at")]
-    pairs = pairs.select(F.col("l.token").alias("token"), *flat)
-    members = tokens.filter("several").select("token", "component", "id", "n", "at")
-    for s in "lr":
-        opened = members.select("token", *(F.col(c).alias(f"{s}_{c if c != 'id' else 'member'}") for c in ("component", "id", "n")), F.col("at").alias(f"{s}_pos"))
-        plain = pairs.filter(~F.col(f"{s}_several")).withColumns({f"{s}_member": F.col(f"{s}_one"), f"{s}_n": F.col(f"{s}_low"), f"{s}_pos": F.col(f"{s}_at")})
-        pairs = plain.unionByName(pairs.filter(f"{s}_several").join(opened, ["token", f"{s}_component"]))
-    exact = (F.col("l_n") * den >= F.col("r_n") * num) & (F.col("r_n") * den >= F.col("l_n") * num)
-    exact &= F.least(F.col("l_n") - F.col("l_pos"), F.col("r_n") - F.col("r_pos")) * (num + den) >= (F.col("l_n") + F.col("r_n")) * num
-    return pairs.filter(exact).select(F.least("l_member", "r_member").alias("x"), F.greatest("l_member", "r_member").alias("y")).distinct()
+def live_tokens(entries: DataFrame) -> DataFrame:
+    """Rows (id, component, several, n, bits, at, token) of the tokens that sets of two components hold, and few others.
+
+    Tokens are first reduced to their least and largest component on the map side; the filter built from those that differ then
+    spares the others the way through a shuffle.
+    """
+    held = entries.select("component", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    bits = membership(held.filter("low < high"), "token")
+    carried = ["id", "component", "several", "n", *BITS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = b.column("tokens")
+            flat, ends = tokens.flatten(), tokens.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), ends)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(ends) - ends, ends)
+            mine = np.flatnonzero(_holds(bits, _slots(flat)))
+            take = pa.array(row[mine])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in carried), pa.array(at[mine].astype(np.int32)), flat.take(pa.array(mine))], [*carried, "at", "token"])
+
+    schema = ", ".join(f"{c} {entries.schema[c].dataType.simpleString()}" for c in carried) + ", at int, token long"
+    return entries.mapInArrow(run, schema)
+
+
+def candidates(tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of classes in different components that share a token of both prefixes and whose sizes, positions and parity bits
+    allow a link."""
+    own = ["id", "n", *BITS]
+    single = tokens.filter("not several").select("token", "component", *own, F.col("n").alias("low"), F.col("n").alias("high"), "at")
+    shared = tokens.filter("several").groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("at").alias("at"))
+    blocks = single.unionByName(shared, allowMissingColumns=True)
+
+    def fits(l: dict, r: dict):
+        """Sizes, positions and, where both sides are single sets, parity bits."""
+        sizes = (r["high"] * den >= l["low"] * num) & (l["high"] * den >= r["low"] * num)
+        behind = F.least(l["high"] - l["at"], r["high"] - r["at"]) * (num + den) >= (l["low"] + r["low"]) * num
+        differ = sum((F.bit_count(l[b].bitwiseXOR(r[b])) for b in BITS), F.lit(0)) * (num + den) <= (l["n"] + r["n"]) * (den - num)
+        return sizes & behind & F.coalesce(differ, F.lit(True))
+
+    columns = ["component", *own, "low", "high", "at"]
+    of = lambda s: {c: F.col(f"{s}_{c}") for c in columns}
+    l, r = (blocks.select("token", *(F.col(c).alias(f"{s}_{c}") for c in columns)) for s in "lr")
+    pairs = l.join(r, "token").filter((F.col("l_component") < F.col("r_component")) & fits(of("l"), of("r")))
+    members = tokens.filter("several")
+    for s in "lr":  # blocks with several sets are opened
+        opened = members.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("component", *own, "at")), F.col("n").alias(f"{s}_low"), F.col("n").alias(f"{s}_high"))
+        closed = pairs.filter(f"{s}_id is null").drop(*(f"{s}_{c}" for c in columns if c != "component"))
+        closed = closed.join(opened, ["token", f"{s}_component"]).filter(fits(of("l"), of("r")))
+        pairs = pairs.filter(f"{s}_id is not null").unionByName(closed)
+    return pairs.select(F.least("l_id", "r_id").alias("x"), F.greatest("l_id", "r_id").alias("y")).distinct()
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -337,9 +377,10 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
 
     weights = token_weights(profile)
     entries = prefixes(docs, k, num, den, weights).dropDuplicates(["digest"]).join(classes.select("digest", "id"), "digest").join(known, "id", "left")
-    entries = entries.select("id", "n", "tokens", F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("several"))
+    entries = entries.select("id", "n", "tokens", *BITS, F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("several"))
     entries = written(entries, "jaccard-entries")
-    left = written(candidates(entries, num, den), "jaccard-candidates")
+    live = written(live_tokens(entries), "jaccard-live")
+    left = written(candidates(live, num, den), "jaccard-candidates")
     missing = left.select(F.col("x").alias("id")).union(left.select("y")).distinct()
     have = sets.select("id", "shingles").join(missing, "id", "left_semi")
     lacking = classes.select("rep", "digest", "id").join(missing, "id", "left_semi").join(sets.select("id"), "id", "left_anti")
