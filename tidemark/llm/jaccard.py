@@ -37,11 +37,11 @@ from tidemark.llm.tokens import slices
 
 CELL_BITS, PARTS = 20, 64
 CELLS = (1 << CELL_BITS) // PARTS
-#: Mixings, how many of them draw a leader, and how many minima a set must share with its leader to be compared.
-MINIMA, LEADERS, ALIKE = 8, 4, 5
+#: Mixings, each of which draws a leader; a set is compared with a leader that shares this part of the threshold of its minima.
+MINIMA, ALIKE = 8, 0.65
 #: Bits of the filter that spares most documents without a candidate a second look.
 FILTER_BITS = 26
-BITS = ("b0", "b1", "b2", "b3")
+BITS = tuple(f"b{i}" for i in range(8))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, *((np.arange(1, MINIMA + 1, dtype=object) * 0xD6E8FEB86659FD93 % (1 << 64)) | 1)], np.uint64)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _SEGMENT = 1 << 20
@@ -171,7 +171,7 @@ def token_weights(profile: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, weights: np.ndarray) -> DataFrame:
-    """Per document with a set: digest, n, the first tokens in the global order, and 256 parity bits of the whole set.
+    """Per document with a set: digest, n, the first tokens in the global order, and 512 parity bits of the whole set.
 
     A bit is the parity of the set's tokens with one remainder; two sets differ in at least as many tokens as in bits.
     """
@@ -186,10 +186,10 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, weights: np.ndarray) -
                     ids.append(digest(s))
                     sizes.append(len(s))
                     firsts.append(s[np.argsort(w, kind="stable")[:p]].astype(np.int64))
-                    parity.append(np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view("<i8"))
+                    parity.append(np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view("<i8"))
             ends = np.cumsum([0, *map(len, firsts)])
             tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
-            bits = np.array(parity, np.int64).reshape(-1, 4).T
+            bits = np.array(parity, np.int64).reshape(-1, 8).T
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), tokens, *map(pa.array, bits)], ["digest", "n", "tokens", *BITS])
 
     return docs.select("text").mapInArrow(run, "digest binary, n int, tokens array<long>, " + ", ".join(f"{b} long" for b in BITS))
@@ -294,13 +294,13 @@ def leader_pairs(profile: DataFrame, classes: DataFrame, num: int, den: int) ->
     """(x leader, y): for each mixing, the classes with one minimum meet a leader that is drawn for this mixing. Pairs whose sizes
     cannot link, or that share too few minima to be likely to, are left to the exact search."""
     rows = profile.filter("digest is not null").select("digest", "minima").dropDuplicates(["digest"]).join(classes.select("digest", "id", "n"), "digest")
-    drawn = rows.select("id", "n", "minima", F.posexplode(F.slice("minima", 1, LEADERS)).alias("m", "least"))
+    drawn = rows.select("id", "n", "minima", F.posexplode("minima").alias("m", "least"))
     draw = F.xxhash64("id", "m")
     leaders = drawn.groupBy("m", "least").agg(F.min_by(F.struct("id", "n", "minima"), draw).alias("x"), F.count("*").alias("held")).filter("held > 1")
     pairs = drawn.join(leaders, ["m", "least"]).filter(F.col("x.id") != F.col("id"))
     shared = F.size(F.filter(F.zip_with("minima", "x.minima", lambda a, b: a == b), lambda same: same))
     sizes = (F.col("n") * den >= F.col("x.n") * num) & (F.col("x.n") * den >= F.col("n") * num)
-    return pairs.filter(sizes & (shared >= ALIKE)).select(F.col("x.id").alias("x"), F.col("id").alias("y")).distinct()
+    return pairs.filter(sizes & (shared >= int(MINIMA * ALIKE * num / den))).select(F.col("x.id").alias("x"), F.col("id").alias("y")).distinct()
 
 
 def live_tokens(entries: DataFrame) -> DataFrame:
@@ -365,7 +365,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     pairs = written(leader_pairs(owned, classes, num, den), "jaccard-pairs")
     of = pairs.groupBy(F.col("y").alias("id")).agg(F.collect_set("x").alias("leaders"))
     wanted = of.unionByName(pairs.select(F.col("x").alias("id"), F.array().cast("array<long>").alias("leaders")))
-    wanted = wanted.groupBy("id").agg(F.flatten(F.collect_list("leaders")).alias("leaders"))  # LEADERS at most
+    wanted = wanted.groupBy("id").agg(F.flatten(F.collect_list("leaders")).alias("leaders"))  # MINIMA at most
     leads = pairs.select(F.col("x").alias("id")).distinct().withColumn("leads", F.lit(True))
     wanted = classes.select("rep", "digest", "id").join(wanted, "id").join(leads, "id", "left")
     wanted = written(wanted.withColumn("leads", F.coalesce("leads", F.lit(False))), "jaccard-wanted")
@@ -376,7 +376,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     known = components(derived)
 
     weights = token_weights(profile)
-    entries = prefixes(docs, k, num, den, weights).dropDuplicates(["digest"]).join(classes.select("digest", "id"), "digest").join(known, "id", "left")
+    entries = prefixes(docs, k, num, den, weights).dropDuplicates(["digest"]).join(classes.select("digest", "id").join(known, "id", "left"), "digest")
     entries = entries.select("id", "n", "tokens", *BITS, F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("several"))
     entries = written(entries, "jaccard-entries")
     live = written(live_tokens(entries), "jaccard-live")
