@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple | float:
             rows = [(d, text_view(t).astype(np.float16).tobytes() + meta_view(*m).astype(np.float16).tobytes()) for d, t, *m in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "n_chars")))]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "x": pa.array([r[1] for r in rows], pa.binary())})
 
-    docs = docs.join(wanted, "doc_id", "left_semi")
+    docs = docs.join(wanted.hint("broadcast"), "doc_id", "left_semi")  # LABELLED + POOL numbers at most
     made = docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     made = sorted((r["doc_id"], bytes(r["x"])) for r in made)
     x = np.array([np.frombuffer(b, np.float16) for _, b in made], np.float32).reshape(-1, WIDTH + META_WIDTH)
