@@ -146,3 +146,20 @@ def test_entity_resolution(spark):
     names = spark.createDataFrame([("SIER", "Sierra Bancorp"), ("TXN", "Texas Instruments Inc"), ("AAPL", "Apple Inc")], "ticker string, name string")
     m = spark.createDataFrame([(1, "Texas Instruments Incorporated"), (2, "Apple Corp"), (3, "Sierra Wireless")], "id long, name string")
     assert {r["id"]: r["ticker"] for r in joins.resolve_entities(m, names).collect()} == {1: "TXN", 2: "AAPL", 3: None}
+
+
+def test_year_ago_reaches_over_many_rows(spark):
+    """Thirty rows a year: the match a year back is further away than any fixed number of rows; ties go to the earlier date."""
+    from datetime import date, timedelta
+
+    from tidemark.operators.joins import year_ago
+
+    days = [date(2020, 1, 1) + timedelta(days=12 * i) for i in range(70)]
+    rows = [(1, d, float(i)) for i, d in enumerate(days)] + [(2, date(2020, 1, 1), 1.0), (2, date(2020, 1, 11), 2.0), (2, date(2021, 1, 5), 3.0)]
+    frame = spark.createDataFrame(rows, "cik int, end date, val double")
+    for last in (False, True):
+        for r in year_ago(frame, "cik", "end", "val", 45, last).collect():
+            back = [(abs((r["end"] - timedelta(days=365) - d).days), d, v) for k, d, v in rows if k == r["cik"] and d < r["end"]]
+            back = [x for x in back if x[0] <= 45]
+            want = None if not back else max(back, key=lambda x: x[1]) if last else min(back)
+            assert (r["prior_end"], r["prior"]) == ((want[1], want[2]) if want else (None, None))

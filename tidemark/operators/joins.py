@@ -71,13 +71,18 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, ri
 
 
 def year_ago(q: DataFrame, key: str, ts: str, value: str, tol: int = 45, last: bool = False) -> DataFrame:
-    """Row of the same series nearest to 365 days earlier within tol days, or with last=True the newest candidate."""
-    w = Window.partitionBy(key).orderBy(ts)
-    gap = lambda k: F.abs(F.datediff(F.date_sub(F.col(ts), 365), F.lag(ts, k).over(w)))
-    cand = F.array(*[F.struct(gap(k).alias("g"), F.lag(ts, k).over(w).alias("t"), F.lag(value, k).over(w).alias("v")) for k in range(1, 8)])
-    ok = F.filter(cand, lambda c: c["g"] <= tol)
-    pick = F.array_max(F.transform(ok, lambda c: F.struct(c["t"].alias("t"), c["v"].alias("v")))) if last else F.array_min(ok)
-    return q.withColumn("_c", pick).withColumn("prior_end", F.col("_c.t")).withColumn("prior", F.col("_c.v")).drop("_c")
+    """Row of the same series nearest to 365 days earlier within tol days (the earlier one wins a tie), or with last=True the newest
+    candidate. Frames are ranges of days, so the match does not depend on how many rows a series has in a year."""
+    rows = q.withColumn("_day", F.unix_date(ts))
+    over = lambda agg, lo, hi: agg.over(Window.partitionBy(key).orderBy("_day").rangeBetween(lo, min(hi, -1)))
+    row = F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))
+    if last:
+        rows = rows.withColumn("_c", over(F.max(row), -365 - tol, -365 + tol))
+    else:
+        rows = rows.withColumn("_b", over(F.max(F.struct(F.col(ts).alias("t"), (-F.col(value)).alias("v"))), -365 - tol, -365)).withColumn("_a", over(F.min(row), -365, -365 + tol))
+        side = lambda t, v: F.when(t.isNotNull(), F.struct(F.abs(F.datediff(F.date_sub(F.col(ts), 365), t)).alias("g"), t.alias("t"), v.alias("v")))
+        rows = rows.withColumn("_c", F.array_min(F.array(side(F.col("_b.t"), -F.col("_b.v")), side(F.col("_a.t"), F.col("_a.v"))))).drop("_a", "_b")
+    return rows.withColumn("prior_end", F.col("_c.t")).withColumn("prior", F.col("_c.v")).drop("_c", "_day")
 
 
 def forward_exit(bars: DataFrame, points: DataFrame, days: int, slip: int = 10) -> DataFrame:

@@ -85,9 +85,9 @@ reg("forward_return_bars", "ticker d fwd_21 fwd_63", "bars", """SELECT ticker, d
     lambda s, d: (lambda w: V.bars(s, d).select("ticker", "d", *[(F.lead("c", n + 1).over(w) / F.lead("c", 1).over(w) - 1).alias(f"fwd_{n}") for n in (21, 63)]))(Window.partitionBy("ticker").orderBy("d")))
 reg("semi_join_universe", "ticker d c:4", "bars", "SELECT ticker, d, c FROM bars WHERE ticker IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)",
     lambda s, d: V.bars(s, d).join(V.table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("ticker")), "ticker", "left_semi"))
-reg("anti_join_unprocessed", "ticker market_cap:2", "universe edges", """SELECT ticker, market_cap FROM universe WHERE ticker NOT IN (SELECT src FROM edges WHERE tier = 2 AND weight > 0.062) ORDER BY market_cap DESC NULLS LAST LIMIT 400""",
+reg("anti_join_unprocessed", "ticker market_cap:2", "universe edges", """SELECT ticker, market_cap FROM universe WHERE ticker NOT IN (SELECT src FROM edges WHERE tier = 2 AND weight > 0.062) ORDER BY market_cap DESC NULLS LAST, ticker LIMIT 400""",
     lambda s, d: V.universe(s, d).join(V.edges(s, d).where("tier = 2 and weight > 0.062").select(F.col("src").alias("ticker")), "ticker", "left_anti")
-    .orderBy(F.col("market_cap").desc_nulls_last()).limit(400))
+    .orderBy(F.col("market_cap").desc_nulls_last(), "ticker").limit(400))
 
 
 def aligned(s, d):

@@ -61,7 +61,7 @@ oof = lambda s, d: M.out_of_fold(indexed(s, d), lambda: M.ridge(1000), min_train
 reg("model_factory", "ticker d fold:i prediction", "", None, oof)
 reg("walk_forward_eval", "n:i mean_ic t_stat positive_share", "", None, lambda s, d: ic_summary(rank_ic(oof(s, d), ["m"], "prediction", "fwd", ordinal=True)))
 reg("oof_ensemble", "ticker d ridge tree ensemble", "", None, lambda s, d: M.oof_ensemble(indexed(s, d), {"ridge": lambda: M.ridge(1000), "tree": lambda: M.boosted(2, 5)}, {"ridge": 0.6, "tree": 0.4}, ["ticker", "d"], embargo=3, min_train=12))
-reg("feature_importance", "feature:s mdi mda sfi consensus", "", None, lambda s, d: M.importances(panel(s, d).persist(), FEATS[:3]))
+reg("feature_importance", "feature:s mdi mda sfi consensus", "", None, lambda s, d: M.importances(panel(s, d).persist(), FEATS))
 reg("meta_model", "ticker d p_correct", "", None, lambda s, d: M.meta_model(oof(s, d).drop("features").withColumn("correct", ((c("prediction") > 0.5) == (c("label") > 0.5)).cast("double")), FEATS))
 
 
