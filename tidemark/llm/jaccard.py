@@ -256,7 +256,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) among rows (x, y, left, right), by their whole sets."""
+    """Links (a, b) among rows (x, y, left, right), by their whole sets; a is the row's x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -269,7 +269,7 @@ def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 at = np.searchsorted(left, right)
                 common = int((left[np.minimum(at, len(left) - 1)] == right).sum())
                 keep[i] = den * common >= num * (len(left) + len(right) - common)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, c)[keep]), "b": pa.array(np.maximum(a, c)[keep])})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a[keep]), "b": pa.array(c[keep])})
 
     return pairs.select("x", "y", "left", "right").mapInArrow(run, "a long, b long")
 
@@ -290,6 +290,22 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.drop("old")
 
 
+def led_components(derived: DataFrame) -> DataFrame:
+    """(id, component) of every id in a link (a leader, b member).
+
+    A member has a leader per mixing at most. Its first one stands for it; the others, and a leader that is itself a member, are
+    linked to that first one, so labels run over the distinct links among leaders only and each member is joined once.
+    """
+    stars = derived.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("first"), F.collect_set("a").alias("leaders"))
+    stars = written(stars, "led-stars")
+    heads = stars.select(F.explode("leaders").alias("id")).distinct()
+    core = stars.select("first", F.explode("leaders").alias("other")).unionByName(stars.join(heads, "id", "left_semi").select("first", F.col("id").alias("other")))
+    core = core.filter(F.col("first") != F.col("other")).select(F.col("first").alias("a"), F.col("other").alias("b")).distinct()
+    named = components(core).withColumnRenamed("id", "first")
+    rows = stars.select("id", "first").unionByName(heads.select("id", F.col("id").alias("first")))
+    return rows.join(named, "first", "left").groupBy("id").agg(F.min(F.coalesce("component", "first")).alias("component"))
+
+
 def leader_pairs(profile: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """(x leader, y): for each mixing, the classes with one minimum meet a leader that is drawn for this mixing. Pairs whose sizes
     cannot link, or that share too few minima to be likely to, are left to the exact search."""
@@ -373,7 +389,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     members = sets.select(F.explode("leaders").alias("x"), F.col("id").alias("y"), F.col("shingles").alias("right"))
     leaders = sets.filter("leads").select(F.col("id").alias("x"), F.col("shingles").alias("left"))
     derived = written(verified(members.join(leaders, "x"), num, den), "jaccard-derived")
-    known = components(derived)
+    known = written(led_components(derived), "jaccard-known")
 
     weights = token_weights(profile)
     entries = prefixes(docs, k, num, den, weights).dropDuplicates(["digest"]).join(classes.select("digest", "id").join(known, "id", "left"), "digest")
@@ -389,8 +405,13 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     rows = left.join(whole.select(F.col("id").alias("y"), F.col("shingles").alias("right")), "y").join(whole.select(F.col("id").alias("x"), F.col("shingles").alias("left")), "x")
     searched = written(verified(rows, num, den), "jaccard-searched")
 
-    final = components(derived.unionByName(searched)) if searched.head(1) else known
-    named = classes.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = entries.select("id", "component")  # every class
+    if searched.head(1):
+        one, other = (named.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+        across = searched.join(one, "a").join(other, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+        merged = components(across).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+        named = named.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+    named = classes.select("id", "digest", "rep").join(named, "id")
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(names, "component").select("digest", "component_id")
     out = owned.join(named, "digest", "left")
