@@ -2,7 +2,7 @@
 
 1. Equal sets are one class (128-bit digest of the sorted shingle digests); from here on a class counts once.
 2. Answers of similar sets are derived, not computed again: minima of the set under a few mixings bring highly similar sets to a
-   common leader, drawn afresh for each mixing. A set is compared with its leaders only. One that links to a leader shares the
+   common leader, drawn afresh for each mixing. A set is compared with its most alike leader, then with leaders of other components only. One that links to a leader shares the
    leader's component, so none of its links inside that component has to be found; what is left to find are links that leave it.
 3. Those are found exactly. Tokens are ordered by how many documents hold them (a sketch of fixed size, filled from all documents;
    any order is right, a good one is fast), and two sets that link share a token among the first `n - ceil(t n) + 1` of each. The
@@ -159,11 +159,11 @@ def token_weights(profile: DataFrame) -> np.ndarray:
         cells = np.zeros(CELLS, np.uint64)
         for x in rows["cells"]:
             cells += np.frombuffer(x, "<u4" if len(x) == 4 * CELLS else "<u8")
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "task": [rows["task"].iloc[0] % 64], "cells": [cells.tobytes()]})
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "task": [rows["task"].iloc[0] % 16], "cells": [cells.tobytes()]})
 
     schema = "part int, task int, cells binary"
     rows = profile.filter(F.col("part").isNotNull()).select("part", "task", "cells")
-    rows = rows.groupBy("part", F.pmod("task", F.lit(64))).applyInPandas(total, schema).groupBy("part").applyInPandas(total, schema)
+    rows = rows.groupBy("part", F.pmod("task", F.lit(16))).applyInPandas(total, schema).groupBy("part").applyInPandas(total, schema)
     out = np.zeros((PARTS, CELLS))
     for r in rows.collect():
         out[r["part"]] = np.frombuffer(r["cells"], "<u8")
@@ -307,16 +307,26 @@ def led_components(derived: DataFrame) -> DataFrame:
 
 
 def leader_pairs(profile: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(x leader, y): for each mixing, the classes with one minimum meet a leader that is drawn for this mixing. Pairs whose sizes
-    cannot link, or that share too few minima to be likely to, are left to the exact search."""
+    """(x leader, y, best): for each mixing, the classes with one minimum meet a leader that is drawn for this mixing; best marks the
+    leader that shares most minima with y. Pairs whose sizes cannot link, or that share too few minima to be likely to (fewer are
+    asked of the best), are left to the exact search."""
     rows = profile.filter("digest is not null").select("digest", "minima").dropDuplicates(["digest"]).join(classes.select("digest", "id", "n"), "digest")
-    drawn = rows.select("id", "n", "minima", F.posexplode("minima").alias("m", "least"))
-    draw = F.xxhash64("id", "m")
-    leaders = drawn.groupBy("m", "least").agg(F.min_by(F.struct("id", "n", "minima"), draw).alias("x"), F.count("*").alias("held")).filter("held > 1")
-    pairs = drawn.join(leaders, ["m", "least"]).filter(F.col("x.id") != F.col("id"))
-    shared = F.size(F.filter(F.zip_with("minima", "x.minima", lambda a, b: a == b), lambda same: same))
-    sizes = (F.col("n") * den >= F.col("x.n") * num) & (F.col("x.n") * den >= F.col("n") * num)
-    return pairs.filter(sizes & (shared >= int(MINIMA * ALIKE * num / den))).select(F.col("x.id").alias("x"), F.col("id").alias("y")).distinct()
+    rows = written(rows.select("id", "n", "minima"), "jaccard-minima")
+    drawn = rows.select("id", F.posexplode("minima").alias("m", "least"))
+    leaders = drawn.groupBy("m", "least").agg(F.min_by("id", F.xxhash64("id", "m")).alias("x"), F.count("*").alias("held")).filter("held > 1").drop("held")
+    met = drawn.join(leaders, ["m", "least"]).filter(F.col("x") != F.col("id")).select("x", F.col("id").alias("y")).distinct()
+    x, y = (rows.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("minima").alias(f"{s}_minima")) for s in "xy")
+    shared = F.size(F.filter(F.zip_with("x_minima", "y_minima", lambda a, b: a == b), lambda same: same))
+    sizes = (F.col("y_n") * den >= F.col("x_n") * num) & (F.col("x_n") * den >= F.col("y_n") * num)
+    near = met.join(x, "x").join(y, "y").withColumn("shared", shared).filter(sizes & (F.col("shared") >= int(MINIMA * ALIKE * num / den)))
+    of = near.groupBy("y").agg(F.sort_array(F.collect_list(F.struct("shared", "x")), asc=False).alias("of"))  # MINIMA at most
+    of = of.select("y", F.posexplode("of").alias("at", "of")).filter((F.col("at") == 0) | (F.col("of.shared") >= int(MINIMA * num / den)))
+    return of.select("of.x", "y", (F.col("at") == 0).alias("best"))
+
+
+def within(rows: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
+    """Rows whose key may be in the filter."""
+    return rows.mapInArrow(lambda batches: (b.filter(pa.array(_holds(bits, _slots(b.column(key))))) for b in batches), rows.schema)
 
 
 def live_tokens(entries: DataFrame) -> DataFrame:
@@ -379,17 +389,20 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     classes = written(owned.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
 
     pairs = written(leader_pairs(owned, classes, num, den), "jaccard-pairs")
-    of = pairs.groupBy(F.col("y").alias("id")).agg(F.collect_set("x").alias("leaders"))
-    wanted = of.unionByName(pairs.select(F.col("x").alias("id"), F.array().cast("array<long>").alias("leaders")))
-    wanted = wanted.groupBy("id").agg(F.flatten(F.collect_list("leaders")).alias("leaders"))  # MINIMA at most
+    best = pairs.filter("best").select(F.col("y").alias("id"), F.col("x").alias("leader"))
     leads = pairs.select(F.col("x").alias("id")).distinct().withColumn("leads", F.lit(True))
-    wanted = classes.select("rep", "digest", "id").join(wanted, "id").join(leads, "id", "left")
-    wanted = written(wanted.withColumn("leads", F.coalesce("leads", F.lit(False))), "jaccard-wanted")
-    sets = written(sets_of(docs, wanted, k), "jaccard-sets")
-    members = sets.select(F.explode("leaders").alias("x"), F.col("id").alias("y"), F.col("shingles").alias("right"))
-    leaders = sets.filter("leads").select(F.col("id").alias("x"), F.col("shingles").alias("left"))
-    derived = written(verified(members.join(leaders, "x"), num, den), "jaccard-derived")
+    wanted = classes.select("rep", "digest", "id").join(best, "id", "left").join(leads, "id", "left").filter("leads or leader is not null")
+    sets = written(sets_of(docs, written(wanted, "jaccard-wanted"), k), "jaccard-sets")
+    members, leaders = sets.select("leader", F.col("id").alias("y"), F.col("shingles").alias("right")), sets.filter("leads").select(F.col("id").alias("x"), F.col("shingles").alias("left"))
+    derived = written(verified(members.withColumnRenamed("leader", "x").join(leaders, "x"), num, den), "jaccard-derived")
     known = written(led_components(derived), "jaccard-known")
+    # further leaders are compared only where the best one left the two in different components
+    one, other = (known.select(F.col("id").alias(s), F.col("component").alias(f"of_{s}")) for s in "xy")
+    rest = pairs.filter("not best").join(one, "x", "left").join(other, "y", "left").filter(F.coalesce("of_x", "x") != F.coalesce("of_y", "y"))
+    rest = written(rest.select("x", "y"), "jaccard-rest")
+    if rest.head(1):
+        again = within(members.drop("leader"), "y", membership(rest, "y")).join(rest, "y").join(within(leaders, "x", membership(rest, "x")), "x")
+        known = written(led_components(derived.unionByName(written(verified(again, num, den), "jaccard-derived"))), "jaccard-known")
 
     weights = token_weights(profile)
     entries = prefixes(docs, k, num, den, weights).dropDuplicates(["digest"]).join(classes.select("digest", "id").join(known, "id", "left"), "digest")
