@@ -163,3 +163,24 @@ def test_year_ago_reaches_over_many_rows(spark):
             back = [x for x in back if x[0] <= 45]
             want = None if not back else max(back, key=lambda x: x[1]) if last else min(back)
             assert (r["prior_end"], r["prior"]) == ((want[1], want[2]) if want else (None, None))
+
+
+def test_daily_ic_slides_its_chunks_over_the_last_ninety_days(spark):
+    import datetime as dt
+
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.operators.aggregates import daily_ic
+
+    rng, end = np.random.default_rng(4), dt.datetime(2024, 6, 1)
+    rows = [(i, end - dt.timedelta(days=2 * i), "ab"[i % 2], float(rng.integers(-9, 9)), float(rng.normal()) if i % 7 else None) for i in range(80)]
+    got = daily_ic(spark.createDataFrame(rows, "id long, generated_at timestamp, model string, signal double, ret double"), F.lit(end), ["a", "b"]).collect()
+    kept = pd.DataFrame([r for r in rows if r[4] is not None and r[0] <= 45], columns=["id", "at", "model", "s", "r"])
+    rho = lambda a, b: np.corrcoef(pd.Series(a).rank(), pd.Series(b).rank())[0, 1]
+    s, r, n = kept["s"].to_numpy(), kept["r"].to_numpy(), len(kept)
+    ics = [rho(s[i : i + 21], r[i : i + 21]) for i in range(min(n - 5, 42))]
+    want = [rho(s, r), np.mean((s > 0) == (r > 0)), n, np.mean(ics) / np.std(ics), *(rho(np.where(kept["model"] == m, s, 0.0), r) for m in "ab")]
+    assert len(got) == 1 and np.allclose(list(got[0]), want)
+    few = daily_ic(spark.createDataFrame(rows[:4], "id long, generated_at timestamp, model string, signal double, ret double"), F.lit(end), ["a"]).collect()
+    assert [tuple(x) for x in few] == [(None, None, 0, None, None)]

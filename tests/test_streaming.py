@@ -30,3 +30,21 @@ def test_bars_from_shuffled_ticks_equal_the_batch(spark):
     got = {key(r): r.asDict() for r in jobs.run_update(jobs.tick_bars(stream, "5 minutes"), ["ticker", "start"], "bars").collect()}
     want = {key(r): r.asDict() for r in batch.tick_bars(t).drop("change").collect()}
     assert got == want
+
+
+def test_outcomes_that_mature_between_batches_are_filled(spark):
+    closes = bars(spark, n=120).select("ticker", "d", "c")
+    days = [r["d"] for r in closes.select("d").distinct().orderBy("d").collect()]
+    sig = closes.select((F.col("ticker") * 100000 + F.datediff("d", F.lit(days[0]))).alias("id"), "ticker", "d", F.lit(None).cast("double").alias("ret_5"))
+    table = batch.fill_outcomes(sig.where("1 = 0"), closes).select("id", "ticker", "d", "ret_5", "ret_21", "ret_63")
+    seen, last = [], days[0] - dt.timedelta(days=1)
+    for today in (days[14], days[60], days[-1]):
+        new = sig.where((F.col("d") > F.lit(last)) & (F.col("d") <= F.lit(today)))
+        rows = batch.merge_outcomes(table, new, closes.where(F.col("d") <= F.lit(today))).collect()
+        table, last = spark.createDataFrame(rows, table.schema), today
+        seen.append({r["id"]: (r["ret_5"], r["ret_21"], r["ret_63"]) for r in rows})
+    whole = batch.fill_outcomes(sig, closes).collect()
+    assert seen[-1] == {r["id"]: (r["ret_5"], r["ret_21"], r["ret_63"]) for r in whole}
+    first = min(seen[0])
+    assert seen[0][first][0] is not None and seen[0][first][1] is None and seen[1][first][1] is not None
+    assert seen[1][first][2] is None and seen[2][first][2] is not None

@@ -27,6 +27,31 @@ def rank_ic(panel: DataFrame, keys: list[str], pred: str, real: str, floor: int
     return g.where((F.col("n") >= floor) & (F.col("_sa") > 0) & (F.col("_sb") > 0)).select(*keys, "ic", "n")
 
 
+def daily_ic(matured: DataFrame, as_of: Column | str, models: list[str], days: int = 90, newest: int = 500, chunk: int = 21, starts: int = 42, floor: int = 5) -> DataFrame:
+    """One row: ic, hit_rate, n_signals, icir and ic_<model> of the newest matured signals of the last `days` days before `as_of`.
+
+    icir is the mean over the population deviation of the coefficients of the chunks [i, i + chunk), newest first, for every i below
+    min(n - floor, starts); at least three of them. A model's value is 0 where the row has none. Under `floor` signals n_signals is 0
+    and the rest null. matured: id, generated_at, model, signal, ret. A missing signal counts as 0; a row without ret has not matured.
+    """
+    when = F.col("generated_at")
+    top = matured.where(F.col("ret").isNotNull() & (when >= F.lit(as_of) - F.make_dt_interval(F.lit(days))) & (when <= F.lit(as_of)))
+    top = top.withColumn("signal", F.coalesce("signal", F.lit(0.0))).orderBy(when.desc(), "id").limit(newest)  # a top-k: only k rows per task travel
+    rows = top.withColumn("i", F.row_number().over(Window.orderBy(when.desc(), "id")) - 1)
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).where(F.col("n") >= floor)
+    last = F.least(F.col("i"), F.least(F.col("n") - floor, F.lit(starts)) - 1).cast("int")
+    first = F.greatest(F.col("i") - chunk + 1, F.lit(0))
+    chunks = rows.where(first <= last).select("id", "signal", "ret", F.explode(F.sequence(first, last)).alias("start"))
+    ics = rank_ic(chunks, ["start"], "signal", "ret", floor).agg(F.count("ic").alias("k"), F.avg("ic").alias("m"), F.stddev_pop("ic").alias("sd"))
+    icir = ics.select(F.when((F.col("k") >= 3) & (F.col("sd") > 0), F.col("m") / F.col("sd")).alias("icir"))
+    whole = rank_ic(rows.withColumn("one", F.lit(1)), ["one"], "signal", "ret", floor).agg(F.max("ic").alias("whole"))
+    hit = rows.agg(F.avg(((F.col("signal") > 0) == (F.col("ret") > 0)).cast("double")).alias("hit_rate"), F.count(F.lit(1)).alias("n_signals"))
+    by = rows.withColumn("m", F.explode(F.array(*map(F.lit, models)))).select("id", "ret", "m", F.when(F.col("model") == F.col("m"), F.col("signal")).otherwise(0.0).alias("v"))
+    by = rank_ic(by, ["m"], "v", "ret", floor).agg(*(F.max(F.when(F.col("m") == m, F.col("ic"))).alias(f"ic_{m}") for m in models))
+    ic = F.when(F.col("n_signals") > 0, F.coalesce("whole", F.lit(0.0))).alias("ic")
+    return hit.crossJoin(whole).crossJoin(icir).crossJoin(by).select(ic, "hit_rate", "n_signals", "icir", *(f"ic_{m}" for m in models))
+
+
 def spaced_dates(dates: DataFrame, day: str, gap: int) -> DataFrame:
     """Greedy choice of dates at least `gap` days apart, from the first on. The calendar is folded as one sorted array."""
     arr = dates.agg(F.array_sort(F.collect_set(day)).alias("a"))

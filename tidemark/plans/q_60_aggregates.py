@@ -40,24 +40,24 @@ OUT = """outc AS (SELECT *, lead(signal, 5) OVER (PARTITION BY ticker ORDER BY g
 new500 AS (SELECT *, row_number() OVER (ORDER BY generated_at DESC, id) AS i FROM (SELECT * FROM outc WHERE ret IS NOT NULL AND generated_at >= (SELECT max(generated_at) FROM signals) - INTERVAL 90 DAY ORDER BY generated_at DESC, id LIMIT 500))"""
 
 
-def newest(x, n=500):
-    """The newest n matured signals: a top-k, so only k rows per task travel; numbered afterwards."""
-    top = x.where("ret is not null").orderBy(F.col("generated_at").desc(), "id").limit(n)
-    return top.withColumn("i", F.row_number().over(Window.orderBy(F.col("generated_at").desc(), "id")))
+MODELS = ["click", "error", "purchase", "signup", "view"]
 
 
 def daily_ic(s, d):
-    x = newest(outcomes(s, d)).withColumn("g", F.lit(1)).persist()
-    ov = X.rank_ic(x, ["g"], "signal", "ret", tie="id")
-    ch = X.rank_ic(x.withColumn("ch", F.floor((F.col("i") - 1) / 21)), ["ch"], "signal", "ret", tie="id").agg((F.avg("ic") / F.stddev_samp("ic")).alias("icir"))
-    hit = x.agg(F.avg(((F.col("signal") > 0) == (F.col("ret") > 0)).cast("double")).alias("hit_rate"), F.count(F.lit(1)).alias("n_signals"))
-    by = X.rank_ic(x, ["model"], "signal", "ret", tie="id").agg(F.count(F.lit(1)).alias("n_models"), F.max("ic").alias("best_model_ic"))
-    return ov.select("ic").crossJoin(hit).crossJoin(ch).crossJoin(by)
+    """The job of the last day that has a signal."""
+    last = V.signals(s, d).agg(F.max("generated_at").alias("as_of"))
+    return X.daily_ic(outcomes(s, d).crossJoin(last), F.col("as_of"), MODELS)
 
 
 RKX = lambda t, k: f"SELECT {k}, corr(a, b) AS ic, count(*) AS n FROM (SELECT {k}, rank() OVER (PARTITION BY {k} ORDER BY signal) + (count(*) OVER (PARTITION BY {k}, signal) - 1) / 2.0 AS a, rank() OVER (PARTITION BY {k} ORDER BY ret) + (count(*) OVER (PARTITION BY {k}, ret) - 1) / 2.0 AS b FROM {t}) GROUP BY {k} HAVING count(*) >= 5"
-reg("daily_ic_job", "ic hit_rate n_signals:i icir n_models:i best_model_ic", "signals", f"""SELECT * FROM (SELECT ic FROM ({RKX('(SELECT *, 1 AS g FROM new500)', 'g')})), (SELECT avg(CASE WHEN (signal > 0) = (ret > 0) THEN 1.0 ELSE 0 END) AS hit_rate, count(*) AS n_signals FROM new500),
-    (SELECT avg(ic) / stddev_samp(ic) AS icir FROM ({RKX('(SELECT *, (i - 1) // 21 AS ch FROM new500)', 'ch')})), (SELECT count(*) AS n_models, max(ic) AS best_model_ic FROM ({RKX('new500', 'model')}))""", daily_ic, OUT)
+# the rule: 90 days, newest 500, chunks [i, i + 21) for every i < min(n - 5, 42), population deviation, a model's missing value is 0
+CHUNKS = "(SELECT ch, signal, ret FROM (SELECT unnest(range(42)) AS ch), new500 WHERE i - 1 BETWEEN ch AND ch + 20 AND ch < (SELECT count(*) FROM new500) - 5)"
+BY_MODEL = f"(SELECT m, CASE WHEN model = m THEN signal ELSE 0.0 END AS signal, ret FROM new500, (SELECT unnest({MODELS}) AS m))"
+reg("daily_ic_job", "ic hit_rate n_signals:i icir " + " ".join(f"ic_{m}" for m in MODELS), "signals", f"""SELECT * FROM
+    (SELECT ic FROM ({RKX('(SELECT *, 1 AS g FROM new500)', 'g')})),
+    (SELECT avg(CASE WHEN (signal > 0) = (ret > 0) THEN 1.0 ELSE 0 END) AS hit_rate, count(*) AS n_signals FROM new500),
+    (SELECT CASE WHEN count(ic) >= 3 THEN avg(ic) / stddev_pop(ic) END AS icir FROM ({RKX(CHUNKS, 'ch')})),
+    (SELECT {', '.join(f"max(ic) FILTER (m = '{m}') AS ic_{m}" for m in MODELS)} FROM ({RKX(BY_MODEL, 'm')}))""", daily_ic, OUT)
 reg("track_record", "n:i first_at:s hit_rate ic_sharpe", "signals", f"""SELECT * FROM (SELECT count(*) AS n, min(generated_at) AS first_at, avg(CASE WHEN ret IS NOT NULL THEN CASE WHEN sign(signal) = sign(ret) THEN 1.0 ELSE 0 END END) AS hit_rate FROM outc),
     (SELECT avg(ic) / stddev_samp(ic) * sqrt(252) AS ic_sharpe FROM ({RKX("(SELECT *, CAST(generated_at AS DATE) AS dd FROM outc WHERE ret IS NOT NULL)", 'dd')}))""",
     lambda s, d: (lambda o: o.agg(F.count(F.lit(1)).alias("n"), F.min("generated_at").alias("first_at"), F.avg(F.when(F.col("ret").isNotNull(), (F.signum("signal") == F.signum("ret")).cast("double"))).alias("hit_rate"))

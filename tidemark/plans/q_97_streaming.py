@@ -57,14 +57,20 @@ en AS (SELECT sg.id, arg_min(b.c, b.d) AS entry FROM sg JOIN bars b ON b.ticker
 
 
 def outcome_stream(s, d):
-    """Signals arrive as a stream; each batch is joined to the static closes and merged, filled values stay."""
+    """Signals arrive in three batches by date. A batch knows the closes up to its newest signal; what has not matured by then is
+    filled by a later batch, or by the last run over all closes. Filled values stay."""
     b = V.bars(s, d)
     sig = b.where("n >= 3").select((c("ticker") * 100000 + F.datediff("d", F.lit("1990-01-01").cast("date"))).alias("id"), "ticker", "d", F.when(c("n") == 4, 0.5).alias("ret_5"))
-    stream = J.file_stream(s, J.materialise(sig, "signals", 1))
+    stream = J.file_stream(s, J.materialise(sig, "signals", 3, by="d"), per_trigger=1)
     closes = b.select("ticker", "d", "c")
-    cols = ["id", "ticker", "d", "ret_5", "ret_21", "ret_63"]
-    empty = B.fill_outcomes(sig.where("1 = 0"), closes.where("1 = 0")).select(*cols)
-    return J.merge_batches(stream, empty, lambda old, new: old.unionByName(B.fill_outcomes(new, closes).select(*cols)), "outcomes")
+    empty = B.fill_outcomes(sig.where("1 = 0"), closes.where("1 = 0")).select("id", "ticker", "d", "ret_5", "ret_21", "ret_63")
+
+    def merge(old, new):
+        known = closes.crossJoin(new.agg(F.max("d").alias("today"))).where("d <= today").drop("today")
+        return B.merge_outcomes(old, new, known)
+
+    done = J.merge_batches(stream, empty, merge, "outcomes")
+    return B.merge_outcomes(done, done.where("1 = 0"), closes)
 
 
 reg("signal_outcome_fill", "id:i ticker ret_5 ret_21 ret_63", "bars", """SELECT sg.id, sg.ticker, coalesce(sg.ret_5, max(x) FILTER (hh = 5) / max(entry) - 1) AS ret_5, max(x) FILTER (hh = 21) / max(entry) - 1 AS ret_21, max(x) FILTER (hh = 63) / max(entry) - 1 AS ret_63 FROM sg LEFT JOIN en USING (id) LEFT JOIN ex USING (id) GROUP BY sg.id, sg.ticker, sg.ret_5""", outcome_stream, SIG)

@@ -71,6 +71,14 @@ def fill_outcomes(signals: DataFrame, closes: DataFrame, horizons=(5, 21, 63)) -
     return x
 
 
+def merge_outcomes(old: DataFrame, new: DataFrame, closes: DataFrame, horizons=(5, 21, 63)) -> DataFrame:
+    """Stored signals and new ones: every signal that still lacks a return is filled again, so one that matures later gets it then."""
+    returns = [f"ret_{h}" for h in horizons]
+    lacks = F.greatest(*(F.col(r).isNull() for r in returns))
+    pending = old.where(lacks).unionByName(new, allowMissingColumns=True)
+    return old.where(~lacks).unionByName(fill_outcomes(pending, closes, horizons).select(*old.columns))
+
+
 def first_rows(x: DataFrame, key: str, order: str) -> DataFrame:
     """First row per key; a min over a struct merges map-side."""
     rest = [c for c in x.columns if c not in (key, order)]

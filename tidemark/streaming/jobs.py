@@ -31,10 +31,10 @@ def file_stream(spark: SparkSession, folder: str, glob: str | None = None, per_t
     return (s if glob is None else s.option("pathGlobFilter", glob)).parquet(folder)
 
 
-def materialise(df: DataFrame, name: str, parts: int = 2) -> str:
-    """Writes a table to a new folder so that it can be replayed as a stream."""
+def materialise(df: DataFrame, name: str, parts: int = 2, by: str | None = None) -> str:
+    """Writes a table to a new folder so that it can be replayed as a stream; `by` deals its rows to the files in ranges of a column."""
     folder = work_dir(df.sparkSession, name)
-    df.repartition(parts).write.parquet(folder)
+    (df.repartition(parts) if by is None else df.repartitionByRange(parts, by)).write.parquet(folder)
     return folder
 
 
