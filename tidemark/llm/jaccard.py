@@ -24,6 +24,7 @@ Extra columns are left out.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ CELL_BITS, PARTS = 20, 64
 CELLS = (1 << CELL_BITS) // PARTS
 #: Mixings, each of which draws a leader; a set is compared with a leader that shares this part of the threshold of its minima.
 MINIMA, ALIKE = 8, 0.65
+#: Members that a component sends to meet a set in one round, and the part of links that makes another round worth while.
+SEATS, YIELD = 8, 0.02
 #: Bits of the filter that spares most documents without a candidate a second look.
 FILTER_BITS = 26
 BITS = tuple(f"b{i}" for i in range(8))
@@ -306,24 +309,68 @@ def led_components(derived: DataFrame) -> DataFrame:
     return rows.join(named, "first", "left").groupBy("id").agg(F.min(F.coalesce("component", "first")).alias("component"))
 
 
-def leader_pairs(profile: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+def alike(rows: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y, ...) whose sizes can link and that share enough minima to be likely to, with the number of `shared` ones."""
+    x, y = (rows.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("minima").alias(f"{s}_minima")) for s in "xy")
+    shared = F.size(F.filter(F.zip_with("x_minima", "y_minima", lambda a, b: a == b), lambda same: same))
+    sizes = (F.col("y_n") * den >= F.col("x_n") * num) & (F.col("x_n") * den >= F.col("y_n") * num)
+    near = pairs.join(x, "x").join(y, "y").withColumn("shared", shared)
+    return near.filter(sizes & (F.col("shared") >= int(MINIMA * ALIKE * num / den))).select(*pairs.columns, "shared")
+
+
+def leader_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(x leader, y, best): for each mixing, the classes with one minimum meet a leader that is drawn for this mixing; best marks the
     leader that shares most minima with y. Pairs whose sizes cannot link, or that share too few minima to be likely to (fewer are
     asked of the best), are left to the exact search."""
-    rows = profile.filter("digest is not null").select("digest", "minima").dropDuplicates(["digest"]).join(classes.select("digest", "id", "n"), "digest")
-    rows = written(rows.select("id", "n", "minima"), "jaccard-minima")
     drawn = rows.select("id", F.posexplode("minima").alias("m", "least"))
     leaders = drawn.groupBy("m", "least").agg(F.min_by("id", F.xxhash64("id", "m")).alias("x"), F.count("*").alias("held")).filter("held > 1").drop("held")
     met = drawn.join(leaders, ["m", "least"]).filter(F.col("x") != F.col("id")).select("x", F.col("id").alias("y")).distinct()
-    x, y = (rows.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("minima").alias(f"{s}_minima")) for s in "xy")
-    shared = F.size(F.filter(F.zip_with("x_minima", "y_minima", lambda a, b: a == b), lambda same: same))
-    sizes = (F.col("y_n") * den >= F.col("x_n") * num) & (F.col("x_n") * den >= F.col("y_n") * num)
-    near = met.join(x, "x").join(y, "y").withColumn("shared", shared).filter(sizes & (F.col("shared") >= int(MINIMA * ALIKE * num / den)))
-    of = near.groupBy("y").agg(F.sort_array(F.collect_list(F.struct("shared", "x")), asc=False).alias("of"))  # MINIMA at most
+    of = alike(rows, met, num, den).groupBy("y").agg(F.sort_array(F.collect_list(F.struct("shared", "x")), asc=False).alias("of"))  # MINIMA at most
     of = of.select("y", F.posexplode("of").alias("at", "of")).filter((F.col("at") == 0) | (F.col("of.shared") >= int(MINIMA * num / den)))
     return of.select("of.x", "y", (F.col("at") == 0).alias("best"))
 
 
+def merged(named: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after links (a, b) between components have made one of both."""
+    one, other = (named.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    across = links.join(one, "a").join(other, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a <> b").distinct()
+    names = components(across).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    return named.join(names, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+
+
+def drawn_together(known: DataFrame, pairs: DataFrame, minima: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """`known` (id, component) after rounds in which a set meets members of the components of its leaders, and of the component that
+    most sets with the same leader are in (two sets may link where neither links to the leader).
+
+    A component sends up to SEATS members, drawn anew in each round, and a set that is not in it is compared with the one that shares
+    most minima with it. A link makes one component of both, so that the exact search need not find the many others between them. No
+    pair is compared twice. Rounds go on while they pay: as long as YIELD of their comparisons are links.
+    """
+    tested = pairs.filter("best").select("x", "y")
+    for turn in itertools.count():
+        one, other = (known.select(F.col("id").alias(s), F.col("component").alias(f"of_{s}")) for s in "xy")
+        placed = pairs.select("x", "y").join(one, "x").join(other, "y")
+        most = placed.groupBy("x", "of_y").count().filter("count > 1").groupBy("x").agg(F.max_by("of_y", F.struct("count", "of_y")).alias("most"))
+        towards = placed.join(most, "x", "left").select("y", "of_y", F.explode(F.array("of_x", "most")).alias("component"))
+        apart = towards.filter("component <> of_y").select("y", "component").distinct()
+        seat = F.pmod(F.xxhash64("id", F.lit(2 * turn)), F.lit(SEATS)).alias("seat")
+        seats = known.groupBy("component", seat).agg(F.min_by("id", F.xxhash64("id", F.lit(2 * turn + 1))).alias("x"))
+        fresh = apart.join(seats.drop("seat"), "component").join(tested, ["x", "y"], "left_anti")
+        best = alike(minima, fresh, num, den).groupBy("y", "component").agg(F.max_by("x", F.struct("shared", F.xxhash64("x", "y"))).alias("x"))
+        chosen = written(best.select("x", "y"), "jaccard-chosen")
+        n = chosen.count()
+        if not n:
+            return known
+        left, right = (within(sets.withColumnRenamed("id", key), key, membership(chosen, key)).withColumnRenamed("shingles", side) for key, side in (("x", "left"), ("y", "right")))
+        links = written(verified(right.join(chosen, "y").join(left, "x"), num, den), "jaccard-derived")
+        found = links.count()
+        if found:
+            known = written(merged(known, links), "jaccard-known")
+        if found < YIELD * n:
+            return known
+        tested = tested.unionByName(chosen)
+
+
 def within(rows: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
     """Rows whose key may be in the filter."""
     return rows.mapInArrow(lambda batches: (b.filter(pa.array(_holds(bits, _slots(b.column(key))))) for b in batches), rows.schema)
@@ -388,25 +435,25 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     owned = profile.filter("part is null")
     classes = written(owned.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
 
-    pairs = written(leader_pairs(owned, classes, num, den), "jaccard-pairs")
+    minima = owned.filter("digest is not null").select("digest", "minima").dropDuplicates(["digest"]).join(classes.select("digest", "id", "n"), "digest")
+    minima = written(minima.select("id", "n", "minima"), "jaccard-minima")
+    pairs = written(leader_pairs(minima, num, den), "jaccard-pairs")
     best = pairs.filter("best").select(F.col("y").alias("id"), F.col("x").alias("leader"))
     leads = pairs.select(F.col("x").alias("id")).distinct().withColumn("leads", F.lit(True))
     wanted = classes.select("rep", "digest", "id").join(best, "id", "left").join(leads, "id", "left").filter("leads or leader is not null")
     sets = written(sets_of(docs, written(wanted, "jaccard-wanted"), k), "jaccard-sets")
-    members, leaders = sets.select("leader", F.col("id").alias("y"), F.col("shingles").alias("right")), sets.filter("leads").select(F.col("id").alias("x"), F.col("shingles").alias("left"))
-    derived = written(verified(members.withColumnRenamed("leader", "x").join(leaders, "x"), num, den), "jaccard-derived")
-    known = written(led_components(derived), "jaccard-known")
-    # further leaders are compared only where the best one left the two in different components
-    one, other = (known.select(F.col("id").alias(s), F.col("component").alias(f"of_{s}")) for s in "xy")
-    rest = pairs.filter("not best").join(one, "x", "left").join(other, "y", "left").filter(F.coalesce("of_x", "x") != F.coalesce("of_y", "y"))
-    rest = written(rest.select("x", "y"), "jaccard-rest")
-    if rest.head(1):
-        again = within(members.drop("leader"), "y", membership(rest, "y")).join(rest, "y").join(within(leaders, "x", membership(rest, "x")), "x")
-        known = written(led_components(derived.unionByName(written(verified(again, num, den), "jaccard-derived"))), "jaccard-known")
-
+    members = sets.select(F.col("leader").alias("x"), F.col("id").alias("y"), F.col("shingles").alias("right"))
+    leaders = sets.filter("leads").select(F.col("id").alias("x"), F.col("shingles").alias("left"))
+    derived = written(verified(members.join(leaders, "x"), num, den), "jaccard-derived")
+    known = led_components(derived)
+    met = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    known = written(met.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "jaccard-known")
+    known = drawn_together(known, pairs, minima, sets.select("id", "shingles"), num, den)
+
+    sizes = known.groupBy("component").agg((F.count("*") > 1).alias("several"))
     weights = token_weights(profile)
-    entries = prefixes(docs, k, num, den, weights).dropDuplicates(["digest"]).join(classes.select("digest", "id").join(known, "id", "left"), "digest")
-    entries = entries.select("id", "n", "tokens", *BITS, F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("several"))
+    entries = prefixes(docs, k, num, den, weights).dropDuplicates(["digest"]).join(classes.select("digest", "id").join(known.join(sizes, "component"), "id", "left"), "digest")
+    entries = entries.select("id", "n", "tokens", *BITS, F.coalesce("component", "id").alias("component"), F.coalesce("several", F.lit(False)).alias("several"))
     entries = written(entries, "jaccard-entries")
     live = written(live_tokens(entries), "jaccard-live")
     left = written(candidates(live, num, den), "jaccard-candidates")
@@ -420,10 +467,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
 
     named = entries.select("id", "component")  # every class
     if searched.head(1):
-        one, other = (named.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-        across = searched.join(one, "a").join(other, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
-        merged = components(across).select(F.col("id").alias("component"), F.col("component").alias("merged"))
-        named = named.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+        named = merged(named, searched)
     named = classes.select("id", "digest", "rep").join(named, "id")
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(names, "component").select("digest", "component_id")
