@@ -23,6 +23,7 @@ Extra columns are left out.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import written
@@ -42,6 +43,8 @@ CELLS = (1 << CELL_BITS) // PARTS
 MINIMA, ALIKE = 8, 0.65
 #: Members that a component sends to meet a set in one round, and the part of links that makes another round worth while.
 SEATS, YIELD = 8, 0.02
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2_000
 #: Bits of the filter that spares most documents without a candidate a second look.
 FILTER_BITS = 26
 BITS = tuple(f"b{i}" for i in range(8))
@@ -216,12 +219,12 @@ def membership(wanted: DataFrame, key: str) -> np.ndarray:
     size = (1 << FILTER_BITS) // 8 // PARTS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, some = np.zeros(1 << FILTER_BITS, bool), False
+        packed, some = np.zeros(1 << FILTER_BITS - 3, np.uint8), False
         for b in batches:
-            bits[_slots(b.column(key))] = True
+            places = _slots(b.column(key))
+            np.bitwise_or.at(packed, places >> 3, np.right_shift(128, places & 7).astype(np.uint8))
             some = some or b.num_rows > 0
         if some:
-            packed = np.packbits(bits)
             yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "cells": pa.array([packed[i * size : (i + 1) * size].tobytes() for i in range(PARTS)], pa.binary())})
 
     def either(rows: pd.DataFrame) -> pd.DataFrame:
@@ -428,8 +431,25 @@ def candidates(tokens: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.least("l_id", "r_id").alias("x"), F.greatest("l_id", "r_id").alias("y")).distinct()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few rows while whole sets travel: a row of `verified` holds two of them, on both sides of the Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links with den * intersection >= num * union)."""
+    with small_batches(docs.sparkSession):
+        return _join(docs, k, num, den)
+
+
+def _join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = written(profiles(docs, k), "jaccard-profiles")
     owned = profile.filter("part is null")
