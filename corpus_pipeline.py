@@ -36,8 +36,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source."""
-    rows = _back(lines.drop_boilerplate(_aside(docs)), docs)
+    """All documents, without the boilerplate lines of their source. Equal texts count as one page: the next stage removes the copies."""
+    rows = _back(lines.drop_boilerplate(_aside(docs), distinct=True), docs)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -203,3 +203,16 @@ def test_pipeline_stages(spark, docs, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).collect()
     assert {p["doc_id"] for p in pieces} == left
     assert packing.WINDOW >= max(p["offset"] + p["length"] for p in pieces)
+
+
+def test_one_of_many_copies_keeps_its_text(spark, docs, tmp_path):
+    """Documents 40, 44, .. 56 and the second 50 are six equal pages of a source with 22. Another text of 50 stays by itself, and its id with it."""
+    base = words(80, 1)
+    copies = {r[0] for r in corpus() if r[1] == base}
+    assert len(copies) == 6
+    rows = corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()
+    assert sum(r["text"] == base for r in rows) == 6
+    assert not any("shared footer" in (r["text"] or "") for r in rows)
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert {r["doc_id"] for r in left if r["text"] == base} == {40, 50}
+    assert {r["doc_id"] for r in left if not (r["text"] or "").strip()} <= {60, 61}

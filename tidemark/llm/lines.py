@@ -7,7 +7,8 @@ has fewer than that divided by `ratio`. They are sent to all executors only afte
 `BROADCAST_LINES` the host is joined by shuffle.
 
 Rows: a null text is a page without lines and stays null; an empty text stays empty; lines without visible characters are never
-dropped. A null host is a host of its own. Repeated rows are pages each. Extra columns pass through.
+dropped. A null host is a host of its own. Repeated rows are pages each, or with `distinct` one page per host and text: copies of a
+text then do not make its lines boilerplate, and the copies keep them. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -28,19 +29,22 @@ def _digest(line: Column) -> Column:
     return F.xxhash64(line, F.length(line))
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Per host with boilerplate: `_host` and the digests of its lines."""
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
+    """Per host with boilerplate: `_host` and the digests of its lines. `distinct`: equal texts of a host are one page, in its total too."""
     key = F.struct(F.col(host).isNull().alias("none"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("name")).alias("_host")
-    totals = pages.groupBy(key).agg(F.count("*").alias("pages"))
     own = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.length(F.trim(x)) > 0), _digest))
-    held = pages.select(key, F.explode(own).alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n"))
+    rows = pages.select(key, own.alias("own"), F.xxhash64(text).alias("_text"), F.length(text).alias("_size"))
+    if distinct:  # digests of lines only are shuffled, once per text and task
+        rows = written(rows.groupBy("_host", "_text", "_size").agg(F.first("own").alias("own")), "distinct-texts")
+    totals = rows.groupBy("_host").agg(F.count("*").alias("pages"))
+    held = rows.select("_host", F.explode("own").alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n"))
     often = held.filter(F.col("n") >= min_pages).join(totals, "_host").filter(F.col("n") > F.col("pages") * ratio)
     return often.groupBy("_host").agg(F.collect_list("line").alias("_dropped"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """All columns, the text without its host's boilerplate lines, n_lines and n_dropped."""
-    found = written(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
+    found = written(boilerplate(pages, host, text, ratio, min_pages, distinct), "boilerplate")
     if found.agg(F.coalesce(F.sum(F.size("_dropped")), F.lit(0))).first()[0] <= BROADCAST_LINES:
         found = found.hint("broadcast")
     keep = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
