@@ -64,6 +64,19 @@ def test_rules_reject_outliers(spark):
     assert all(got[i] for i in range(200)) and not any(got[900 + i] for i in range(20))
 
 
+def test_every_statistic_can_reject(spark):
+    assert rules.CUT == pytest.approx(16.812, abs=1e-3) and rules.CONSISTENCY == pytest.approx(1.3616, abs=1e-3)
+    lines_of = lambda i: [words(8, 1000 * i + j) for j in range(16)]
+    again = lambda i: lines_of(i)[:12] + [" ".join(lines_of(i)[k] for k in (0, 1, 2, 3))]
+    marked = lambda i: [x.replace(" ", ", ") for x in lines_of(i)]
+    rows = [(i, "\n".join(lines_of(i)), "en", "s", 1, "") for i in range(200)]
+    rows += [(300 + i, "\n".join(again(i)), "en", "s", 1, "") for i in range(4)] + [(400 + i, "\n".join(marked(i)), "en", "s", 1, "") for i in range(4)]
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
+    assert sum(not got[i]["kept"] for i in range(200)) <= 4
+    for i in (*range(300, 304), *range(400, 404)):
+        assert not got[i]["base_failed"] and not got[i]["kept"], got[i]
+
+
 def test_concentration_takes_the_nearest_bins():
     import pandas as pd
 

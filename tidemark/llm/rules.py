@@ -3,8 +3,10 @@
 Every document gets counts; transformed, they form a statistic vector. Per language and source a minimum-covariance-determinant
 estimate is found by concentration steps: distances of all rows to the present centre are binned on a log scale, sums and cross
 products are added up per (group, bin) on the map side, and the bins nearest to the centre that hold `SUPPORT` of the group give the
-next centre and covariance. A task meets at most `BINS` rows of a group, so a source that holds a third of all documents is no
-larger than others. Documents beyond `CUT` (squared Mahalanobis distance) are rejected.
+next centre and covariance. Steps go from two starts (medians with quartile ranges; mean and covariance of all rows) until no
+determinant falls any more, and the estimate of the least determinant holds. A task meets at most `BINS` rows of a group, so a source
+that holds a third of all documents is no larger than others. Squared Mahalanobis distances are divided by the consistency factor of
+`SUPPORT`; documents beyond `CUT`, the chi-square quantile of `LEVEL`, are rejected.
 
 Groups with fewer than `LEAST` judged documents are pooled by language, and pools that are still too small over all languages;
 with fewer than `LEAST` documents in the last pool nothing is rejected by distance. `FLOORS` are added to the covariance, so that a
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,10 +32,30 @@ from pyspark.sql import types as T
 from tidemark.llm.shared import written
 from tidemark.llm.tokens import slices
 
-SUPPORT, STEPS, LEAST, BINS, CUT = 0.75, 4, 60, 256, 40.0
+SUPPORT, LEVEL, LEAST, BINS = 0.75, 0.99, 60, 256
+#: A fall of the log determinant that calls for another step.
+FALL = 1e-3
 #: Standard deviations that no statistic goes below: symbols, duplicate lines, repeated words, capitals, marks (roots of shares), log word length.
-FLOORS = (0.10, 0.25, 0.25, 0.06, 0.08, 0.08)
+FLOORS = (0.03, 0.12, 0.12, 0.02, 0.02, 0.03)
 D = len(FLOORS)
+
+
+def chi_square(x: float, degrees: int) -> float:
+    """Share below x; even degrees only."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(degrees // 2))
+
+
+def chi_square_quantile(p: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, degrees) < p else (low, mid)
+    return high
+
+
+CUT = chi_square_quantile(LEVEL, D)
+#: The covariance of the nearest SUPPORT of a normal group is smaller by this factor than the group's.
+CONSISTENCY = SUPPORT / chi_square(chi_square_quantile(SUPPORT, D), D + 2)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 #: Fixed values of the counts' contract.
 MIN_WORDS, REPEAT_SHARE = 50, 50
@@ -114,7 +137,7 @@ def concentrate(bins: pd.DataFrame) -> pd.DataFrame:
     bins = bins.sort_values("bin")
     n = bins["n"].to_numpy()
     if n.sum() < LEAST:
-        return pd.DataFrame({"_group": [], "centre": [], "inverse": []})
+        return pd.DataFrame({"_group": [], "centre": [], "inverse": [], "det": []})
     used = np.searchsorted(np.cumsum(n), math.ceil(SUPPORT * n.sum())) + 1
     near, total = bins.iloc[:used], float(n[:used].sum())
     centre = np.array([near[f"s{i}"].sum() for i in range(D)]) / total
@@ -123,20 +146,37 @@ def concentrate(bins: pd.DataFrame) -> pd.DataFrame:
         for j in range(i, D):
             cov[i, j] = cov[j, i] = near[f"c{i}_{j}"].sum() / total - centre[i] * centre[j]
     cov += np.diag(np.square(FLOORS))
-    return pd.DataFrame({"_group": [bins["_group"].iloc[0]], "centre": [centre.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()]})
+    return pd.DataFrame({"_group": [bins["_group"].iloc[0]], "centre": [centre.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()], "det": [float(np.linalg.slogdet(cov)[1])]})
+
+
+def concentrate_start(bins: pd.DataFrame) -> pd.DataFrame:
+    """The same for the bins of one start."""
+    return concentrate(bins).assign(start=bins["start"].iloc[0])
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """One row per group: centre and inverse covariance after STEPS concentration steps from the medians."""
-    judged = rows.filter(~F.col("base_failed"))
+    """One row per group: centre and inverse covariance of the least determinant that concentration steps from both starts reach."""
     xs = [f"x{i}" for i in range(D)]
-    start = judged.groupBy("_group").agg(F.array(*(F.percentile_approx(x, 0.5, 1000) for x in xs)).alias("centre"))
-    present = start.withColumn("inverse", F.array(*(F.lit(1.0 / FLOORS[i] ** 2 if i == j else 0.0) for i in range(D) for j in range(D))))
-    for _ in range(STEPS):
-        near = judged.join(present, "_group").withColumn("bin", F.least(F.floor(F.log2(1 + distance()) * 12), F.lit(BINS - 1)).cast("int"))
-        sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)] + [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"c{i}_{j}") for i in range(D) for j in range(i, D)]
-        present = near.groupBy("_group", "bin").agg(F.count("*").alias("n"), *sums).groupBy("_group").applyInPandas(concentrate, "_group string, centre array<double>, inverse array<double>")
-    return present
+    judged = written(rows.filter(~F.col("base_failed")).select("_group", *xs), "rule-judged")
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)] + [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"c{i}_{j}") for i in range(D) for j in range(i, D)]
+
+    def fitted(binned: DataFrame) -> DataFrame:
+        bins = binned.groupBy("_group", "start", "bin").agg(F.count("*").alias("n"), *sums)
+        return bins.groupBy("_group", "start").applyInPandas(concentrate_start, "_group string, centre array<double>, inverse array<double>, det double, start int")
+
+    quarters = judged.groupBy("_group").agg(F.count("*").alias("n"), *(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in xs)).filter(F.col("n") >= LEAST)
+    scale = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(FLOORS[i])) for i, x in enumerate(xs)]
+    medians = written(quarters.select("_group", F.array(*(F.col(x)[1] for x in xs)).alias("centre"), F.array(*(1 / (scale[i] * scale[i]) if i == j else F.lit(0.0) for i in range(D) for j in range(D))).alias("inverse"), F.lit(math.inf).alias("det"), F.lit(0).alias("start")), "rule-medians")
+    large = medians.select("_group")
+    means = fitted(judged.join(large, "_group", "left_semi").withColumns({"start": F.lit(1), "bin": F.lit(0)})).withColumn("det", F.lit(math.inf))  # one bin: all rows
+    moving, reached = written(medians.unionByName(means), "rule-starts"), []
+    while not moving.isEmpty():
+        near = judged.join(moving, "_group").withColumn("bin", F.least(F.floor(F.log2(1 + distance()) * 12), F.lit(BINS - 1)).cast("int"))
+        before = moving.select("_group", "start", F.col("det").alias("_det"))
+        moving = written(fitted(near).join(before, ["_group", "start"]).filter(F.col("det") < F.col("_det") - FALL).drop("_det"), "rule-step")
+        reached.append(moving)
+    found = reduce(DataFrame.unionByName, reached) if reached else moving
+    return found.groupBy("_group").agg(F.min(F.struct("det", "start", "centre", "inverse")).alias("_least")).select("_group", "_least.centre", "_least.inverse")
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -146,6 +186,6 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     stats = written(measured(docs, list(dict.fromkeys([*keep, "lang", "source"]))), "rule-statistics")
     rows = grouped(stats)
     few = rows.select("base_failed", "_group", *(f"x{i}" for i in range(D)))
-    judged = rows.join(written(estimates(few), "rule-estimates"), "_group", "left").withColumn("distance", distance())
+    judged = rows.join(written(estimates(few), "rule-estimates"), "_group", "left").withColumn("distance", distance() / CONSISTENCY)
     far = F.coalesce(F.col("distance") > CUT, F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~far).select(*keep, *COUNTS, "base_failed", "distance", "kept")
