@@ -102,6 +102,18 @@ def test_classifier(spark):
     assert {r["score"] for r in cotrain.classify(frame, labels.limit(0)).collect()} == {1.0}
 
 
+def test_all_unlabelled_documents_take_part(spark):
+    """Source `rare` has no labels and the largest digests of its ids, so no bounded pool of 6,000 holds it."""
+    order = [r["id"] for r in spark.range(6_600).selectExpr("id", "xxhash64(id) AS h").orderBy("h").collect()]
+    texts = [words(60, i) for i in range(40)]
+    bad = lambda i, n: n >= 6_300 or i % 2 == 0
+    rows = [(i, texts[i % 40].upper().replace(" ", "!! ") if bad(i, n) else texts[i % 40], "en", "rare" if n >= 6_300 else "b" if bad(i, n) else "a", 400, "") for n, i in enumerate(order)]
+    labels = spark.createDataFrame([(i, int(not bad(i, n))) for n, i in enumerate(order[:200])], "doc_id long, quality int")
+    got = cotrain.classify(spark.createDataFrame(rows, SCHEMA), labels, ["doc_id", "source"]).groupBy("source").agg({"meta_score": "max"}).collect()
+    score = dict(map(tuple, got))
+    assert score["b"] < 0.1 and score["a"] > 0.9 and score["rare"] < 0.1, score
+
+
 def test_lines(docs):
     got = lines.drop_boilerplate(docs.withColumnRenamed("kept", "n_lines")).collect()
     rows = corpus()

@@ -1,13 +1,15 @@
 """Quality classifier by co-training (operator 1).
 
 Two views of a document are kept apart: its text (hashed word shapes and marks) and its page metadata (language, source, length).
-A logistic model is fitted to each view on labelled documents. Over `ROUNDS` rounds each model labels the unlabelled pool, and the
-documents it is most sure of - calibrated, beyond `SURE` - become training rows of the *other* model. In the end both views are
+A logistic model is fitted to each view on labelled documents. Over `ROUNDS` rounds each model labels all unlabelled documents, and
+those it is sure of - calibrated, beyond `SURE` - become training rows of the *other* model, however many they are. In the end both views are
 calibrated on labelled documents held out from training, their log-odds are combined by a third small model, and every document of
 the table is scored.
 
-The models are fitted on bounded samples: `LABELLED` labelled and `POOL` unlabelled documents at most, those with the smallest
-digests of their ids, so the same ones whatever the partitioning. Scoring is one pass over all whole texts without a shuffle.
+Labelled documents are a bounded sample: `LABELLED` at most, those with the smallest digests of their ids, so the same ones whatever
+the partitioning. Unlabelled documents all take part: their features are written once, every Newton step is a pass over them in which
+each task derives their pseudo-labels from the models of the rounds before and adds up gradient and Hessian, and the driver gets
+`PARTS` sums, however large the table is. Scoring is one pass over all whole texts without a shuffle.
 
 Rows: a null text has no features and is scored by its metadata; null metadata is a value of its own. Repeated rows get equal scores;
 of several labels of one document the lowest holds, labels without document and null labels are left out. With fewer than two
@@ -28,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.shared import written
 from tidemark.llm.tokens import slices
 
-LABELLED, POOL, ROUNDS, SURE, PER_ROUND, KEEP_FROM = 6_000, 6_000, 3, 0.97, 600, 0.5
+LABELLED, ROUNDS, SURE, KEEP_FROM, PARTS, NEWTON = 6_000, 3, 0.97, 0.5, 8, 12
 WIDTH, META_WIDTH = 512, 128
 #: Letters and digits by kind: a word becomes its shape ("Word," -> "Aa,"), runs are written once.
 _SHAPE = bytes(97 if 97 <= i <= 122 or i >= 128 else 65 if 65 <= i <= 90 else 48 if 48 <= i <= 57 else i for i in range(256))
@@ -96,60 +99,126 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def cotrain(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, float, float]], np.ndarray]:
+def pseudo_labels(history: list, views: list[np.ndarray]) -> list[np.ndarray]:
+    """Per view the labels given by the other one in the rounds of `history`; NaN without. A document is labelled once."""
+    free, given = np.ones(len(views[0]), bool), [np.full(len(x), np.nan) for x in views]
+    for models in history:
+        for v, (w, slope, offset) in enumerate(models):
+            p = sigmoid(slope * (views[v] @ w[:-1] + w[-1]) + offset)
+            for label, sure in ((1.0, p), (0.0, 1 - p)):
+                take = free & (sure >= SURE)
+                given[1 - v][take] = label
+                free &= ~take
+    return given
+
+
+def newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the log-likelihood of some rows."""
+    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    scaled = z * (weight * np.maximum(p * (1 - p), 1e-4)).astype(z.dtype)[:, None]
+    return z.T.astype(np.float64) @ (weight * (y - p)), (scaled.T @ z).astype(np.float64)
+
+
+def unpacked(column: pa.Array) -> list[np.ndarray]:
+    x = np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, WIDTH + META_WIDTH).astype(np.float32)
+    return [x[:, :WIDTH], x[:, WIDTH:]]
+
+
+def pool_sums(pool: DataFrame, history: list, weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Per view gradient, Hessian and number of all pseudo-labelled rows of `pool`. One row per core is shuffled, PARTS reach the driver."""
+    sizes = [len(w) for w in weights]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [[np.zeros(n), np.zeros((n, n)), np.zeros(1)] for n in sizes]
+        for b in batches:
+            views = unpacked(b.column("x"))
+            for v, label in enumerate(pseudo_labels(history, views)):
+                rows = ~np.isnan(label)
+                if rows.any():
+                    for t, part in zip(total[v], (*newton_sums(views[v][rows], label[rows], weights[v], 0.5), rows.sum())):
+                        t += part
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([b"".join(t.tobytes() for view in total for t in view)], pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for raw in b.column("sums").to_pylist():
+                total = np.frombuffer(raw) + (0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+
+    cores = pool.sparkSession.sparkContext.defaultParallelism
+    parts = pool.select("x").coalesce(cores).mapInArrow(add, "sums binary").repartition(PARTS).mapInArrow(merge, "sums binary").collect()
+    flat = sum((np.frombuffer(bytes(r["sums"])) for r in parts), np.zeros(sum(n + n * n + 1 for n in sizes)))
+    out, at = [], 0
+    for n in sizes:
+        out.append((flat[at : at + n], flat[at + n : at + n + n * n].reshape(n, n), int(flat[at + n + n * n])))
+        at += n + n * n + 1
+    return out
+
+
+def refit(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, history: list) -> tuple[list[np.ndarray], int]:
+    """Weights of both views on labelled rows and all pseudo-labelled ones, from the weights of the last round; number of pseudo-labels."""
+    weights = [w.copy() for w, _, _ in history[-1]]
+    for _ in range(NEWTON):
+        far = 0.0
+        sums = pool_sums(pool, history, weights)
+        for v, (gradient, hessian, _) in enumerate(sums):
+            ridge = np.full(len(weights[v]), 2.0)
+            ridge[-1] = 1e-3
+            own = newton_sums(views[v].astype(np.float64), y, weights[v], 1.0)
+            step = np.linalg.solve(own[1] + hessian + np.diag(ridge), own[0] + gradient - ridge * weights[v])
+            weights[v] = weights[v] + step
+            far = max(far, float(np.abs(step).max()))
+        if far < 1e-2:
+            break
+    return weights, sum(n for *_, n in sums)
+
+
+def cotrain(views: list[np.ndarray], y: np.ndarray, pool: DataFrame) -> tuple[list[tuple[np.ndarray, float, float]], np.ndarray]:
     """Per view (weights, slope, offset), and the weights that combine the calibrated log-odds. Every third labelled row is held out."""
     held = np.arange(len(y)) % 3 == 0
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     fit, test = ~held, held if held.any() else ~held
-    extra: list[tuple[list[int], list[float]]] = [([], []), ([], [])]  # pseudo-labels each view was given by the other
-    free = np.ones(len(pool[0]), bool)
-    for rnd in range(ROUNDS + 1):
-        models, scales = [], []
-        for v in (0, 1):
-            rows, given = extra[v]
-            x = np.vstack([views[v][fit], pool[v][rows]])
-            models.append(Logistic(x, np.concatenate([y[fit], given]), np.concatenate([np.ones(fit.sum()), np.full(len(rows), 0.5)])))
-            scales.append(calibration(models[v].logit(views[v][test]), y[test]))
-        if rnd == ROUNDS or not free.any():
+    scaled = lambda weights: [(w, *calibration(x[test] @ w[:-1] + w[-1], y[test])) for w, x in zip(weights, views)]
+    history, known = [scaled([Logistic(x[fit], y[fit], np.ones(fit.sum())).w for x in views])], 0
+    for _ in range(ROUNDS):
+        weights, given = refit([x[fit] for x in views], y[fit], pool, history)
+        if given == known:  # nothing was added
             break
-        for v in (0, 1):
-            p = sigmoid(scales[v][0] * models[v].logit(pool[v]) + scales[v][1])
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                order = np.argsort(-np.where(free, sure, -1), kind="stable")[: PER_ROUND // 2]
-                take = order[(sure[order] >= SURE) & free[order]]
-                extra[1 - v][0].extend(take.tolist())
-                extra[1 - v][1].extend([label] * len(take))
-                free[take] = False
-    odds = np.column_stack([np.clip(a * m.logit(x[test]) + b, -20, 20) for m, (a, b), x in zip(models, scales, views)])
-    return [(m.w, *s) for m, s in zip(models, scales)], Logistic(odds, y[test], np.ones(len(odds)), penalty=0.05).w
+        known = given
+        history.append(scaled(weights))
+    models = history[-1]
+    odds = np.column_stack([np.clip(a * (x[test] @ w[:-1] + w[-1]) + b, -20, 20) for (w, a, b), x in zip(models, views)])
+    return models, Logistic(odds, y[test], np.ones(len(odds)), penalty=0.05).w
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple | float:
-    """The model from bounded samples; a number where the labels have fewer than two classes."""
+    """The model from a bounded sample of labelled and all unlabelled documents; a number where the labels have fewer than two classes."""
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     draw = F.xxhash64("doc_id")
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     ids = docs.select("doc_id").filter("doc_id is not null").distinct()
     labelled = ids.join(known, "doc_id").orderBy(draw, "doc_id").limit(LABELLED)
-    unlabelled = ids.join(known, "doc_id", "left_anti").orderBy(draw, "doc_id").limit(POOL).withColumn("quality", F.lit(None).cast("int"))
-    chosen = {r["doc_id"]: r["quality"] for r in labelled.unionByName(unlabelled).collect()}  # LABELLED + POOL numbers at most
+    chosen = {r["doc_id"]: r["quality"] for r in labelled.collect()}  # LABELLED numbers at most
+    y = np.array([float(chosen[d] > 0) for d in sorted(chosen)])
+    if len(np.unique(y)) < 2:
+        return float(y.mean()) if len(y) else 1.0
     wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2_000_000):
             rows = [(d, text_view(t).astype(np.float16).tobytes() + meta_view(*m).astype(np.float16).tobytes()) for d, t, *m in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "n_chars")))]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "x": pa.array([r[1] for r in rows], pa.binary())})
 
-    docs = docs.join(wanted.hint("broadcast"), "doc_id", "left_semi")  # LABELLED + POOL numbers at most
-    made = docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    features = written(docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, x binary"), "cotraining-features")
+    made = features.join(wanted.hint("broadcast"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     made = sorted((r["doc_id"], bytes(r["x"])) for r in made)
     x = np.array([np.frombuffer(b, np.float16) for _, b in made], np.float32).reshape(-1, WIDTH + META_WIDTH)
-    y = np.array([-1 if chosen[d] is None else float(chosen[d] > 0) for d, _ in made])
-    if len(np.unique(y[y >= 0])) < 2:
-        return float(y[y >= 0].mean()) if (y >= 0).any() else 1.0
-    split = lambda rows: [rows[:, :WIDTH], rows[:, WIDTH:]]
-    return cotrain(split(x[y >= 0]), y[y >= 0], split(x[y < 0]))
+    pool = written(features.join(known.select("doc_id"), "doc_id", "left_anti").select("x"), "cotraining-pool")
+    return cotrain([x[:, :WIDTH], x[:, WIDTH:]], y, pool)
 
 
 def score(docs: DataFrame, model: tuple | float, keep: list[str] | None = None) -> DataFrame:
