@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, chat, cotrain, jaccard, lines, packing, records, rules, urls
+from tidemark.llm import align, ann, bpe, chat, cotrain, jaccard, lines, minmax, packing, records, rules, trie, urls
 from tidemark.llm.shared import table
 
 
@@ -50,5 +50,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {"op1_cotraining": op1_cotraining, "op2_url_templates": op2_url_templates, "op3_kmeans_tree": op3_kmeans_tree, "op4_bpe": op4_bpe, "op5_preferences": op5_preferences, "op6_line_dedup": op6_line_dedup, "op7_records": op7_records, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_jaccard_join": op10_jaccard_join}
-SQL: dict[str, str] = {"op2_url_templates": urls.oracle(), "op5_preferences": chat.oracle(), "op6_line_dedup": lines.oracle()}
+def op11_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.dedup(table(spark, sf_dir, "documents"), k=2, num=80, den=100)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
+QUERIES = {"op1_cotraining": op1_cotraining, "op2_url_templates": op2_url_templates, "op3_kmeans_tree": op3_kmeans_tree, "op4_bpe": op4_bpe, "op5_preferences": op5_preferences, "op6_line_dedup": op6_line_dedup, "op7_records": op7_records, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_jaccard_join": op10_jaccard_join, "op11_minmax_dedup": op11_minmax_dedup, "op12_prefix_trie": op12_prefix_trie, "op13_token_alignment": op13_token_alignment}
+SQL: dict[str, str] = {"op2_url_templates": urls.oracle(), "op5_preferences": chat.oracle(), "op6_line_dedup": lines.oracle(), "op12_prefix_trie": trie.oracle()}
