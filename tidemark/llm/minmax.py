@@ -9,7 +9,8 @@
    on the full sets.
 3. No bucket emits its pairs while it is large: in rounds, the largest component of a bucket sends one member, drawn anew in each
    round, to the members of all other components of the bucket; links merge components, and buckets of one component leave. Rounds go
-   on while they find links. Pairs of different components that are left over are then tried one by one, all of them, so no link
+   on while they find links. Pairs of different components that are left over are then tried one by one, all of them that an exact
+   bound does not exclude (512 parity bits of the full sets: two sets differ in at least as many shingles as in bits), so no link
    between classes that share a bucket is lost.
 
 Rows: a text that is null or has no word has no set and links with nothing; a text with fewer than `k` words has its whole sequence as
@@ -90,22 +91,27 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the number of shingles with one remainder."""
+    return np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view("<i8")
+
+
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """Per document: doc_id, n, digest of its set, keys of its bands, and 16 bits of each value of its signature."""
+    """Per document: doc_id, n, digest of its set, keys of its bands, 16 bits of each value of its signature, and parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1_000_000):
             sets = shingles(b.column("text").to_pylist(), k)
             some = [i for i, s in enumerate(sets) if len(s)]
-            keys, short, digests = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            keys, short, digests, bits = ([None] * len(sets) for _ in range(4))
             if some:
                 signature = signatures([sets[i] for i in some])
                 for i, row, values in zip(some, band_keys(signature), (_mix(signature) >> np.uint64(48)).astype("<u2")):
-                    keys[i], short[i], digests[i] = row, values.tobytes(), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-            columns = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "keys", "short"])
+                    keys[i], short[i], bits[i], digests[i] = row, values.tobytes(), parity(sets[i]), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+            columns = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "keys", "short", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>, short binary")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>, short binary, bits array<long>")
 
 
 def least_agreement(num: int, den: int) -> int:
@@ -166,10 +172,15 @@ def sent(placed: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("head.x", "id").alias("x"), F.greatest("head.x", "id").alias("y")).distinct()
 
 
-def across(placed: DataFrame) -> DataFrame:
-    """All pairs (x, y) of different components in a bucket."""
-    one, other = (placed.select("key", F.col("id").alias(s), F.col("component").alias(f"of_{s}")) for s in "xy")
-    return one.join(other, "key").filter((F.col("x") < F.col("y")) & (F.col("of_x") != F.col("of_y"))).select("x", "y").distinct()
+def across(placed: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (x, y) of different components in a bucket whose sizes and parity bits do not exclude a link."""
+    rows = placed.join(classes.select("id", "n", *(F.col("bits")[i].alias(f"b{i}") for i in range(8))), "id")
+    one, other = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "key")) for s in "xy")
+    sizes = (F.col("n_y") * den >= F.col("n_x") * num) & (F.col("n_x") * den >= F.col("n_y") * num)
+    differ = sum((F.bit_count(F.col(f"b{i}_x").bitwiseXOR(F.col(f"b{i}_y"))) for i in range(8)), F.lit(0))
+    near = sizes & (differ * (num + den) <= (F.col("n_x") + F.col("n_y")) * (den - num))
+    pairs = one.join(other, (one["key"] == other["key"]) & (F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & near)
+    return pairs.select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct()
 
 
 def dedup(docs: DataFrame, k: int = 2, num: int = 80, den: int = 100) -> DataFrame:
@@ -181,14 +192,14 @@ def dedup(docs: DataFrame, k: int = 2, num: int = 80, den: int = 100) -> DataFra
 def _dedup(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     owned = written(profiles(docs, k), "minmax-profiles")
-    classes = owned.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("short").alias("short"))
+    classes = owned.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("short").alias("short"), F.first("bits").alias("bits"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "minmax-classes")
 
     entries = classes.select("id", F.explode("keys").alias("key"))
     met = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
     met = written(met, "minmax-met")
     buckets = written(within(entries, "key", membership(met, "key")).join(met, "key"), "minmax-buckets")
-    of_pairs = written(classes.select("id", "n", "short", "rep", "digest").join(buckets.select("id").distinct(), "id"), "minmax-of-pairs")
+    of_pairs = written(classes.select("id", "n", "short", "bits", "rep", "digest").join(buckets.select("id").distinct(), "id"), "minmax-of-pairs")
     known = written(of_pairs.select("id", F.col("id").alias("component")), "minmax-known")
     sets, tried = None, None
 
@@ -218,7 +229,7 @@ def _dedup(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         n, found = linked(sent(apart(buckets, known), turn), best=turn == 0)
         if found <= YIELD * n:
             break
-    linked(across(apart(buckets, known)), best=False)
+    linked(across(apart(buckets, known), of_pairs, num, den), best=False)
 
     named = classes.select("id", "digest", "rep").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
