@@ -48,3 +48,79 @@ def test_outcomes_that_mature_between_batches_are_filled(spark):
     first = min(seen[0])
     assert seen[0][first][0] is not None and seen[0][first][1] is None and seen[1][first][1] is not None
     assert seen[1][first][2] is None and seen[2][first][2] is not None
+
+
+def tick_rows(days, per_day=6, shift=0):
+    t0 = dt.datetime(2024, 1, 1)
+    return [(1 + i % 2, t0 + dt.timedelta(days=day, minutes=97 * i + shift), 100.0 + (i * 37 + day) % 11, float(i % 5), 1000 * day + 10 * i + shift) for day in days for i in range(per_day)]
+
+
+def test_timers_close_bars_and_late_ticks_go_to_the_side_table(spark):
+    """Three arrivals over five weeks with a watermark of a day, and a heartbeat; the stream is started anew for each."""
+    from tidemark.streaming.batch import bar_parts
+
+    first, second = tick_rows(range(12)), tick_rows(range(12, 24))
+    second += tick_rows(range(3, 6), shift=2)  # of bars that are closed by then
+    third = tick_rows(range(24, 36)) + tick_rows([1, 22], shift=3)
+    schema = "ticker long, ts timestamp, price double, size double, id long"
+    rows = first + second + third
+
+    def arriving():
+        folder = jobs.work_dir(spark, "late-ticks")
+        for part in (first, second, third, [(None, dt.datetime(2024, 6, 1), 0.0, 0.0, None)]):
+            spark.createDataFrame(part, schema).coalesce(2).write.mode("append").parquet(folder)
+            yield folder
+
+    parts = jobs.read_parts(spark, jobs.run_closed_bars(arriving(), spark, lambda s: s)).persist()
+    late = {r["first_id"] for r in parts.where("late").collect()}
+    surely = {x[4] for x in tick_rows(range(3, 6), shift=2) + tick_rows([1], shift=3)}
+    assert surely <= late <= surely | {x[4] for x in tick_rows([22], shift=3)}
+    whole = bar_parts(spark.createDataFrame(rows, schema))
+    key = lambda r: (r["ticker"], r["width"], r["start"])
+    got = {key(r): r.asDict() for r in jobs.rolled_bars(parts).collect()}
+    want = {key(r): r.asDict() for r in jobs.rolled_bars(whole).collect()}
+    assert {k[1] for k in want} == {"5 minutes", "15 minutes", "day", "week", "month"}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert all(got[k][c] == want[k][c] or abs(got[k][c] - want[k][c]) < 1e-9 for c in want[k])
+    on_time = jobs.rolled_bars(parts.where("not late")).agg(F.sum("n")).first()[0]
+    assert on_time < jobs.rolled_bars(whole).agg(F.sum("n")).first()[0]
+
+
+def test_month_store_writes_touched_months_only_and_survives_a_repeated_version(spark):
+    from tidemark.sources.stores import MonthStore, upsert_bars
+
+    rows = bars(spark, n=120).select("ticker", "d", "o", "h", "l", "c", "v")
+    store = MonthStore(spark, jobs.work_dir(spark, "months"), rows.schema, files=2)
+    assert store.read().count() == 0 and store.newest() == -1
+    store.write(rows, 0)
+    before = store.versions()
+    assert len(before) >= 4 and set(before.values()) == {0}
+    month = sorted(before)[1]
+    late = rows.where(F.date_format("d", "yyyy-MM") == month).withColumn("c", F.col("c") + 1).withColumn("o", F.lit(-1.0))
+    assert store.merge(late, 1, upsert_bars) == [month]
+    assert store._files("data/b=1") and [x for x in store._files("data/b=1") if x.startswith("month=")] == [f"month={month}"]
+    assert store.versions() == {**before, month: 1}
+    want = sorted(map(tuple, upsert_bars(rows, late).collect()))
+    assert sorted(map(tuple, store.read().collect())) == want
+    store.write(rows.where("1 = 0"), 5)  # an empty version changes nothing
+    assert store.merge(rows.where("1 = 0"), 6, upsert_bars) == []
+    assert store.merge(late, 1, upsert_bars) == [month] and sorted(map(tuple, store.read().collect())) == want  # a second attempt
+    again = MonthStore(spark, store.folder, rows.schema)
+    assert again.newest() == 1 and sorted(map(tuple, again.read([month]).collect())) == [r for r in want if r[1].strftime("%Y-%m") == month]
+
+
+def test_merged_stream_goes_on_after_a_restart(spark):
+    from tidemark.sources.stores import MonthStore, upsert_bars
+
+    rows = bars(spark, n=120).select("ticker", "d", "o", "h", "l", "c", "v")
+    late = rows.where("day(d) % 3 = 0").withColumn("c", F.col("c") * 2)
+    store, state, versions = MonthStore(spark, jobs.work_dir(spark, "merged"), rows.schema), jobs.work_dir(spark, "merged-state"), []
+    store.write(rows, 0)
+    for folder in jobs.arrivals(late, "late", "d", 3):
+        jobs.merge_batches(jobs.file_stream(spark, folder), store, upsert_bars, state)
+        versions.append(store.newest())
+    assert versions == [1, 2, 3]
+    jobs.merge_batches(jobs.file_stream(spark, folder), store, upsert_bars, state)  # nothing new
+    assert store.newest() == 3
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, upsert_bars(rows, late).collect()))

@@ -9,6 +9,7 @@ from tidemark.plans.oracle import W, with_views
 from tidemark.plans.registry import query
 from tidemark.sources import stores as S
 from tidemark.sources import views as V
+from tidemark.streaming.jobs import work_dir
 
 
 def reg(name, cols, views, sql, fn, ctes=""):
@@ -37,7 +38,19 @@ def corrections(b):
 COR = """cor AS (SELECT ticker, d, o, h, l, c * 1.01 AS c, v + 1 AS v FROM bars WHERE n % 2 = 0 UNION ALL SELECT ticker, d + 4000, o, h, l, c, v FROM bars WHERE n = 3)"""
 UPS = """SELECT coalesce(b.ticker, cor.ticker) AS ticker, coalesce(b.d, cor.d) AS d, coalesce(b.o, cor.o) AS o, coalesce(b.h, cor.h) AS h, coalesce(b.l, cor.l) AS l,
     coalesce(cor.c, b.c) AS c, coalesce(cor.v, b.v) AS v FROM bars b FULL JOIN cor ON b.ticker = cor.ticker AND b.d = cor.d"""
-reg("bars_upsert_sink", "ticker d o:4 h:4 l:4 c:5 v:2", "bars", UPS, lambda s, d: S.upsert_bars(V.bars(s, d).drop("n", "u"), corrections(V.bars(s, d))), COR)
+reg("bars_upsert_sink", "ticker d o:4 h:4 l:4 c:5 v:2", "bars", UPS, lambda s, d: upserted(s, d), COR)
+
+
+def upserted(s, d):
+    """The bar store after a merge of corrections: only the months that they touch are written again."""
+    bars = V.bars(s, d).drop("n", "u")
+    store = S.MonthStore(s, work_dir(s, "bars-upsert"), bars.schema)
+    store.write(bars, 0)
+    store.merge(corrections(V.bars(s, d)), 1, S.upsert_bars)
+    return store.read()
+
+
+
 reg("incremental_day_ingest", "d", "bars", """SELECT x AS d FROM (SELECT CAST(g AS DATE) AS x FROM generate_series(TIMESTAMP '1994-12-01', TIMESTAMP '2002-01-31', INTERVAL 1 DAY) t(g))
     WHERE isodow(x) <= 5 AND x NOT IN (SELECT d FROM bars)""", lambda s, d: S.missing_sessions(V.bars(s, d), "1994-12-01", "2002-01-31", s))
 reg("store_coverage", "n_rows:i n_tickers:i first_d:s last_d:s n_days:i", "bars", """SELECT count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers, min(d) AS first_d, max(d) AS last_d,

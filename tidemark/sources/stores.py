@@ -6,8 +6,11 @@ its own tasks; nothing is updated in place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def bars_scan(bars: DataFrame, start: str, end: str, tickers: list[str] | None = None) -> DataFrame:
@@ -132,3 +135,60 @@ def insert_if_new(old: DataFrame, new: DataFrame, keys: list[str], order: str) -
     w = Window.partitionBy(*keys).orderBy(order)
     add = new.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").join(old.select(*keys), keys, "left_anti")
     return old.unionByName(add)
+
+
+class MonthStore:
+    """A table in versions of its months. Version n writes only the months it changes, to `data/b=n/month=M`, and then names them in
+    `log/b=n`; the newest version of a month that the log names is its content. A version that failed before its log was written does
+    not count and is written again whole. What the driver reads of the log is one row per month and version."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType, day: str = "d", files: int = 1):
+        self.spark, self.folder, self.schema, self.day, self.files = spark, folder.rstrip("/"), schema, day, files
+
+    def _files(self, path: str) -> list[str]:
+        """Names in a folder of the store, none where it does not exist."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def versions(self, before: int | None = None) -> dict[str, int]:
+        """Month to the number of its newest version (below `before`)."""
+        if not self._files("log"):
+            return {}
+        log = self.spark.read.schema("month string, b int").parquet(f"{self.folder}/log")
+        log = log if before is None else log.where(F.col("b") < before)
+        return {r["month"]: r["v"] for r in log.groupBy("month").agg(F.max("b").alias("v")).collect()}
+
+    def newest(self) -> int:
+        """Number of the newest version, -1 where there is none."""
+        return max(self.versions().values(), default=-1)
+
+    def read(self, months: list[str] | None = None, before: int | None = None) -> DataFrame:
+        """The content, of the given months only: other months' files are not touched."""
+        at = self.versions(before)
+        paths = [f"{self.folder}/data/b={v}/month={m}" for m, v in sorted(at.items()) if months is None or m in set(months)]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def write(self, rows: DataFrame, version: int) -> None:
+        """The months of `rows`, whole, as version `version`; a month goes to `files` files, dealt by a digest of the row."""
+        rows = rows.select(*self.schema.names, F.date_format(self.day, "yyyy-MM").alias("month"))
+        rows = rows.repartition("month", F.pmod(F.xxhash64(*self.schema.names), F.lit(self.files)))
+        rows.write.mode("overwrite").partitionBy("month").parquet(f"{self.folder}/data/b={version}")
+        months = [(x.partition("=")[2],) for x in self._files(f"data/b={version}") if x.startswith("month=")]
+        self.spark.createDataFrame(months, "month string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/log/b={version}")
+
+    def merge(self, batch: DataFrame, version: int, merge: Callable[[DataFrame, DataFrame], DataFrame], back: int = 0) -> list[str]:
+        """Merges a batch into the months that it touches (with `back`, into all stored months from so many before its first to its
+        last one) and returns them. A batch without rows makes no version."""
+        batch = batch.persist()
+        try:
+            own = [r["m"] for r in batch.select(F.date_format(self.day, "yyyy-MM").alias("m")).distinct().collect()]
+            if not own:
+                return []
+            year, month = map(int, min(own).split("-"))
+            low = f"{(12 * year + month - 1 - back) // 12:04d}-{(month - 1 - back) % 12 + 1:02d}"
+            months = sorted({*own, *(m for m in self.versions(version) if back and low <= m <= max(own))})
+            self.write(merge(self.read(months, version), batch), version)
+            return months
+        finally:
+            batch.unpersist()

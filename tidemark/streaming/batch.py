@@ -25,6 +25,14 @@ def tick_bars(t: DataFrame, width: str = "5 minutes") -> DataFrame:
     return g.select("ticker", F.col("w.start").alias("start"), "o", "h", "l", "c", "v", F.when(F.col("v") > 0, F.col("pv") / F.col("v")).alias("vwap"), "n", (F.col("c") / F.col("o") - 1).alias("change"))
 
 
+def bar_parts(t: DataFrame, minutes: int = 5) -> DataFrame:
+    """Every tick as a part of its 5-minute bar: the batch twin of `jobs.closed_bars`."""
+    us = F.unix_micros("ts")
+    price, one = F.col("price"), F.lit(1).cast("long")
+    start = F.timestamp_micros((us - F.pmod(us, F.lit(minutes * 60_000_000))).cast("long"))
+    return t.select("ticker", start.alias("start"), us.alias("first_us"), F.col("id").alias("first_id"), price.alias("o"), price.alias("h"), price.alias("l"), us.alias("last_us"), F.col("id").alias("last_id"), price.alias("c"), F.col("size").alias("v"), (price * F.col("size")).alias("pv"), one.alias("n"))
+
+
 def drift_cusum(b: DataFrame, threshold: float = 5.0, slack: float = 0.5) -> DataFrame:
     """Two-sided CUSUM of standardised returns; both sides restart after an alert. Folded over the daily array."""
     x = b.where("r is not null")

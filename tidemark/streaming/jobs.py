@@ -8,13 +8,15 @@ batch writes the same rows under the same batch number.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidemark.session import ensure_checkpoint_dir
+from tidemark.sources.stores import MonthStore
 
 c = F.col
 
@@ -38,15 +40,37 @@ def materialise(df: DataFrame, name: str, parts: int = 2, by: str | None = None)
     return folder
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Runs an append query over what is available and returns the written table."""
+def run_append(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Runs an append query over what is available and returns the written table. A call with the `base` of an earlier one goes on
+    where that one stopped."""
     spark = stream.sparkSession
-    base = work_dir(spark, name)
+    base = base or work_dir(spark, name)
     q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", base + "/state").trigger(availableNow=True).start(base + "/out")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(base + "/out")
 
 
+def arrivals(df: DataFrame, name: str, by: str, n: int = 3) -> Iterator[str]:
+    """Lets a table arrive in `n` ranges of a column of equal size: appends a range to a folder and yields the folder, n times."""
+    spark, folder, whole = df.sparkSession, work_dir(df.sparkSession, name), work_dir(df.sparkSession, name + "-all")
+    df.write.parquet(whole)
+    rows = spark.read.schema(df.schema).parquet(whole)
+    at = F.unix_micros(c(by).cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(at, [i / n for i in range(1, n)], 1000)).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.where(at > low)
+        (part if high is None else part.where(at <= high)).write.mode("append").parquet(folder)
+        yield folder
+
+
+def run_arrivals(spark: SparkSession, folders: Iterator[str], build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Runs an append query once for each arrival; every run starts from the state and offsets that the one before left."""
+    base, out = work_dir(spark, name), None
+    for folder in folders:
+        out = run_append(build(file_stream(spark, folder)), name, base)
+    return out
+
+
 def run_update(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Runs an aggregation in update mode; every batch writes its changed rows under its number, and the newest row of
     each key is the result."""
@@ -69,6 +93,115 @@ def tick_source(stream: DataFrame, kind: str = "purchase") -> DataFrame:
     return stream.where(c("event_type") == kind).select(c("user_id").alias("ticker"), c("ts").cast("timestamp").alias("ts"), F.coalesce(100 + c("value"), F.lit(0.0)).alias("price"), F.coalesce(k, F.lit(0.0)).alias("size"), c("event_id").alias("id"))
 
 
+#: What is known of a bar, or of a part of one: `first` and `last` are (microseconds, id) of the ticks that gave o and c.
+BAR_STATE = "first_us long, first_id long, o double, h double, l double, last_us long, last_id long, c double, v double, pv double, n long"
+BAR_ROW = "ticker long, start_us long, " + BAR_STATE + ", late boolean"
+BAR_PART = BAR_ROW.replace("start_us long", "start timestamp")
+
+
+def merged_parts(parts: DataFrame, keys: list) -> DataFrame:
+    """Parts of bars put together by `keys`; an aggregation that combines map-side. The turnover is rounded to a millionth before it
+    is divided, so that the order of addition does not show."""
+    first, last = F.struct("first_us", "first_id"), F.struct("last_us", "last_id")
+    g = parts.groupBy(*keys).agg(F.min_by("o", first).alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", last).alias("c"), F.sum("v").alias("v"), F.sum("pv").alias("pv"), F.sum("n").alias("n"))
+    return g.withColumn("vwap", F.when(c("v") > 0, F.round("pv", 6) / c("v"))).drop("pv")
+
+
+class BarCloser(StatefulProcessor):
+    """State machine of one (ticker, start): ticks are folded into the bar; a timer at the bar's end, in event time, emits it and
+    forgets it. Ticks of a bar that the watermark has already closed leave at once, each as a late part of its own."""
+
+    def __init__(self, width_us: int):
+        self.width_us = width_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.bar = handle.getValueState("bar", BAR_STATE)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        import pandas as pd
+
+        ticker, start = key
+        if ticker is None or ticker != ticker:  # a heartbeat; a filter in the plan would be moved below the watermark
+            return
+        end = (start + self.width_us) // 1000
+        closed = end <= timerValues.getCurrentWatermarkInMs()
+        for x in rows:
+            if closed:
+                one = {"first_us": x["us"], "first_id": x["id"], "o": x["price"], "h": x["price"], "l": x["price"], "last_us": x["us"], "last_id": x["id"], "c": x["price"], "v": x["size"], "pv": x["price"] * x["size"], "n": 1, "late": True}
+                yield pd.DataFrame({"ticker": ticker, "start_us": start, **one})
+                continue
+            x = x.sort_values(["us", "id"])
+            a, z = x.iloc[0], x.iloc[-1]
+            new = (int(a["us"]), int(a["id"]), float(a["price"]), float(x["price"].max()), float(x["price"].min()), int(z["us"]), int(z["id"]), float(z["price"]), float(x["size"].sum()), float((x["price"] * x["size"]).sum()), len(x))
+            old = self.bar.get()
+            if old is not None:
+                head = old if tuple(old[:2]) <= new[:2] else new
+                tail = old if tuple(old[5:7]) >= new[5:7] else new
+                new = (*head[:3], max(old[3], new[3]), min(old[4], new[4]), *tail[5:8], old[8] + new[8], old[9] + new[9], old[10] + new[10])
+            self.bar.update(tuple(new))
+            self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        import pandas as pd
+
+        bar = self.bar.get()
+        if bar is not None:
+            self.bar.clear()
+            yield pd.DataFrame([[key[0], key[1], *bar, False]], columns=[f.split()[0] for f in BAR_ROW.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def closed_bars(ticks: DataFrame, minutes: int = 5, late: str = "1 day") -> DataFrame:
+    """Parts of bars (BAR_PART) of a tick stream: a bar when the watermark passes its end, and every tick that comes later.
+
+    The watermark is taken from `ts`; the state machine reads the time as a number, so that Spark does not drop late ticks before it.
+    A tick without ticker only moves the watermark on (a heartbeat)."""
+    width = minutes * 60_000_000
+    us = F.unix_micros("ts")
+    x = ticks.withWatermark("ts", late).select("ticker", us.alias("us"), "price", "size", "id")
+    x = x.withColumn("start_us", c("us") - F.pmod(c("us"), F.lit(width)))
+    bars = x.groupBy("ticker", "start_us").transformWithStateInPandas(BarCloser(width), BAR_ROW, "Append", "EventTime")
+    return bars.withColumn("start_us", F.timestamp_micros("start_us")).withColumnRenamed("start_us", "start")
+
+
+def run_closed_bars(folders: Iterator[str], spark: SparkSession, source: Callable[[DataFrame], DataFrame], minutes: int = 5, late: str = "1 day") -> str:
+    """Runs `closed_bars` once per arrival. The result folder has bars closed in time below `late=false`, the side table below `late=true`."""
+    base, name = work_dir(spark, "closed-bars"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for folder in folders:
+            bars = closed_bars(source(file_stream(spark, folder)), minutes, late)
+            q = bars.writeStream.outputMode("append").format("parquet").partitionBy("late").option("checkpointLocation", base + "/state").trigger(availableNow=True).start(base + "/out")
+            q.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return base + "/out"
+
+
+def read_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(BAR_PART).parquet(folder)
+
+
+def rolled_bars(parts: DataFrame) -> DataFrame:
+    """Bars of all chart intervals (5 and 15 minutes, day, week, month) from parts of 5-minute bars: a part goes to one bar of each."""
+    quarter = F.timestamp_micros((F.unix_micros("start") - F.pmod(F.unix_micros("start"), F.lit(900_000_000))).cast("long"))
+    begins = {"5 minutes": c("start"), "15 minutes": quarter, **{k: F.date_trunc(k, "start") for k in ("day", "week", "month")}}
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("width"), v.alias("begin")) for k, v in begins.items()]))
+    x = parts.withColumn("_at", at).withColumn("width", c("_at.width")).withColumn("begin", c("_at.begin"))
+    return merged_parts(x, ["ticker", "width", "begin"]).withColumnRenamed("begin", "start")
+
+
+def chart_periods(bars: DataFrame) -> DataFrame:
+    """Per ticker and interval: bars, change from the first open to the last close, highest, lowest, mean volume."""
+    g = bars.groupBy("ticker", "width").agg(F.count(F.lit(1)).alias("n_bars"), F.min_by("o", "start").alias("first_open"), F.max_by("c", "start").alias("last_close"), F.max("h").alias("period_high"), F.min("l").alias("period_low"), F.avg("v").alias("avg_volume"))
+    change = c("last_close") - c("first_open")
+    return g.withColumn("change", change).withColumn("change_pct", F.when(c("first_open") != 0, change / c("first_open") * 100).otherwise(0.0))
+
+
 def tick_bars(ticks: DataFrame, width: str, late: str = "1 day") -> DataFrame:
     """Streaming bars per instrument and interval with a watermark; combines map-side like the batch form."""
     o = F.struct("ts", "id")
@@ -81,21 +214,15 @@ def first_seen(stream: DataFrame) -> DataFrame:
     return stream.groupBy("ticker").agg(F.min_by(F.struct("generated_at", "model", "signal"), F.struct("generated_at", "id")).alias("x")).select("ticker", "x.*")
 
 
-def merge_batches(stream: DataFrame, start: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], name: str) -> DataFrame:
-    """Merges every micro-batch into a versioned table: batch n reads version n and writes version n+1 whole, so a repeated
-    batch gives the same version."""
-    spark = stream.sparkSession
-    base = work_dir(spark, name)
-    start.write.parquet(f"{base}/v0")
-    last = {"v": 0}
+def merge_batches(stream: DataFrame, store: MonthStore, merge: Callable[[DataFrame, DataFrame], DataFrame], state: str, back: int = 0) -> None:
+    """Merges every micro-batch into the months of the store that it touches (and `back` months before its first one). The store's
+    version is the batch number, kept beside its data, so a repeated batch writes the same version and a restart goes on from it."""
 
     def write(batch: DataFrame, number: int) -> None:
-        merge(spark.read.parquet(f"{base}/v{number}"), batch).write.mode("overwrite").parquet(f"{base}/v{number + 1}")
-        last["v"] = number + 1
+        store.merge(batch, number + 1, merge, back)
 
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", base + "/state").trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/v{last['v']}")
 
 
 def stateful(stream: DataFrame, key: str, order: str, init: tuple, update, state_schema: str, out_schema: str) -> DataFrame:
@@ -170,18 +297,19 @@ def cusum_update():
 
 
 def drift_update(threshold: float, slack: float):
-    """Two-sided CUSUM of standardised values; both sides start again after an alert. Rows carry z."""
+    """Two-sided CUSUM of standardised values; both sides start again after an alert, which names its side and size. Rows carry z."""
 
     def update(state, rows):
         p, n = state
-        hit = []
+        kind, value = [], []
         for z in rows["z"].to_numpy():
             p, n = max(0.0, p + z - slack), max(0.0, n - z - slack)
-            h = p > threshold or n > threshold
-            if h:
+            hit = p > threshold or n > threshold
+            kind.append(("UPWARD" if p > threshold else "DOWNWARD") if hit else None)
+            value.append(max(p, n))
+            if hit:
                 p = n = 0.0
-            hit.append(h)
-        out = rows[["ticker", "d"]]
-        return (float(p), float(n)), out[hit]
+        out = rows[["ticker", "d"]].assign(kind=kind, value=value)
+        return (float(p), float(n)), out[out["kind"].notna()]
 
     return update
