@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ewm import with_ewms
 from tidemark.functions.frames import rnd
 from tidemark.functions.normal import norm_cdf, norm_ppf
-from tidemark.functions.ranks import with_rank_stats
+from tidemark.functions.ranks import _place, split_points, with_rank_stats
 
 
 def test_ewm_over_several_blocks_equals_pandas(spark):
@@ -28,7 +28,7 @@ def test_ewm_over_several_blocks_equals_pandas(spark):
 def test_rank_stats_with_a_third_of_all_rows_on_one_value(spark):
     rng = random.Random(2)
     rows = [("hot" if rng.random() < 0.8 else "cold", 7.0 if rng.random() < 0.34 else rng.uniform(-1e6, 1e3)) for _ in range(3000)] + [("hot", None)]
-    got = with_rank_stats(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", bins=16).toPandas()
+    got = with_rank_stats(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").toPandas()
     for g, x in got.groupby("g"):
         v = x["v"].dropna()
         for _, r in x.dropna(subset=["v"]).sample(60, random_state=1).iterrows():
@@ -36,6 +36,21 @@ def test_rank_stats_with_a_third_of_all_rows_on_one_value(spark):
     assert got[got["v"].isna()]["n"].isna().all()
 
 
+def test_rank_parts_are_even_for_a_skewed_distribution(spark):
+    """Values over six decades: no part holds 2 % of them, and ranks are exact, with and without keys."""
+    rng = random.Random(3)
+    rows = [("a", 10 ** rng.gauss(0, 1.5)) for _ in range(5000)] + [("b", float(i % 3)) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    hist = df.groupBy("g", F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    parts = hist.join(split_points(hist, ["g"], "_v"), "g").select("g", _place(F.col("_v"), F.col("_splits")).alias("part"))
+    sizes = [r["count"] for r in parts.where("g = 'a'").groupBy("part").count().collect()]
+    assert max(sizes) < 0.02 * 5000 and len(sizes) > 200
+    for keys in (["g"], []):
+        got = with_rank_stats(df, keys, "v").toPandas()
+        for _, x in got.groupby("g") if keys else [(0, got)]:
+            assert (x["n_less"] == x["v"].rank(method="min") - 1).all() and (x["n"] == len(x)).all()
+
+
 def test_normal_distribution(spark):
     xs = [-6.0, -2.5, -0.3, 0.0, 0.7, 3.1, 6.5]
     ps = [1e-6, 0.01, 0.3, 0.5, 0.84, 0.999]

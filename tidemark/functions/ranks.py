@@ -2,8 +2,8 @@
 
 Per-date cross-sections use plain windows: there are thousands of dates and a date holds one row per instrument.
 Where a few groups hold everything (a sector, a horizon, the whole table) `with_rank_stats` is used instead: equal
-values are counted first, the value range of each group is cut into bins, and a row's position is the count of the
-lower bins plus its position inside its own bin.
+values are counted first, the distinct values of each group are cut at split points of equal depth, and a row's position
+is the count of the lower parts plus its position inside its own part.
 """
 
 from __future__ import annotations
@@ -22,21 +22,34 @@ def avg_rank(value, key, ) -> Column:
     return F.when(~null, F.rank().over(wr) + (F.count(F.lit(1)).over(wt) - 1) / 2.0)
 
 
-def with_rank_stats(df: DataFrame, keys: list[str], value: str, bins: int = 512, prefix: str = "") -> DataFrame:
+def _place(value: Column, splits: Column) -> Column:
+    """Number of split points (an array of arrays, both ascending) at or below a value: first the block, then the place in it."""
+    block = F.size(F.filter(splits, lambda b: b[0] <= value))
+    inside = F.size(F.filter(F.get(splits, block - 1), lambda v: v <= value))
+    return F.when(block > 0, (block - 1) * F.size(splits[0]) + inside).otherwise(0)
+
+
+def split_points(hist: DataFrame, keys: list[str], value: str, side: int = 16) -> DataFrame:
+    """keys, _splits: side * side points that cut the distinct values of a group into parts of equal size, from a mergeable quantile
+    sketch (one per group and task); whatever the distribution, a part holds about 1 / side**2 of them."""
+    n = side * side
+    sketch = F.percentile_approx(value, [(i + 1) / (n + 1) for i in range(n)], 20 * n)
+    blocks = F.array(*[F.slice("_q", 1 + i * side, side) for i in range(side)])
+    return hist.groupBy(*keys).agg(sketch.alias("_q"), F.sum("_c").alias("_n")).select(*keys, "_n", blocks.alias("_splits"))
+
+
+def with_rank_stats(df: DataFrame, keys: list[str], value: str, prefix: str = "") -> DataFrame:
     """Adds n (non-null values of the group), n_less and n_equal (self included) as long columns.
 
-    Exact for any distribution: binning only decides where the counting happens. The input is read by several branches,
+    Exact for any distribution: the split points only decide where the counting happens. The input is read by several branches,
     so it is kept (memory, then disk) for the time of the query.
     """
     df = df.persist()
     n, less, eq = prefix + "n", prefix + "n_less", prefix + "n_equal"
-    kb = [F.col(k) for k in keys] or [F.lit(1).alias("_all")]
+    src = df if keys else df.withColumn("_all", F.lit(1))
     kn = keys or ["_all"]
-    hist = df.where(F.col(value).isNotNull()).groupBy(*kb, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    bounds = hist.groupBy(*kn).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
-    cut = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(0)
-    binned = hist.join(bounds, kn).withColumn("_bin", cut)
+    hist = src.where(F.col(value).isNotNull()).groupBy(*kn, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    binned = hist.join(split_points(hist, kn, "_v"), kn).withColumn("_bin", _place(F.col("_v"), F.col("_splits"))).drop("_splits")
     inside = Window.partitionBy(*kn, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*kn).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (binned.groupBy(*kn, "_bin").agg(F.sum("_c").alias("_b"))
@@ -44,7 +57,6 @@ def with_rank_stats(df: DataFrame, keys: list[str], value: str, bins: int = 512,
     ranks = binned.join(offsets, [*kn, "_bin"]).select(
         *kn, "_v", F.col("_n").alias(n), F.col("_c").alias(eq),
         (F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0))).alias(less))
-    src = df if keys else df.withColumn("_all", F.lit(1))
     r = ranks.select(*[F.col(k).alias("_k_" + k) for k in kn], *[c for c in ranks.columns if c not in kn])
     cond = F.col(value).eqNullSafe(F.col("_v"))
     for k in kn:
