@@ -38,6 +38,49 @@ def split_points(hist: DataFrame, keys: list[str], value: str, side: int = 16) -
     return hist.groupBy(*keys).agg(sketch.alias("_q"), F.sum("_c").alias("_n")).select(*keys, "_n", blocks.alias("_splits"))
 
 
+def rank_table(hist: DataFrame, kn: list[str]) -> DataFrame:
+    """Of counted values (kn, _v, _c): kn, _v, _c, _n (rows of the group) and _less (rows with a smaller value)."""
+    binned = hist.join(split_points(hist, kn, "_v"), kn).withColumn("_bin", _place(F.col("_v"), F.col("_splits"))).drop("_splits")
+    inside = Window.partitionBy(*kn, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*kn).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (binned.groupBy(*kn, "_bin").agg(F.sum("_c").alias("_b"))
+               .select(*kn, "_bin", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_off")))
+    less = F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
+    return binned.join(offsets, [*kn, "_bin"]).select(*kn, "_v", "_c", "_n", less.alias("_less"))
+
+
+def ranked_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Distinct values of several columns with their ranks: _column, _v, _c, _n, _less."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(x).alias("_column"), F.col(x).cast("double").alias("_v")) for x in cols])).alias("_e")).select("_e.*")
+    hist = long.where(F.col("_v").isNotNull()).groupBy("_column", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return rank_table(hist, ["_column"])
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], parts: int = 100) -> DataFrame:
+    """_column, i, q: the i / parts quantiles of each column (0 <= i <= parts), linear between neighbours, from exact ranks.
+
+    No task holds the values of a column: a value finds the quantiles whose lower or upper neighbour it is from its own ranks, so what
+    is brought together are two numbers for each quantile."""
+    a, end, gaps = F.col("_less"), F.col("_less") + F.col("_c"), F.greatest(F.col("_n") - 1, F.lit(1))
+    up = lambda x: F.floor((x + gaps - 1) / gaps)
+    lower = (up(a * parts), F.least(up(end * parts) - 1, F.lit(parts)))
+    upper = (F.when(a > 0, F.floor((a - 1) * parts / gaps) + 1).otherwise(0), F.least(F.floor((end - 1) * parts / gaps), F.lit(parts)))
+    one = F.col("_n") == 1
+    spread = lambda lo, hi: F.when(one, F.sequence(F.lit(0), F.lit(parts))).when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int")))
+    x = ranked_values(df, cols)
+    ends = [x.select("_column", "_n", "_v", F.explode(spread(*r)).alias("i"), F.lit(side).alias("side")) for side, r in (("lower", lower), ("upper", upper))]
+    g = ends[0].unionByName(ends[1]).groupBy("_column", "i").agg(F.max("_n").alias("n"), F.max(F.when(F.col("side") == "lower", F.col("_v"))).alias("lo"), F.max(F.when(F.col("side") == "upper", F.col("_v"))).alias("hi"))
+    at = F.col("i") * (F.col("n") - 1) / parts
+    return g.select("_column", "i", (F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))).alias("q"))
+
+
+def upper_middles(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row with a column for each of `cols`: the smallest value with more than half of the values at or below it."""
+    half = F.floor(F.col("_n") / 2)
+    hit = (F.col("_less") <= half) & (half < F.col("_less") + F.col("_c"))
+    return ranked_values(df, cols).agg(*[F.max(F.when(hit & (F.col("_column") == x), F.col("_v"))).alias(x) for x in cols])
+
+
 def with_rank_stats(df: DataFrame, keys: list[str], value: str, prefix: str = "") -> DataFrame:
     """Adds n (non-null values of the group), n_less and n_equal (self included) as long columns.
 
@@ -45,19 +88,11 @@ def with_rank_stats(df: DataFrame, keys: list[str], value: str, prefix: str = ""
     so it is kept (memory, then disk) for the time of the query.
     """
     df = df.persist()
-    n, less, eq = prefix + "n", prefix + "n_less", prefix + "n_equal"
     src = df if keys else df.withColumn("_all", F.lit(1))
     kn = keys or ["_all"]
     hist = src.where(F.col(value).isNotNull()).groupBy(*kn, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    binned = hist.join(split_points(hist, kn, "_v"), kn).withColumn("_bin", _place(F.col("_v"), F.col("_splits"))).drop("_splits")
-    inside = Window.partitionBy(*kn, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*kn).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (binned.groupBy(*kn, "_bin").agg(F.sum("_c").alias("_b"))
-               .select(*kn, "_bin", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_off")))
-    ranks = binned.join(offsets, [*kn, "_bin"]).select(
-        *kn, "_v", F.col("_n").alias(n), F.col("_c").alias(eq),
-        (F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0))).alias(less))
-    r = ranks.select(*[F.col(k).alias("_k_" + k) for k in kn], *[c for c in ranks.columns if c not in kn])
+    named = {"_n": prefix + "n", "_c": prefix + "n_equal", "_less": prefix + "n_less"}
+    r = rank_table(hist, kn).withColumnsRenamed({**named, **{k: "_k_" + k for k in kn}})
     cond = F.col(value).eqNullSafe(F.col("_v"))
     for k in kn:
         cond = cond & F.col(k).eqNullSafe(F.col("_k_" + k))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import between, by, clip, full, last_n
 from tidemark.functions.normal import norm_cdf
+from tidemark.functions.ranks import upper_middles
 
 
 
@@ -205,16 +206,9 @@ def walk_forward(rows: DataFrame, n_folds: int = 5, embargo: int = 5, min_train:
 
 def median_impute(df: DataFrame, cols: list[str], z: float = 5.0) -> DataFrame:
     """Nulls to the upper middle value of the column, then z-clipped. The statistics are one row, joined back."""
-    st = df.agg(*[F.element_at(F.percentile(c, F.array(F.lit(0.5), F.lit(0.5))), 1).alias("_lin_" + c) for c in cols], *[F.avg(c).alias("_m_" + c) for c in cols], *[F.stddev_samp(c).alias("_s_" + c) for c in cols], *[F.count(c).alias("_n_" + c) for c in cols])
-    # the upper middle is the smallest value with more than half of the values at or below it
-    mids = []
-    for c in cols:
-        cnt = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-        cand = cnt.crossJoin(st.select("_lin_" + c)).where(F.col(c) >= F.col("_lin_" + c)).agg(F.min(c).alias("_mid_" + c))
-        mids.append(cand)
-    x = df.crossJoin(st)
-    for m in mids:
-        x = x.crossJoin(m)
+    st = df.agg(*[F.avg(c).alias("_m_" + c) for c in cols], *[F.stddev_samp(c).alias("_s_" + c) for c in cols])
+    mids = upper_middles(df, cols).withColumnsRenamed({c: "_mid_" + c for c in cols})
+    x = df.crossJoin(F.broadcast(st)).crossJoin(F.broadcast(mids))  # one row each
     out = [clip((F.coalesce(F.col(c), F.col("_mid_" + c)) - F.col("_m_" + c)) / F.col("_s_" + c), -z, z).alias(c + "_z") for c in cols]
     keep = [F.coalesce(F.col(c), F.col("_mid_" + c)).alias(c) for c in cols]
     return x.select(*[c for c in df.columns if c not in cols], *keep, *out)

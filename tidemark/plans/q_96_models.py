@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import full, last_n, with_tail
 from tidemark.operators import models as M
+from tidemark.operators import ridge as R
 from tidemark.operators import technical as T
 from tidemark.operators import volatility as VO
 from tidemark.operators.aggregates import ic_summary, rank_ic
@@ -55,11 +56,27 @@ def model(s, d, build):
     return M.fit_predict(p.where("i < 24"), p.where("i >= 24"), build).select("ticker", "d", "label", "prediction")
 
 
-reg("cross_sectional_model", "ticker d label prediction", "", None, lambda s, d: model(s, d, lambda: M.ridge(1000)))
+def monthly(s, d):
+    """Every month from the thirteenth on, predicted by a ridge on all months before."""
+    p = R.dated(panel(s, d), "m")
+    return R.walk_forward(p, FEATS, R.monthly_folds(p))
+
+
+def blocks(s, d):
+    """Three expanding folds with a gap before each test block."""
+    p = R.dated(panel(s, d).where("label is not null"), "m")
+    return R.walk_forward(p, FEATS, R.expanding_folds(p, embargo=3, min_train=12), least=1)
+
+
+RIDGE = PAN + ", " + R.oracle(FEATS, "SELECT *, dense_rank() OVER (ORDER BY m) - 1 AS i FROM pb", "SELECT DISTINCT i AS fold, i AS train_end, i AS lo, i + 1 AS hi FROM pm WHERE i >= 12")
+BLOCKS = PAN + ", " + R.oracle(FEATS, "SELECT *, dense_rank() OVER (ORDER BY m) - 1 AS i FROM pb WHERE label IS NOT NULL", "SELECT fold, 12 + fold * size AS train_end, 15 + fold * size AS lo, least(15 + (fold + 1) * size, n) AS hi FROM (SELECT n, greatest(5, (n - 15) // 3) AS size FROM (SELECT max(i) + 1 AS n FROM pm)), (SELECT unnest([0, 1, 2]) AS fold) WHERE least(15 + (fold + 1) * size, n) - (15 + fold * size) >= 2", least=1)
+OIC = ", oi AS (SELECT m, corr(a, b) AS ic FROM (SELECT m, row_number() OVER (PARTITION BY m ORDER BY prediction, ticker) AS a, row_number() OVER (PARTITION BY m ORDER BY fwd, ticker) AS b FROM rp WHERE fwd IS NOT NULL) GROUP BY m HAVING count(*) >= 5)"
+reg("cross_sectional_model", "ticker d fold:i label prediction", "rets", "SELECT ticker, d, fold, label, prediction FROM rp", monthly, RIDGE)
 reg("boosted_regression", "ticker d label prediction", "", None, lambda s, d: model(s, d, lambda: M.boosted(3, 10)))
 oof = lambda s, d: M.out_of_fold(indexed(s, d), lambda: M.ridge(1000), min_train=12, embargo=3)
-reg("model_factory", "ticker d fold:i prediction", "", None, oof)
-reg("walk_forward_eval", "n:i mean_ic t_stat positive_share", "", None, lambda s, d: ic_summary(rank_ic(oof(s, d), ["m"], "prediction", "fwd", ordinal=True)))
+reg("model_factory", "ticker d fold:i prediction", "rets", "SELECT ticker, d, fold, prediction FROM rp", blocks, BLOCKS)
+reg("walk_forward_eval", "n:i mean_ic t_stat positive_share", "rets", "SELECT count(*) AS n, avg(ic) AS mean_ic, avg(ic) / (stddev_samp(ic) / sqrt(count(*))) AS t_stat, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) AS positive_share FROM oi",
+    lambda s, d: ic_summary(rank_ic(monthly(s, d), ["m"], "prediction", "fwd", ordinal=True)), RIDGE + OIC)
 reg("oof_ensemble", "ticker d ridge tree ensemble", "", None, lambda s, d: M.oof_ensemble(indexed(s, d), {"ridge": lambda: M.ridge(1000), "tree": lambda: M.boosted(2, 5)}, {"ridge": 0.6, "tree": 0.4}, ["ticker", "d"], embargo=3, min_train=12))
 reg("feature_importance", "feature:s mdi mda sfi consensus", "", None, lambda s, d: M.importances(panel(s, d).persist(), FEATS))
 reg("meta_model", "ticker d p_correct", "", None, lambda s, d: M.meta_model(oof(s, d).drop("features").withColumn("correct", ((c("prediction") > 0.5) == (c("label") > 0.5)).cast("double")), FEATS))
