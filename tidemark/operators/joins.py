@@ -137,20 +137,44 @@ def peer_group(universe: DataFrame) -> DataFrame:
     return x.select("ticker", "bucket", "sic_code", key.alias("peer_key"))
 
 
+#: Words that company names are compared without.
+NAME_SUFFIXES = r"\b(inc|corp|corporation|company|co|ltd|limited|plc|llc|lp|holdings?|group|technologies|technology|systems|solutions|industries|international|n\.?v|s\.?a|a\.?g|s\.?e|kk|ab|as|oyj)\b\.?"
+
+
+def name_key(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), NAME_SUFFIXES, ""), "[^a-z0-9 ]", ""))
+
+
+def name_index(names: DataFrame) -> DataFrame:
+    """key, ticker: whole names of four letters and more (the smallest ticker of equal names), and first words of five and more that
+    one name only begins with and that are no whole name."""
+    u = names.select(name_key(F.col("name")).alias("key"), "ticker")
+    whole = u.where("length(key) >= 4").groupBy("key").agg(F.min("ticker").alias("ticker"))
+    first = u.select(F.substring_index("key", " ", 1).alias("key"), "ticker").where("length(key) >= 5").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ticker").alias("ticker"))
+    return whole.unionByName(first.where("n = 1").drop("n").join(whole, "key", "left_anti"))
+
+
 def resolve_entities(mentions: DataFrame, names: DataFrame) -> DataFrame:
-    """mentions (id, name) -> ticker by normalised name: equality first, then the longest word prefix of at least five
-    characters. Single-word keys count only when one ticker has them. All prefixes are exploded to an equi-join."""
-    norm = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.upper(c), "[^A-Z0-9 ]", " "),
-                                                              "\\b(INC|CORP|CO|LTD|PLC|LLC|THE)\\b", " "), "\\s+", " "))
-    keys = names.select(norm(F.col("name")).alias("key"), "ticker").where("length(key) > 0").groupBy("key").agg(
-        F.min("ticker").alias("ticker"), F.countDistinct("ticker").alias("n"))
-    keys = keys.where((F.col("n") == 1) | F.contains(F.col("key"), F.lit(" "))).select("key", "ticker")
-    m = mentions.withColumn("words", F.split(norm(F.col("name")), " "))
-    pre = m.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda n: F.array_join(F.slice("words", 1, n), " "))).alias("pos", "key"),
-                   F.size("words").alias("nw"))
-    pre = pre.where((F.col("pos") + 1 == F.col("nw")) | (F.length("key") >= 5))
-    hit = pre.join(keys, "key").groupBy("id").agg(F.max_by("ticker", F.col("pos")).alias("ticker"), F.max(F.length("key")).alias("key_len"))
-    return mentions.join(hit, "id", "left").select("id", "ticker", "key_len")
+    """mentions (id, name) -> ticker and rule by normalised name: `exact`; the longest run of leading `words` of five letters and more;
+    or a `prefix`: names that begin with a mention of six letters and more, or that it begins with (five and more), if all are one
+    ticker's. Distinct mentions are resolved once. Both prefix directions are equi-joins over exploded prefixes, where names with a
+    common prefix are first reduced to their least and largest ticker."""
+    index = name_index(names)
+    keyed = mentions.select("id", name_key(F.col("name")).alias("key"))
+    k = keyed.select("key").distinct().where("key <> ''")
+    exact = k.join(index, "key").select("key", F.lit(3).alias("by"), F.lit(0).alias("n"), "ticker")
+    words = F.filter(F.split("key", " +"), lambda w: w != "")
+    runs = k.select("key", words.alias("w")).select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.lit(1), n), " ").alias("head")))).alias("r")).select("key", "r.*")
+    run = runs.where("length(head) >= 5").join(index.withColumnRenamed("key", "head"), "head").select("key", F.lit(2).alias("by"), "n", "ticker")
+    heads = lambda c, least: F.explode(F.transform(F.sequence(F.lit(least), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n))).alias("head")
+    long = k.where("length(key) >= 6")
+    inside = long.select("key", heads("key", 5)).join(index.withColumnRenamed("key", "head"), "head").select("key", F.col("ticker").alias("low"), F.col("ticker").alias("high"))
+    begun = index.where("length(key) >= 6").select("ticker", heads("key", 6)).groupBy("head").agg(F.min("ticker").alias("low"), F.max("ticker").alias("high"))
+    around = long.join(begun.withColumnRenamed("head", "key"), "key").select("key", "low", "high")
+    prefix = inside.unionByName(around).groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high").select("key", F.lit(1).alias("by"), F.lit(0).alias("n"), F.col("low").alias("ticker"))
+    best = exact.unionByName(run).unionByName(prefix).groupBy("key").agg(F.max(F.struct("by", "n", "ticker")).alias("b"))
+    rule = F.when(F.col("b.by") == 3, "exact").when(F.col("b.by") == 2, "words").when(F.col("b.by") == 1, "prefix")
+    return keyed.join(best, "key", "left").select("id", F.col("b.ticker").alias("ticker"), rule.alias("rule"))
 
 
 def network_momentum(edges: DataFrame, shocks: DataFrame, floor: float = 0.10, centrality: float = 1.0, attention: float = 1.0) -> DataFrame:

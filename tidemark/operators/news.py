@@ -59,21 +59,52 @@ def top_per_publisher(a: DataFrame, key: str, score: str, per: int = 4, total: i
     return x.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*o))).where(c("position") <= total).drop("_p")
 
 
-def dedupe_stories(a: DataFrame, key: list[str], score: str, share: float = 0.45) -> DataFrame:
-    """In rank order a title is dropped when its words overlap a kept title by more than `share` of the smaller set.
+def clashing_titles(a: DataFrame, key: list[str], score: str, share: float = 0.45) -> tuple[DataFrame, DataFrame]:
+    """Titles (id, key, doc_id) and pairs (one, other) of a key's titles whose words overlap by more than `share` of the smaller set,
+    `one` being the better ranked.
 
-    The rule depends on order, so it is a fold over the ranked titles of one key (instrument and day here) with the kept
-    word sets as state."""
+    Pairs come from an inverted index: words are ordered by how many titles hold them, and of the smaller set only so many of the
+    rarest are looked up that a pair with enough in common must meet in one of them. Common words are looked up by nobody."""
     ws = F.array_distinct(F.filter(F.split(F.lower("title"), "\\s+"), lambda w: F.length(w) > 3))
-    x = a.select(*key, "doc_id", F.struct((-c(score)).alias("o"), c("doc_id").alias("doc_id"), ws.alias("w")).alias("e"))
-    g = x.groupBy(*key).agg(F.sort_array(F.collect_list("e")).alias("es"))
-    zero = F.expr("cast(array() as array<struct<doc_id:bigint,w:array<string>>>)")
+    x = a.select(*key, "doc_id", c(score).alias("_s"), ws.alias("w")).withColumn("id", F.struct((-c("_s")).alias("o"), c("doc_id").alias("doc_id")))
+    x = x.withColumn("n", F.size("w")).drop("_s")
+    held = x.where("n > 0").select(*key, "id", "n", F.explode("w").alias("word"))
+    often = held.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("k"))
+    held = held.join(often, [*key, "word"])
+    rare = held.groupBy(*key, "id", "n").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("ws"))  # words of one title
+    need = F.floor(c("n") * share) + 1
+    looked = rare.select(*key, c("id").alias("small"), c("n").alias("n_small"), c("ws.word").alias("w_small"), F.explode(F.slice("ws", F.lit(1), (c("n") - need + 1).cast("int"))).alias("e"))
+    looked = looked.withColumn("word", c("e.word")).drop("e")
+    index = held.select(*key, "word", c("id").alias("large"), c("n").alias("n_large"))
+    near = looked.join(index, [*key, "word"]).where((c("n_small") < c("n_large")) | ((c("n_small") == c("n_large")) & (c("small") < c("large"))))
+    near = near.select(*key, "small", "large", "n_small", "w_small").distinct()
+    near = near.join(rare.select(*key, c("id").alias("large"), c("ws.word").alias("w_large")), [*key, "large"])
+    hit = F.size(F.array_intersect("w_small", "w_large")) / c("n_small") > share
+    return x.select("id", *key, "doc_id"), near.where(hit).select(*key, F.least("small", "large").alias("one"), F.greatest("small", "large").alias("other"))
+
 
-    def step(kept, e):
-        clash = F.exists(kept, lambda k: F.size(F.array_intersect(k["w"], e["w"])) / F.greatest(F.lit(1), F.least(F.size(k["w"]), F.size(e["w"]))) > share)
-        return F.when(clash, kept).otherwise(F.array_append(kept, F.struct(e["doc_id"].alias("doc_id"), e["w"].alias("w"))))
+def dedupe_stories(a: DataFrame, key: list[str], score: str, share: float = 0.45) -> DataFrame:
+    """In rank order a title is dropped when its words overlap a kept title by more than `share` of the smaller set.
 
-    return g.select(*key, F.explode(F.aggregate("es", zero, step)).alias("k")).select(*key, "k.doc_id")
+    What is kept is the first independent set of the clashing pairs in rank order. It is found in rounds over a written table: a title
+    with no better undecided one among its pairs is kept, and its others are dropped. A day of any size is spread over all tasks;
+    rounds are as many as the longest chain of titles that decide one another."""
+    from tidemark.streaming.jobs import work_dir
+
+    spark = a.sparkSession
+    put = lambda df, name: (lambda path: (df.write.parquet(path), spark.read.schema(df.schema).parquet(path))[1])(work_dir(spark, name))
+    titles, pairs = clashing_titles(a, key, score, share)
+    titles, pairs = put(titles, "stories"), put(pairs, "story-pairs")
+    gone, left = None, pairs
+    while left.head(1):
+        first = left.select(*key, c("one").alias("id")).join(left.select(*key, c("other").alias("id")), [*key, "id"], "left_anti").distinct()
+        drop = put(left.join(first.withColumnRenamed("id", "one"), [*key, "one"], "left_semi").select(*key, c("other").alias("id")).distinct(), "story-drops")
+        gone = drop if gone is None else gone.unionByName(drop)
+        for end in ("one", "other"):
+            left = left.join(drop.withColumnRenamed("id", end), [*key, end], "left_anti")
+        left = put(left.join(first.withColumnRenamed("id", "one"), [*key, "one"], "left_anti"), "story-pairs")
+    kept = titles if gone is None else titles.join(gone, [*key, "id"], "left_anti")
+    return kept.select(*key, "doc_id")
 
 
 def stated_facts(a: DataFrame, key: str, text: str, order: str, groups: dict[str, tuple], hedges=T.HEDGES, first_only: str | None = None) -> DataFrame:

@@ -86,7 +86,7 @@ ticks AS (SELECT user_id AS ticker, ts, 100 + value AS price, CAST(json_extract_
     event_id AS id FROM events)"""),
     "articles": ("", """
 articles AS (SELECT documents.doc_id, documents.doc_id % (SELECT count(*) FROM supplier) AS ticker,
-    DATE '2024-01-01' + CAST((documents.doc_id * 7) % 30 AS INTEGER) AS published, source AS publisher, substr(text, 1, 80) AS title,
+    DATE '2024-01-01' + CAST((documents.doc_id * 7) % 30 AS INTEGER) AS published, source AS publisher, split_part(text, chr(10), 1) AS title,
     text AS body, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS sentiment
     FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id)"""),
     "chain": ("", """

@@ -173,7 +173,14 @@ reg("peer_group_narrowing", "ticker bucket:s sic_code:s peer_key:s", "universe",
 SH = "(length(dst) % 7 - 3) / 100.0"
 reg("network_edge_join", "src:i momentum n_edges:i top_neighbour:s", "edges", f"""SELECT src, sum(c) AS momentum, count(*) AS n_edges, max({{'a': abs(c), 'd': dst}}).d AS top_neighbour FROM (SELECT src, dst, {SH} * weight * CASE tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0 END AS c
     FROM edges WHERE confirmed AND weight >= 0.04) GROUP BY src""", lambda s, d: (lambda e: J.network_momentum(e, e.select("dst").distinct().withColumn("shock", (F.length("dst") % 7 - 3) / 100.0), floor=0.04))(V.edges(s, d)))
-reg("entity_resolution_join", "id:i ticker key_len:i", "", """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey END AS ticker, CASE WHEN s_suppkey % 5 <> 0 THEN length(s_name) END AS key_len FROM supplier""",
-    lambda s, d: J.resolve_entities(V.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("Unknown Maker "), "s_suppkey"))
-                                                                     .otherwise(F.concat("s_name", F.lit(", Inc. of Ohio"))).alias("name")),
-                                    V.table(s, d, "supplier").select(F.col("s_suppkey").alias("ticker"), F.concat("s_name", F.lit(" Corp")).alias("name"))))
+KEYED = lambda x: f"trim(regexp_replace(regexp_replace(lower({x}), '{J.NAME_SUFFIXES}', '', 'g'), '[^a-z0-9 ]', '', 'g'))"
+LISTED = "p_name || CASE p_partkey % 3 WHEN 0 THEN ' ' || p_type || ' Corp' WHEN 1 THEN ' Technologies, Inc.' ELSE ' ' || substr(p_brand, 7) || ' Group' END"
+SAID = "CASE p_partkey % 5 WHEN 0 THEN p_name || ' Holdings' WHEN 1 THEN p_name || ' ' || p_type || ' of Ohio, Inc.' WHEN 2 THEN split_part(p_name, ' ', 2) || ' Ltd.' WHEN 3 THEN p_name || ' ' || p_type || 'S' ELSE substr(p_name, 1, length(p_name) - 1) END"
+NAMES = f"""un AS (SELECT p_partkey AS ticker, {KEYED(LISTED)} AS k FROM part WHERE p_partkey % 7 = 0), wn AS (SELECT k, min(ticker) AS t FROM un WHERE length(k) >= 4 GROUP BY k),
+fw AS (SELECT split_part(k, ' ', 1) AS k, min(ticker) AS t FROM un WHERE length(split_part(k, ' ', 1)) >= 5 GROUP BY 1 HAVING count(*) = 1), ix AS (SELECT * FROM wn UNION ALL SELECT * FROM fw WHERE k NOT IN (SELECT k FROM wn)),
+mn AS (SELECT p_partkey AS id, {KEYED(SAID)} AS k FROM part), mw AS (SELECT id, k, list_filter(string_split(k, ' '), lambda w: w <> '') AS w FROM mn),
+ru AS (SELECT id, arg_max(t, n) AS t FROM (SELECT id, n, array_to_string(w[1:n], ' ') AS head FROM mw, (SELECT unnest(range(1, 12)) AS n) WHERE n <= len(w)) JOIN ix ON ix.k = head WHERE length(head) >= 5 GROUP BY id),
+px AS (SELECT id, min(t) AS t FROM mn JOIN ix ON length(ix.k) >= 5 AND (starts_with(ix.k, mn.k) OR starts_with(mn.k, ix.k)) WHERE length(mn.k) >= 6 GROUP BY id HAVING count(DISTINCT t) = 1)"""
+reg("entity_resolution_join", "id:i ticker rule:s", "", f"""WITH {NAMES} SELECT mn.id, coalesce(ix.t, ru.t, px.t) AS ticker, CASE WHEN ix.t IS NOT NULL THEN 'exact' WHEN ru.t IS NOT NULL THEN 'words' WHEN px.t IS NOT NULL THEN 'prefix' END AS rule
+    FROM mn LEFT JOIN ix ON ix.k = mn.k LEFT JOIN ru ON ru.id = mn.id LEFT JOIN px ON px.id = mn.id""",
+    lambda s, d: (lambda p: J.resolve_entities(p.selectExpr("p_partkey AS id", f"{SAID} AS name"), p.where("p_partkey % 7 = 0").selectExpr("p_partkey AS ticker", f"{LISTED} AS name")))(V.table(s, d, "part")))

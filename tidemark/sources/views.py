@@ -180,7 +180,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (doc.join(lab, "doc_id", "left").crossJoin(n_sup)
             .select("doc_id", (F.col("doc_id") % F.col("n_sup")).alias("ticker"),
                     F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("doc_id") * 7) % 30).cast("int")).alias("published"),
-                    F.col("source").alias("publisher"), F.substring("text", 1, 80).alias("title"),
+                    F.col("source").alias("publisher"), F.substring_index("text", "\n", 1).alias("title"),
                     F.col("text").alias("body"), sent.alias("sentiment")))
 
 
