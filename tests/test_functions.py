@@ -1,14 +1,16 @@
 """Building blocks against brute force: averages, ranks, the normal distribution, rounding."""
 
+import datetime as dt
 import random
 from statistics import NormalDist
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ewm import with_ewms
-from tidemark.functions.frames import rnd
+from tidemark.functions.frames import rnd, with_lead_split
 from tidemark.functions.normal import norm_cdf, norm_ppf
 from tidemark.functions.ranks import _place, split_points, with_rank_stats
 
@@ -51,6 +53,20 @@ def test_rank_parts_are_even_for_a_skewed_distribution(spark):
             assert (x["n_less"] == x["v"].rank(method="min") - 1).all() and (x["n"] == len(x)).all()
 
 
+def test_leads_of_a_key_with_half_of_all_rows(spark):
+    """Blocks with halos give the rows of a plain window, also where blocks hold fewer rows than the lead."""
+    rng = random.Random(5)
+    rows = [(1 if i % 2 else 2 + i % 40, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(2_000_000) if i % 7 else 777), i, float(i % 11)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "ticker long, ts timestamp, id long, x double")
+    want = df.withColumn("y", F.lead("x", 5).over(Window.partitionBy("ticker").orderBy("ts", "id")))
+    got = with_lead_split(df, "ticker", ["ts", "id"], "x", 5, "y", rows=100).select(*want.columns)
+    key = lambda r: (r[0], r[2])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    for limit in (3, 100_000):
+        got = with_lead_split(df.where("id < 900"), "ticker", ["ts", "id"], "x", 5, "y", rows=limit)
+        assert got.count() == 900 and got.where("y is null").count() == df.where("id < 900").groupBy("ticker").count().agg(F.sum(F.least(F.lit(5), "count"))).first()[0]
+
+
 def test_normal_distribution(spark):
     xs = [-6.0, -2.5, -0.3, 0.0, 0.7, 3.1, 6.5]
     ps = [1e-6, 0.01, 0.3, 0.5, 0.84, 0.999]

@@ -84,3 +84,26 @@ def rnd(c, places: int = 0) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     f = float(10 ** places)
     return F.floor(c.cast("double") * f + 0.5) / f
+
+
+def with_lead_split(df: DataFrame, key: str, order: list[str], value: str, n: int, name: str, rows: int = 100_000) -> DataFrame:
+    """Adds `name`: the value `n` rows later of the same key, without a window over a whole key.
+
+    A key of more than `rows` rows is cut at split points of equal depth of the first order column (a timestamp) into blocks of about
+    `rows` rows. The first `n` rows of a block are also sent to the `n` blocks with rows before it, as a halo that is dropped again, so
+    a task sees one block and at most n * n rows more. Rows of one timestamp stay together."""
+    from tidemark.functions.ranks import _place, split_points
+
+    at = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    large = df.groupBy(key).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > rows).select(key)
+    cuts = split_points(df.join(large, key, "left_semi").select(key, at.alias("_v"), F.lit(1).alias("_c")), [key], "_v")
+    parts = F.least(F.lit(257), F.ceil(F.col("_n") / rows))
+    block = F.when(F.col("_n").isNull(), 0).otherwise(F.floor(_place(at, F.col("_splits")) * parts / 257)).cast("int")
+    x = df.join(cuts, key, "left").withColumn("_block", block).drop("_n", "_splits")
+    inside = Window.partitionBy(key, "_block").orderBy(*order)
+    heads = x.join(large, key, "left_semi").select(key, *order, value, "_block").withColumn("_i", F.row_number().over(inside)).where(F.col("_i") <= n).drop("_i")
+    nth = heads.select(key, "_block").distinct().withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy("_block")))  # a row per block
+    sent = nth.select(key, "_block", F.explode(F.sequence(F.col("_at") - n, F.col("_at") - 1)).alias("_at")).join(nth.select(key, "_at", F.col("_block").alias("_to")), [key, "_at"])
+    halo = heads.join(sent.drop("_at"), [key, "_block"]).drop("_block").withColumnRenamed("_to", "_block")
+    both = x.withColumn("_halo", F.lit(False)).unionByName(halo.withColumn("_halo", F.lit(True)), allowMissingColumns=True)
+    return both.withColumn(name, F.lead(value, n).over(inside)).where("not _halo").drop("_halo", "_block")

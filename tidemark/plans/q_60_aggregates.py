@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.frames import with_tail
+from tidemark.functions.frames import with_lead_split, with_tail
 from tidemark.operators import aggregates as X
 from tidemark.plans.oracle import W, sql_norm_cdf, sql_norm_ppf
 from tidemark.plans.q_10_technical import ANN, market, rets
@@ -31,9 +31,8 @@ reg("ic_summary", "n:i mean_ic std_pop t_stat icir positive_share", "bars", "SEL
 
 def outcomes(s, d):
     """Signals with the outcome five events later of the same instrument."""
-    w = Window.partitionBy("ticker").orderBy("generated_at", "id")
-    x = V.signals(s, d)
-    return x.withColumn("ret", F.lead("signal", 5).over(w) / 100 - F.col("signal") / 400).withColumn("regime", F.expr("case when day(generated_at) % 3 = 0 then 'calm' when day(generated_at) % 3 = 1 then 'normal' else 'panic' end"))
+    x = with_lead_split(V.signals(s, d), "ticker", ["generated_at", "id"], "signal", 5, "later")
+    return x.withColumn("ret", F.col("later") / 100 - F.col("signal") / 400).drop("later").withColumn("regime", F.expr("case when day(generated_at) % 3 = 0 then 'calm' when day(generated_at) % 3 = 1 then 'normal' else 'panic' end"))
 
 
 OUT = """outc AS (SELECT *, lead(signal, 5) OVER (PARTITION BY ticker ORDER BY generated_at, id) / 100 - signal / 400 AS ret, CASE WHEN day(generated_at) % 3 = 0 THEN 'calm' WHEN day(generated_at) % 3 = 1 THEN 'normal' ELSE 'panic' END AS regime FROM signals),
