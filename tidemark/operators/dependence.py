@@ -168,17 +168,43 @@ def crowding_score(series: DataFrame, short_interest: Column | None = None) -> D
 
 
 def crowding_pca(w: DataFrame, names: list[int], n: int = 63) -> DataFrame:
-    """Entropy of explained variance of the newest n standardised rows, effective factor count and top share."""
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-
-    x = w.orderBy(F.col("d").desc()).limit(n)
-    v = VectorAssembler(inputCols=[f"f{k}" for k in names], outputCol="v").transform(x)
-    v = StandardScaler(inputCol="v", outputCol="s", withMean=True).fit(v).transform(v)
-    ev = [float(z) for z in PCA(k=len(names), inputCol="s", outputCol="p").fit(v).explainedVariance]
-    ent = -sum(e * math.log(e + 1e-10) for e in ev)
-    enf = math.exp(ent)
-    level = "HIGH" if enf < 2 or ev[0] > 0.6 else "MEDIUM" if enf < 3 or ev[0] > 0.4 else "LOW"
-    return w.sparkSession.createDataFrame([(ent, enf, ev[0], level)], "entropy double, effective_n double, top_share double, level string")
+    """Entropy of explained variance of the newest n standardised rows, effective factor count and top share.
+
+    The correlations are one row of aggregates, whatever n is; only that row is decomposed. A constant factor has no variance."""
+    f = [f"f{k}" for k in names]
+    size = len(f)
+    pairs = [F.coalesce(F.corr(f[i], f[j]), F.lit(0.0)) if i != j else F.coalesce((F.var_pop(f[i]) > 0).cast("double"), F.lit(0.0)) for i in range(size) for j in range(size)]
+    one = w.orderBy(F.col("d").desc()).limit(n).agg(F.array(*pairs).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 0")
+
+    def shares(frames):
+        import numpy as np
+        import pandas as pd
+
+        for x in frames:
+            ev = [np.sort(np.maximum(np.linalg.eigvalsh(np.nan_to_num(np.asarray(m, float)).reshape(size, size)), 0))[::-1] for m in x["m"]]
+            yield pd.DataFrame({"shares": [e / max(e.sum(), 1e-300) for e in ev]})
+
+    x = one.select("m").mapInPandas(shares, "shares array<double>")
+    x = x.select((-F.aggregate("shares", F.lit(0.0), lambda t, e: t + e * F.log(e + 1e-10))).alias("entropy"), F.col("shares")[0].alias("top_share")).withColumn("effective_n", F.exp("entropy"))
+    low, mid = (F.col("effective_n") < 2) | (F.col("top_share") > 0.6), (F.col("effective_n") < 3) | (F.col("top_share") > 0.4)
+    return x.withColumn("level", F.when(low, "HIGH").when(mid, "MEDIUM").otherwise("LOW"))
+
+
+def jacobi_sql(size: int, start: str, sweeps: int = 7) -> str:
+    """CTEs that end in `eigen` (ev): eigenvalues of the symmetric matrix in the row `start` (a0_0, a0_1, ...), by plane rotations."""
+    at = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
+    cells = [(i, j) for i in range(size) for j in range(i, size)]
+    out, last = [], start
+    for t, (p, q) in enumerate([(p, q) for _ in range(sweeps) for p in range(size) for q in range(p + 1, size)]):
+        c, s = "cos(th)", "sin(th)"
+        new = {at(p, p): f"{c} * {c} * {at(p, p)} + 2 * {c} * {s} * {at(p, q)} + {s} * {s} * {at(q, q)}", at(q, q): f"{s} * {s} * {at(p, p)} - 2 * {c} * {s} * {at(p, q)} + {c} * {c} * {at(q, q)}", at(p, q): "0.0"}
+        for k in range(size):
+            if k not in (p, q):
+                new[at(k, p)], new[at(k, q)] = f"{c} * {at(k, p)} + {s} * {at(k, q)}", f"{c} * {at(k, q)} - {s} * {at(k, p)}"
+        row = ", ".join(f"{new.get(at(i, j), at(i, j))} AS {at(i, j)}" for i, j in cells)
+        out.append(f"jr{t} AS MATERIALIZED (SELECT {row} FROM (SELECT *, 0.5 * atan2(2 * {at(p, q)}, {at(p, p)} - {at(q, q)}) AS th FROM {last}))")
+        last = f"jr{t}"
+    return ", ".join(out) + f", eigen AS (SELECT unnest([{', '.join(at(i, i) for i in range(size))}]) AS ev FROM {last})"
 
 
 def factor_dispersion(loadings: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -46,7 +46,9 @@ reg("factor_exposures", "ticker alpha b_mr b_f0 r_squared idio_risk", "rets mkt
     WHERE f = 0 AND r IS NOT NULL AND mr IS NOT NULL) WHERE k <= 252 GROUP BY ticker))""", lambda s, d: D.factor_exposures(rm(s, d).join(V.factor_returns(s, d, rets(s, d)).where("f = 0").select("d", F.col("fr").alias("f0")), "d").select("ticker", "d", "r", "mr", "f0"), ["mr", "f0"]))
 reg("crowding_score", "f:i recent_sharpe persistence crowding unwind_prob", "fret", f"""SELECT *, 1 / (1 + exp(-(crowding - 0.65) * 10)) AS unwind_prob FROM (SELECT f, sh AS recent_sharpe, pers AS persistence, (0.40 * least(greatest(sh / 3, 0.0), 1.0) + 0.30 * least(pers, 1.0)) / 2 AS crowding FROM (SELECT f, avg(fr) / (stddev_samp(fr) + 1e-10) * {ANN} AS sh FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY d DESC) AS k FROM fret) WHERE k <= 63 GROUP BY 1) JOIN
     (SELECT f, avg(CASE WHEN s > 0.5 THEN 1.0 ELSE 0 END) AS pers FROM (SELECT f, last_day(d) AS m, avg(fr) / (stddev_samp(fr) + 1e-10) * {ANN} AS s, row_number() OVER (PARTITION BY f ORDER BY last_day(d) DESC) AS j FROM fret GROUP BY 1, 2) WHERE j <= 12 GROUP BY 1) USING (f))""", lambda s, d: D.crowding_score(V.factor_returns(s, d, rets(s, d))))
-reg("crowding_pca", "entropy effective_n top_share level:s", "", None, lambda s, d: D.crowding_pca(fw(s, d), N))
+CORR = "c0 AS (SELECT " + ", ".join(f"corr(f{a}, f{b}) AS a{a}_{b}" if a != b else f"1.0 AS a{a}_{b}" for a in N for b in N if a <= b) + " FROM fi WHERE k <= 63), "
+reg("crowding_pca", "entropy effective_n top_share level:s", "fret", """SELECT *, CASE WHEN effective_n < 2 OR top_share > 0.6 THEN 'HIGH' WHEN effective_n < 3 OR top_share > 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT -sum(e * ln(e + 1e-10)) AS entropy, exp(-sum(e * ln(e + 1e-10))) AS effective_n, max(e) AS top_share FROM (SELECT ev / (SELECT sum(ev) FROM eigen) AS e FROM eigen))""",
+    lambda s, d: D.crowding_pca(fw(s, d), N), f"{FI}, {CORR}{D.jacobi_sql(len(N), 'c0')}")
 reg("factor_dispersion", "f:i dispersion n:i crowded:i", "fret", "SELECT *, dispersion < 0.3 AS crowded FROM (SELECT f, stddev_samp(b) / abs(avg(b)) AS dispersion, count(*) AS n FROM (SELECT ticker, f, regr_slope(r, fr) AS b FROM rets JOIN fret USING (d) WHERE r IS NOT NULL GROUP BY 1, 2) GROUP BY f)",
     lambda s, d: D.factor_dispersion(rets(s, d).where("r is not null").join(V.factor_returns(s, d, rets(s, d)), "d").groupBy("ticker", "f").agg(F.regr_slope("r", "fr").alias("b"))))
 
