@@ -68,3 +68,13 @@ def test_stories_of_a_crowded_day(spark):
     assert got == want and 20 < len(want) < len(rows) / 2
     none = spark.createDataFrame(rows[:0], "day int, doc_id long, score double, title string")
     assert dedupe_stories(none, ["day"], "score").count() == 0
+
+
+def test_issuers_that_hold_more_than_there_is_are_passed_over(spark):
+    from tidemark.operators.aggregates import match_issuers
+
+    positions = [(1, "APPLE INC", 900.0), (1, "Apple Computer", 50.0), (2, "APPLETON PAPERS", 2000.0), (3, "APPLE HOSPITALITY", 300.0), (4, "PEAR CO", 10.0)]
+    positions += [(10 + i, f"GIANT {i} CORP", 1000.0 + i) for i in range(7)] + [(30, "GIANT SMALL", 5.0)]
+    companies = [(100, "Apple Inc.", 1000.0), (101, "Apple, Inc.", 200.0), (102, "Apple Co", None), (103, "Co. Ltd", 5.0), (104, "Plum Corp", 5.0), (105, "Giant Holdings", 20.0), (106, "Giant", 1004.0), (107, "Pears", 10.0), (108, "Pear plc", 10.0 / 1.05)]
+    got = {r["ticker"]: (r["cusip"], r["total_shares"]) for r in match_issuers(spark.createDataFrame(companies, "ticker int, name string, outstanding double"), spark.createDataFrame(positions, "cusip int, issuer string, shares double")).collect()}
+    assert got == {100: (1, 950.0), 102: (2, 2000.0), 106: (16, 1006.0), 108: (4, 10.0)}  # 105: the five largest are all too large

@@ -145,7 +145,9 @@ def test_stories_and_facts(spark):
 def test_entity_resolution(spark):
     names = spark.createDataFrame([("SIER", "Sierra Bancorp"), ("TXN", "Texas Instruments Inc"), ("AAPL", "Apple Inc")], "ticker string, name string")
     m = spark.createDataFrame([(1, "Texas Instruments Incorporated"), (2, "Apple Corp"), (3, "Sierra Wireless")], "id long, name string")
-    assert {r["id"]: r["ticker"] for r in joins.resolve_entities(m, names).collect()} == {1: "TXN", 2: "AAPL", 3: None}
+    found = lambda n: {r["id"]: r["ticker"] for r in joins.resolve_entities(m, n).collect()}
+    assert found(names) == {1: "TXN", 2: "AAPL", 3: "SIER"}  # one name only begins with the word
+    assert found(names.unionByName(spark.createDataFrame([("SMT", "Sierra Metals")], names.schema))) == {1: "TXN", 2: "AAPL", 3: None}
 
 
 def test_year_ago_reaches_over_many_rows(spark):

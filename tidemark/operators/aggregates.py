@@ -66,6 +66,43 @@ def ic_summary(ics: DataFrame, value: str = "ic") -> DataFrame:
                    F.avg((F.col(value) > 0).cast("double")).alias("positive_share"))
 
 
+#: Words that issuers are matched without.
+ISSUER_SUFFIXES = r"\b(INC|CORP|CORPORATION|CO|COMPANY|LTD|PLC|HOLDINGS|GROUP|CLASS [A-C]|COM)\b"
+
+
+def issuer_stem(name: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(F.upper(name), "[^A-Z ]", " "), ISSUER_SUFFIXES, " ")
+    return F.trim(F.regexp_replace(bare, " +", " "))
+
+
+def match_issuers(companies: DataFrame, positions: DataFrame, most: int = 5, slack: float = 1.05) -> DataFrame:
+    """companies (ticker, name, outstanding) -> cusip and total_shares of the security they are in positions (cusip, issuer, shares).
+
+    Candidates are the `most` largest securities whose issuer begins with the first word of the company's name; the first one that
+    holds no more than `slack` times the shares outstanding is it. Issuers meet first words over their exploded prefixes, and the
+    largest are taken once for each first word."""
+    stem = issuer_stem(F.col("name"))
+    asked = companies.select("ticker", "outstanding", stem.alias("stem")).where("length(stem) >= 3").withColumn("word", F.lower(F.substring_index("stem", " ", 1)))
+    held = positions.groupBy("cusip").agg(F.max("issuer").alias("issuer"), F.sum("shares").alias("total_shares"), F.array_distinct(F.collect_set(F.lower("issuer"))).alias("said"))  # an issuer's few spellings
+    heads = held.select("cusip", "total_shares", F.explode("said").alias("said")).select("cusip", "total_shares", F.explode(F.transform(F.sequence(F.lit(1), F.length("said")), lambda n: F.substring("said", F.lit(1), n))).alias("word"))
+    near = heads.join(asked.select("word").distinct(), "word", "left_semi").distinct()
+    w = Window.partitionBy("word").orderBy(F.col("total_shares").desc(), "cusip")
+    near = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    fits = F.coalesce(F.col("outstanding"), F.lit(0.0)) == 0
+    pick = asked.join(near, "word").where(fits | (F.col("total_shares") <= F.col("outstanding") * slack))
+    return pick.groupBy("ticker", "outstanding").agg(F.min(F.struct("_r", "cusip", "total_shares")).alias("p")).select("ticker", "outstanding", "p.cusip", "p.total_shares")
+
+
+def ownership_by_issuer(companies: DataFrame, positions: DataFrame, most: int = 15) -> DataFrame:
+    """Per company: the largest holder families of its security. positions: cusip, issuer, manager, family, shares, value_usd."""
+    found = match_issuers(companies, positions)
+    fam = positions.join(found.select("cusip").distinct(), "cusip", "left_semi").groupBy("cusip", "family").agg(F.sum("shares").alias("s"), F.sum("value_usd").alias("v"), F.countDistinct("manager").alias("entities"))
+    rank = F.row_number().over(Window.partitionBy("cusip").orderBy(F.col("s").desc(), "family"))
+    top = fam.withColumn("rank", rank).where(F.col("rank") <= most)
+    pct = F.when(F.coalesce(F.col("outstanding"), F.lit(0.0)) != 0, F.col("s") / F.col("outstanding") * 100)
+    return found.join(top, "cusip").select("ticker", "cusip", "total_shares", "family", "s", "v", "entities", "rank", pct.alias("pct"))
+
+
 def ownership_concentration(positions: DataFrame, issuer: str, holder: str, outstanding: DataFrame) -> DataFrame:
     """Per issuer: holder groups, share of the largest 1/3/10, mean share, holders over 5 %, Herfindahl of held shares.
     Holder totals are pre-aggregated, so an issuer group has one row per holder group. outstanding: issuer, out."""

@@ -208,7 +208,7 @@ def median_impute(df: DataFrame, cols: list[str], z: float = 5.0) -> DataFrame:
     """Nulls to the upper middle value of the column, then z-clipped. The statistics are one row, joined back."""
     st = df.agg(*[F.avg(c).alias("_m_" + c) for c in cols], *[F.stddev_samp(c).alias("_s_" + c) for c in cols])
     mids = upper_middles(df, cols).withColumnsRenamed({c: "_mid_" + c for c in cols})
-    x = df.crossJoin(F.broadcast(st)).crossJoin(F.broadcast(mids))  # one row each
+    x = df.crossJoin(st).crossJoin(mids)  # one row each
     out = [clip((F.coalesce(F.col(c), F.col("_mid_" + c)) - F.col("_m_" + c)) / F.col("_s_" + c), -z, z).alias(c + "_z") for c in cols]
     keep = [F.coalesce(F.col(c), F.col("_mid_" + c)).alias(c) for c in cols]
     return x.select(*[c for c in df.columns if c not in cols], *keep, *out)

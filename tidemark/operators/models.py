@@ -108,7 +108,7 @@ def percentile_position(values: DataFrame, train: DataFrame, cols: list[str]) ->
     """Raw values to their place among the 101 training percentiles (strictly-below count / 100, missing is .5).
     The percentiles are one row of arrays."""
     arrays = exact_quantiles(train, cols).groupBy("_column").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda e: e["q"]).alias("q"))  # 101 each
-    t = F.broadcast(arrays.agg(*[F.max(F.when(c("_column") == f, c("q"))).alias("_q_" + f) for f in cols]))
+    t = arrays.agg(*[F.max(F.when(c("_column") == f, c("q"))).alias("_q_" + f) for f in cols])
     pos = lambda f: F.when(c(f).isNull(), 0.5).otherwise(F.least(F.size(F.filter("_q_" + f, lambda v: v < c(f))) / 100, F.lit(1.0)))
     return values.crossJoin(t).select(*[k for k in values.columns if k not in cols], *[pos(f).alias(f) for f in cols])
 

@@ -22,7 +22,7 @@ c = F.col
 def dated(panel: DataFrame, date: str, index: str = "i") -> DataFrame:
     """The panel with the position of each row's date."""
     dates = panel.select(date).distinct().withColumn(index, (F.row_number().over(Window.orderBy(date)) - 1).cast("long"))  # a row per date
-    return panel.join(F.broadcast(dates), date)
+    return panel.join(dates, date)
 
 
 def monthly_folds(panel: DataFrame, min_train: int = 12, index: str = "i") -> DataFrame:
@@ -47,7 +47,7 @@ def window_middles(panel: DataFrame, folds: DataFrame, features: list[str], labe
     some = [f for f in features if nulls[f]]
     if not some:
         return folds.select("fold", F.array(*[F.lit(0.0)] * len(features)).alias("med"))
-    rows = panel.where(c(label).isNotNull()).join(F.broadcast(folds.select("fold", "train_end")), c(index) < c("train_end"))
+    rows = panel.where(c(label).isNotNull()).join(folds.select("fold", "train_end"), c(index) < c("train_end"))
     long = rows.select("fold", F.explode(F.array(*[F.struct(F.lit(f).alias("_column"), c(f).alias("_v")) for f in some])).alias("_e")).select("fold", "_e.*")
     ranks = rank_table(long.where("_v is not null").groupBy("fold", "_column", "_v").agg(F.count(F.lit(1)).alias("_c")), ["fold", "_column"])
     half = F.floor(c("_n") / 2)
@@ -106,7 +106,7 @@ def fits(panel: DataFrame, features: list[str], folds: DataFrame, label: str = "
 def predict(panel: DataFrame, features: list[str], fitted: DataFrame, index: str = "i") -> DataFrame:
     """Test rows of every fold with fold and prediction. Fitted folds are a row per date at most."""
     at = fitted.withColumn(index, F.explode(F.sequence("lo", c("hi") - 1))).drop("lo", "hi")
-    x = panel.join(F.broadcast(at), index)
+    x = panel.join(at, index)
     terms = [F.get("w", j) * (F.coalesce(c(f), F.get("med", j)) - F.get("mean", j)) / F.get("std", j) for j, f in enumerate(features)]
     return x.withColumn("prediction", c("y_mean") + sum(terms, F.lit(0.0))).drop("med", "mean", "std", "w", "y_mean")
 

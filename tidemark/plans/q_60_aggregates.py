@@ -81,15 +81,25 @@ def latest_positions(s, d):
 LP = "lp AS (SELECT *, manager % 50 AS family FROM holdings WHERE putcall = '' AND quarter = (SELECT max(quarter) FROM holdings WHERE putcall = ''))"
 
 
-def ownership(s, d):
-    """Per security: managers, shares held, percentage of shares outstanding and the largest family."""
-    p = latest_positions(s, d)
-    fam = p.groupBy("cusip", "family").agg(F.sum("shares").alias("s"), F.sum("value_usd").alias("v"), F.countDistinct("manager").alias("entities"))
-    w = Window.partitionBy("cusip").orderBy(F.col("s").desc(), "family")
-    return fam.withColumn("rank", F.row_number().over(w)).withColumn("pct", F.col("s") / (300.0 + F.col("cusip") % 100) * 100).where("rank <= 15")
+ISSUED = "upper(p_name) || CASE p_partkey % 4 WHEN 0 THEN ' INC' WHEN 1 THEN ' ' || p_type || ' COM' WHEN 2 THEN 'S CORP' ELSE ' HOLDINGS CLASS A' END"
+COMPANY = "p_name || CASE p_partkey % 3 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' ' || p_type || ' Corporation' ELSE ' & Co' END"
 
 
-reg("ownership_by_issuer", "cusip:i family:i s:2 v:2 entities:i rank:i pct:5", "holdings", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cusip ORDER BY s DESC, family) AS rank, s / (300.0 + cusip % 100) * 100 AS pct FROM (SELECT cusip, family, sum(shares) AS s, sum(value_usd) AS v, count(DISTINCT manager) AS entities FROM lp GROUP BY 1, 2)) WHERE rank <= 15""", ownership, LP)
+def ownership(s, d):
+    """Companies find their security by issuer name among the latest positions; its largest holder families."""
+    part = V.table(s, d, "part")
+    companies = part.where("p_partkey % 5 = 0").selectExpr("p_partkey AS ticker", f"{COMPANY} AS name", "CASE WHEN p_partkey % 35 = 0 THEN NULL ELSE 20.0 + p_partkey % 160 END AS outstanding")
+    positions = latest_positions(s, d).join(part.selectExpr("p_partkey AS cusip", f"{ISSUED} AS issuer"), "cusip")
+    return X.ownership_by_issuer(companies, positions)
+
+
+STEM = lambda x: f"trim(regexp_replace(regexp_replace(regexp_replace(upper({x}), '[^A-Z ]', ' ', 'g'), '{X.ISSUER_SUFFIXES}', ' ', 'g'), ' +', ' ', 'g'))"
+ISSUERS = f""", hp AS (SELECT lp.*, {ISSUED} AS issuer FROM lp JOIN part ON p_partkey = cusip), hc AS (SELECT cusip, max(issuer) AS issuer, sum(shares) AS total_shares FROM hp GROUP BY cusip),
+co AS (SELECT p_partkey AS ticker, lower(split_part({STEM(COMPANY)}, ' ', 1)) AS word, CASE WHEN p_partkey % 35 = 0 THEN NULL ELSE 20.0 + p_partkey % 160 END AS outstanding FROM part WHERE p_partkey % 5 = 0 AND length({STEM(COMPANY)}) >= 3),
+cd AS (SELECT * FROM (SELECT ticker, outstanding, hc.*, row_number() OVER (PARTITION BY ticker ORDER BY total_shares DESC, cusip) AS r FROM co JOIN hc ON lower(issuer) LIKE word || '%') WHERE r <= 5),
+pk AS (SELECT ticker, arg_min(outstanding, r) AS outstanding, min(r) AS r, arg_min(cusip, r) AS cusip, arg_min(total_shares, r) AS total_shares FROM (SELECT * FROM cd WHERE outstanding IS NULL OR total_shares <= outstanding * 1.05) GROUP BY ticker),
+fm AS (SELECT *, row_number() OVER (PARTITION BY cusip ORDER BY s DESC, family) AS rank FROM (SELECT cusip, family, sum(shares) AS s, sum(value_usd) AS v, count(DISTINCT manager) AS entities FROM lp GROUP BY 1, 2))"""
+reg("ownership_by_issuer", "ticker cusip:i total_shares:2 family:i s:2 v:2 entities:i rank:i pct:5", "holdings", """SELECT pk.ticker, fm.cusip, pk.total_shares, family, s, v, entities, rank, (SELECT min(s / o.outstanding * 100) FROM co o WHERE o.ticker = pk.ticker) AS pct FROM pk JOIN fm USING (cusip) WHERE rank <= 15""", ownership, LP + ISSUERS)
 
 
 def notable(s, d):
