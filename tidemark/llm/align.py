@@ -216,10 +216,9 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFra
     counts[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     highest = np.zeros(int(pairs.b.max(initial=0)) + 1, np.int64)
     np.maximum.at(highest, pairs.b, counts)
-    shared = spark.sparkContext.broadcast((counts, counts == highest[pairs.b]))
+    best = counts == highest[pairs.b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, best = shared.value
         for b in batches:
             links, per_row = _flat(b.column("links"))
             ends = np.cumsum(per_row)

@@ -94,14 +94,14 @@ def chained(rows: DataFrame, order: list[str]) -> DataFrame:
     runs = local.groupBy("part", "conv_id").agg(F.max("depth").alias("n"), F.max_by("p1", "depth").alias("p1"), F.max_by("p2", "depth").alias("p2"))
     a_run = F.struct("conv_id", "n", "p1", "p2")
     edges = runs.groupBy("part").agg(F.min_by(a_run, "conv_id").alias("first"), F.max_by(a_run, "conv_id").alias("last")).orderBy("part").collect()  # a row per task
-    before = rows.sparkSession.sparkContext.broadcast(carries([(r["part"], tuple(r["first"]), tuple(r["last"])) for r in edges]))
+    before = carries([(r["part"], tuple(r["first"]), tuple(r["last"])) for r in edges])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = {c: b.column(c).to_numpy().copy() for c in new}
             convs, parts = b.column("conv_id").to_numpy(), b.column("part").to_numpy()
             for part in np.unique(parts).tolist():
-                conv, n, p = before.value.get(part, (None, 0, None))
+                conv, n, p = before.get(part, (None, 0, None))
                 for i in np.flatnonzero((parts == part) & (convs == conv)).tolist() if n else ():
                     at = int(values["depth"][i])
                     for x, y, base, held in zip(("p1", "p2"), ("q1", "q2"), BASES, p):
