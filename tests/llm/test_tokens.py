@@ -18,6 +18,8 @@ from tidemark.llm.tokens import library_encoder
 random.seed(7)
 ODD = ["", " ", "  a", "a\n ", "a\n \nb", "a  b   c ", "\x1c a\x1d\x1e b", "don't I'll 'tis 123 45a", "ab" * 3000, "!!??" * 50, "é ́b", "a \x85 b", "a  b", "<|endoftext|> x<|endoftext|>", "\x00 a \x00"]
 ODD += ["".join(random.choice(" \n\ta'1.é\x1c\x00 ") for _ in range(random.randint(1, 14))) for _ in range(400)]
+ODD += ["İ: a İ. İstanbul:", "a <|startoftext|> b", "<|ENDOFTEXT|> <|endoftext|>", " <|endoftext|>", "Word.\nNext%%\nÉté, ÀÖ! ß ÿ.", "ab.\n cd", "ab\n\ncd", "x's y'll.", "µm ªº ×÷ K ſ."]
+ODD += [" ".join("".join(random.choice("aBéÀİßſ\u0307\u0301.,:%'1\n<|>") for _ in range(random.randint(1, 7))) for _ in range(12)) for _ in range(600)]
 
 
 def docs(spark, extra=True):
@@ -49,14 +51,12 @@ def test_bpe_digests(spark):
 @pytest.mark.parametrize("file,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_chunks_equal_whole_texts(file, spaced):
     model = Tokenizer.from_file(P.path(file))
-    model.encode_special_tokens = True
     for t, ids in zip(ODD, library_encoder(P.path(file), spaced).batch(ODD)):
         assert np.frombuffer(ids, "<u4").tolist() == model.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_records_round_trip(spark):
     model = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    model.encode_special_tokens = True
     frame, start, want = docs(spark), 0, []
     got = [tuple(r) for r in records.round_trip(frame, P.path("word_bpe_49k.json")).orderBy("start").collect()]
     texts = {}
@@ -99,7 +99,6 @@ def test_fillings_are_closest():
 
 def test_packing_holds_every_id_once(spark):
     model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     frame = docs(spark)
     rows = packing.pack_documents(frame, records.with_end(P.path("byte_bpe_50k.json"), 0, True), 64).collect()
     at = {}

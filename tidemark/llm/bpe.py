@@ -111,11 +111,16 @@ class Codec:
         self.pieces = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE_SPACE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{WHITE_SPACE}]").replace(r"\S", f"[^{WHITE_SPACE}]"))
         self.merge = RankQueue(self.ranks).merge
         self.seen: dict[str, bytes] = {}
-        self.chunks = ChunkEncoder(self.encode_strings, spaced=True, entries=700_000)
+        self.chunks = ChunkEncoder(self.encode_strings, spaced=True, entries=700_000, encode_units=self.encode_units)
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for b, i in self.ranks.items():
             self.bytes_of[i] = b
 
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of strings that are one pre-token each."""
+        merge = self.merge
+        return [np.array(merge(u.encode()), "<u4").tobytes() for u in units]
+
     def encode_strings(self, strings: list[str]) -> list[bytes]:
         seen, out = self.seen, []
         for s in strings:
