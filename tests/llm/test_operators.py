@@ -208,14 +208,21 @@ def test_jaccard(docs, k, num, den):
     assert jaccard.join(docs.limit(0), k, num, den).count() == 0
 
 
-def test_word_digests_do_not_depend_on_segments(monkeypatch):
+def test_word_digests_do_not_depend_on_the_cache(monkeypatch):
     text = words(400, 5) + " " + "é" * 5000
     whole = jaccard.shingles([text, None, "", text.upper()], 3)
-    monkeypatch.setattr(jaccard, "_SEGMENT", 64)
+    monkeypatch.setattr(jaccard, "WORD_ENTRIES", 1)
     for a, b in zip(whole, jaccard.shingles([text, None, "", text.upper()], 3)):
         assert np.array_equal(a, b)
 
 
+def test_jaccard_keeps_texts_apart_that_defeat_polynomial_hashes(spark):
+    """Words of 1,024 letters after the Thue-Morse sequence and its complement have equal polynomial hashes modulo 2**64 for every base."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    frame = spark.createDataFrame([(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.join(frame).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(0, 30)] + [(70, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = docs

@@ -49,8 +49,8 @@ BATCH_ROWS = 2_000
 FILTER_BITS = 26
 BITS = tuple(f"b{i}" for i in range(8))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, *((np.arange(1, MINIMA + 1, dtype=object) * 0xD6E8FEB86659FD93 % (1 << 64)) | 1)], np.uint64)
-_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-_SEGMENT = 1 << 20
+#: Words whose digests a worker keeps.
+WORD_ENTRIES, LONGEST_WORD = 300_000, 64
 
 
 def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
@@ -58,50 +58,27 @@ def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as many as the longest segment asked for; and a random number per byte."""
+_WORDS: dict[bytes, int] = {}
 
-    base = 0x5851F42D4C957F2D
-    up = down = np.ones(1, np.uint64)
-    of_byte = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
 
-    @classmethod
-    def to(cls, n: int) -> None:
-        if len(cls.up) < n:
-            steps = np.full((2, max(n, _SEGMENT + 4096)), cls.base, np.uint64)
-            steps[1] = pow(cls.base, -1, 1 << 64)
-            steps[:, 0] = 1
-            with np.errstate(over="ignore"):
-                cls.up, cls.down = np.cumprod(steps, axis=1, dtype=np.uint64)
-
-
-def _word_digests(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit digest of every word, from running sums of byte values times powers; in segments that end with a word."""
-    all_starts, all_digests, at = [], [], 0
-    data = np.frombuffer(raw, np.uint8)
-    while at < len(data):
-        end = min(at + _SEGMENT, len(data))
-        while end < len(data) and not _SPACE[data[end]]:
-            end += 1
-        part = data[at:end]
-        inside = np.concatenate([[False], ~_SPACE[part], [False]])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, ends = edges[::2], edges[1::2]
-        _Powers.to(len(part) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_Powers.of_byte[part] * _Powers.up[: len(part)])])
-            all_digests.append(_mix((sums[ends] - sums[starts]) * _Powers.down[starts], _ODD[2]))
-        all_starts.append(starts + at)
-        at = end
-    none = np.zeros(0, np.int64)
-    return np.concatenate(all_starts or [none]), np.concatenate(all_digests or [none.astype(np.uint64)])
+def _word_digests(words: list[bytes]) -> np.ndarray:
+    """64-bit digests of words, from a cryptographic hash, so that no words are known to collide. Each is hashed once per worker, but for
+    those beyond the bound of the cache, which are forgotten again."""
+    fresh = set(words).difference(_WORDS)
+    _WORDS.update((w, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")) for w in fresh)
+    out = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    full = len(_WORDS) > WORD_ENTRIES
+    for w in fresh:
+        if full or len(w) > LONGEST_WORD:
+            del _WORDS[w]
+    return out
 
 
 def shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Per text: sorted distinct 64-bit digests of its k-word shingles."""
-    raw = [(t or "").encode("utf-8", "replace") for t in texts]
-    starts, words = _word_digests(b" ".join(raw).lower())
-    bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
+    cut = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+    words = _word_digests(list(itertools.chain.from_iterable(cut)))
+    bounds = np.cumsum([0, *map(len, cut)])
     out = []
     with np.errstate(over="ignore"):
         for a, b in zip(bounds, bounds[1:]):
