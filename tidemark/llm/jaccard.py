@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import TIDY, settings, written
 from tidemark.llm.tokens import slices
 
 CELL_BITS, PARTS = 20, 64
@@ -408,16 +408,10 @@ def candidates(tokens: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.least("l_id", "r_id").alias("x"), F.greatest("l_id", "r_id").alias("y")).distinct()
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of few rows while whole sets travel: a row of `verified` holds two of them, on both sides of the Python worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH_ROWS)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Arrow batches of few rows while whole sets travel: a row of `verified` holds two of them, on both sides of the Python worker. Shuffle
+    files go with each step."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), **TIDY})
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
