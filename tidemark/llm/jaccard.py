@@ -45,8 +45,8 @@ MINIMA, ALIKE = 8, 0.65
 SEATS, YIELD = 8, 0.02
 #: Rows of an Arrow batch.
 BATCH_ROWS = 2_000
-#: Bits of the filter that spares most documents without a candidate a second look.
-FILTER_BITS = 26
+#: Most bits of a filter (as a power of two), and its bits for each row: it spares most rows without a candidate a second look.
+FILTER_BITS, BITS_A_ROW = 26, 64
 BITS = tuple(f"b{i}" for i in range(8))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, *((np.arange(1, MINIMA + 1, dtype=object) * 0xD6E8FEB86659FD93 % (1 << 64)) | 1)], np.uint64)
 #: Words whose digests a worker keeps.
@@ -178,27 +178,30 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, weights: np.ndarray) -
     return docs.select("text").mapInArrow(run, "digest binary, n int, tokens array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
-def _slots(ids: pa.Array) -> np.ndarray:
-    """Places of numbers in the filter."""
+def _slots(ids: pa.Array, power: int) -> np.ndarray:
+    """Places of numbers in a filter of 2**power bits."""
     import pyarrow.compute as pc
 
     with np.errstate(over="ignore"):
         x = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        return (_mix(x * _ODD[0], _ODD[1]) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return (_mix(x * _ODD[0], _ODD[1]) >> np.uint64(64 - power)).astype(np.int64)
 
 
-def _holds(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+def _holds(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
+    places = _slots(ids, (8 * len(bits)).bit_length() - 1)
     return (bits[places >> 3] >> (7 - (places & 7)) & 1).astype(bool)
 
 
-def membership(wanted: DataFrame, key: str) -> np.ndarray:
-    """A bit array of fixed size (8 MB) with the places of the numbers in `key`; more of them only make it less selective."""
-    size = (1 << FILTER_BITS) // 8 // PARTS
+def membership(wanted: DataFrame, key: str, rows: int | None = None) -> np.ndarray:
+    """A bit array with the places of the numbers in `key`: as large as the number of rows asks for, 8 MB at most or where it is not
+    known. More numbers only make it less selective."""
+    power = FILTER_BITS if rows is None else min(FILTER_BITS, max(16, (BITS_A_ROW * rows).bit_length()))
+    size = (1 << power) // 8 // PARTS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, some = np.zeros(1 << FILTER_BITS - 3, np.uint8), False
+        packed, some = np.zeros(1 << power - 3, np.uint8), False
         for b in batches:
-            places = _slots(b.column(key))
+            places = _slots(b.column(key), power)
             np.bitwise_or.at(packed, places >> 3, np.right_shift(128, places & 7).astype(np.uint8))
             some = some or b.num_rows > 0
         if some:
@@ -224,13 +227,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     Only documents that pass the filter are looked at again; texts are not shuffled. A repeated row gives its set once per task, and
     a link found twice is one link.
     """
-    bits = membership(wanted, "rep")
+    bits = membership(wanted, "rep", wanted.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for whole in batches:
-            places = _slots(whole.column("doc_id"))
-            for b in slices([whole.filter(pa.array(_holds(bits, places)))], 1_000_000):
+            for b in slices([whole.filter(pa.array(_holds(bits, whole.column("doc_id"))))], 1_000_000):
                 rows = [(digest(s), s.tobytes()) for s in shingles(b.column("text").to_pylist(), k) if len(s)]
                 rows = [r for r in rows if r[0] not in seen and not seen.add(r[0])]
                 yield pa.RecordBatch.from_pydict({"digest": pa.array([r[0] for r in rows], pa.binary()), "shingles": pa.array([r[1] for r in rows], pa.binary())})
@@ -341,7 +343,7 @@ def drawn_together(known: DataFrame, pairs: DataFrame, minima: DataFrame, sets:
         n = chosen.count()
         if not n:
             return known
-        left, right = (within(sets.withColumnRenamed("id", key), key, membership(chosen, key)).withColumnRenamed("shingles", side) for key, side in (("x", "left"), ("y", "right")))
+        left, right = (within(sets.withColumnRenamed("id", key), key, membership(chosen, key, n)).withColumnRenamed("shingles", side) for key, side in (("x", "left"), ("y", "right")))
         links = written(verified(right.join(chosen, "y").join(left, "x"), num, den), "jaccard-derived")
         found = links.count()
         if found:
@@ -353,7 +355,7 @@ def drawn_together(known: DataFrame, pairs: DataFrame, minima: DataFrame, sets:
 
 def within(rows: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
     """Rows whose key may be in the filter."""
-    return rows.mapInArrow(lambda batches: (b.filter(pa.array(_holds(bits, _slots(b.column(key))))) for b in batches), rows.schema)
+    return rows.mapInArrow(lambda batches: (b.filter(pa.array(_holds(bits, b.column(key)))) for b in batches), rows.schema)
 
 
 def live_tokens(entries: DataFrame) -> DataFrame:
@@ -372,7 +374,7 @@ def live_tokens(entries: DataFrame) -> DataFrame:
             flat, ends = tokens.flatten(), tokens.value_lengths().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(b.num_rows), ends)
             at = np.arange(len(flat)) - np.repeat(np.cumsum(ends) - ends, ends)
-            mine = np.flatnonzero(_holds(bits, _slots(flat)))
+            mine = np.flatnonzero(_holds(bits, flat))
             take = pa.array(row[mine])
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in carried), pa.array(at[mine].astype(np.int32)), flat.take(pa.array(mine))], [*carried, "at", "token"])
 
