@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.functions.frames import clip
+from tidemark.functions.frames import clip, dealt
 
 c = F.col
 
@@ -59,28 +59,36 @@ def top_per_publisher(a: DataFrame, key: str, score: str, per: int = 4, total: i
     return x.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*o))).where(c("position") <= total).drop("_p")
 
 
-def clashing_titles(a: DataFrame, key: list[str], score: str, share: float = 0.45) -> tuple[DataFrame, DataFrame]:
-    """Titles (id, key, doc_id) and pairs (one, other) of a key's titles whose words overlap by more than `share` of the smaller set,
-    `one` being the better ranked.
-
-    Pairs come from an inverted index: words are ordered by how many titles hold them, and of the smaller set only so many of the
-    rarest are looked up that a pair with enough in common must meet in one of them. Common words are looked up by nobody."""
-    ws = F.array_distinct(F.filter(F.split(F.lower("title"), "\\s+"), lambda w: F.length(w) > 3))
-    x = a.select(*key, "doc_id", c(score).alias("_s"), ws.alias("w")).withColumn("id", F.struct((-c("_s")).alias("o"), c("doc_id").alias("doc_id")))
-    x = x.withColumn("n", F.size("w")).drop("_s")
-    held = x.where("n > 0").select(*key, "id", "n", F.explode("w").alias("word"))
-    often = held.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("k"))
-    held = held.join(often, [*key, "word"])
-    rare = held.groupBy(*key, "id", "n").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("ws"))  # words of one title
+def clashing_titles(a: DataFrame, key: list[str], score: str, put, share: float = 0.45) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Titles (id, key, doc_id), copies (key, id), pairs (one, other) of numbered titles whose words overlap by more than `share` of the
+    smaller set, `one` being the better ranked, and the numbers (key, id, sid).
+
+    Of the titles of a key with one set of words only the best ranked takes part: the others clash with it, or with what drops it. Pairs
+    come from an inverted index: words are ordered by how many titles hold them, and of the smaller set only so many of the rarest are
+    looked up that a pair with enough in common must meet in one of them. Common words are looked up by nobody. A row of the index
+    carries its title's words as numbers, so a pair is tested where it meets, and passes at its rarest common word only: what is
+    shuffled grows with the words, not with the pairs that meet. `put` writes a table and reads it again."""
+    ws = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("title"), "\\s+"), lambda w: F.length(w) > 3)))
+    x = a.select(*key, "doc_id", c(score).alias("_s"), ws.alias("w")).withColumn("id", F.struct((-c("_s")).alias("o"), c("doc_id").alias("doc_id"))).drop("_s")
+    x = put(x, "stories")
+    keyed = x.where(F.size("w") > 0).dropna(subset=key)
+    best = keyed.groupBy(*key, "w").agg(F.min("id").alias("id"))
+    copies = keyed.join(best.withColumnRenamed("id", "_best"), [*key, "w"]).where("id > _best").select(*key, "id").distinct()
+    best = put(best.withColumn("sid", F.monotonically_increasing_id()), "story-sets")
+    held = best.select(*key, "sid", "id", F.explode("w").alias("word"))
+    often = put(held.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("k")).withColumn("code", F.monotonically_increasing_id()), "story-words")
+    rare = held.join(often, [*key, "word"]).groupBy("sid").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("k", "code"))).alias("e"))  # words of one title
+    rare = put(rare.select("sid", "id", F.size("e").alias("n"), c("e.code").alias("ws")), "story-codes")  # a code belongs to one key
+    parts = 1 + (rare.agg(F.sum("n")).first()[0] or 0) // 50_000  # always dealt by count: a word comes with its title's words, which the planner does not see
     need = F.floor(c("n") * share) + 1
-    looked = rare.select(*key, c("id").alias("small"), c("n").alias("n_small"), c("ws.word").alias("w_small"), F.explode(F.slice("ws", F.lit(1), (c("n") - need + 1).cast("int"))).alias("e"))
-    looked = looked.withColumn("word", c("e.word")).drop("e")
-    index = held.select(*key, "word", c("id").alias("large"), c("n").alias("n_large"))
-    near = looked.join(index, [*key, "word"]).where((c("n_small") < c("n_large")) | ((c("n_small") == c("n_large")) & (c("small") < c("large"))))
-    near = near.select(*key, "small", "large", "n_small", "w_small").distinct()
-    near = near.join(rare.select(*key, c("id").alias("large"), c("ws.word").alias("w_large")), [*key, "large"])
-    hit = F.size(F.array_intersect("w_small", "w_large")) / c("n_small") > share
-    return x.select("id", *key, "doc_id"), near.where(hit).select(*key, F.least("small", "large").alias("one"), F.greatest("small", "large").alias("other"))
+    looked = rare.select(c("sid").alias("small"), c("id").alias("small_id"), c("n").alias("n_small"), c("ws").alias("w_small"), F.explode(F.slice("ws", F.lit(1), (c("n") - need + 1).cast("int"))).alias("code"))
+    index = rare.select(c("sid").alias("large"), c("id").alias("large_id"), c("n").alias("n_large"), c("ws").alias("w_large"), F.explode("ws").alias("code"))
+    smaller = (c("n_small") < c("n_large")) | ((c("n_small") == c("n_large")) & ((c("small_id") < c("large_id")) | ((c("small_id") == c("large_id")) & (c("small") < c("large")))))
+    both = F.array_intersect("w_small", "w_large")
+    near = dealt(looked, parts, "code").join(dealt(index, parts, "code"), "code").where(smaller & (c("small_id") != c("large_id"))).where((F.element_at(both, 1) == c("code")) & (F.size(both) / c("n_small") > share))
+    ahead = c("small_id") < c("large_id")
+    pairs = near.select(F.when(ahead, c("small")).otherwise(c("large")).alias("one"), F.when(ahead, c("large")).otherwise(c("small")).alias("other"))
+    return x.select("id", *key, "doc_id"), copies, put(pairs, "story-pairs"), best.select(*key, "id", "sid")
 
 
 def dedupe_stories(a: DataFrame, key: list[str], score: str, share: float = 0.45) -> DataFrame:
@@ -93,18 +101,17 @@ def dedupe_stories(a: DataFrame, key: list[str], score: str, share: float = 0.45
 
     spark = a.sparkSession
     put = lambda df, name: (lambda path: (df.write.parquet(path), spark.read.schema(df.schema).parquet(path))[1])(work_dir(spark, name))
-    titles, pairs = clashing_titles(a, key, score, share)
-    titles, pairs = put(titles, "stories"), put(pairs, "story-pairs")
-    gone, left = None, pairs
+    titles, copies, left, sets = clashing_titles(a, key, score, put, share)
+    gone = None
     while left.head(1):
-        first = left.select(*key, c("one").alias("id")).join(left.select(*key, c("other").alias("id")), [*key, "id"], "left_anti").distinct()
-        drop = put(left.join(first.withColumnRenamed("id", "one"), [*key, "one"], "left_semi").select(*key, c("other").alias("id")).distinct(), "story-drops")
+        first = left.select(c("one").alias("sid")).join(left.select(c("other").alias("sid")), "sid", "left_anti").distinct()
+        drop = put(left.join(first.withColumnRenamed("sid", "one"), "one", "left_semi").select(c("other").alias("sid")).distinct(), "story-drops")
         gone = drop if gone is None else gone.unionByName(drop)
         for end in ("one", "other"):
-            left = left.join(drop.withColumnRenamed("id", end), [*key, end], "left_anti")
-        left = put(left.join(first.withColumnRenamed("id", "one"), [*key, "one"], "left_anti"), "story-pairs")
-    kept = titles if gone is None else titles.join(gone, [*key, "id"], "left_anti")
-    return kept.select(*key, "doc_id")
+            left = left.join(drop.withColumnRenamed("sid", end), end, "left_anti")
+        left = put(left.join(first.withColumnRenamed("sid", "one"), "one", "left_anti"), "story-pairs")
+    out = copies if gone is None else copies.unionByName(sets.join(gone, "sid", "left_semi").select(*key, "id"))
+    return titles.join(out, [*key, "id"], "left_anti").select(*key, "doc_id")
 
 
 def stated_facts(a: DataFrame, key: str, text: str, order: str, groups: dict[str, tuple], hedges=T.HEDGES, first_only: str | None = None) -> DataFrame:
