@@ -124,3 +124,61 @@ def test_merged_stream_goes_on_after_a_restart(spark):
     jobs.merge_batches(jobs.file_stream(spark, folder), store, upsert_bars, state)  # nothing new
     assert store.newest() == 3
     assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, upsert_bars(rows, late).collect()))
+
+
+def test_a_state_holds_the_bars_of_a_slot_and_its_calls_do_not_grow_with_them():
+    import numpy as np
+    import pandas as pd
+
+    calls = {"update": 0, "clear": 0, "timer": []}
+
+    class State:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, row):
+            calls["update"], self.held = calls["update"] + 1, row
+
+        def clear(self):
+            calls["clear"], self.held = calls["clear"] + 1, None
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return State()
+
+        def registerTimer(self, ms):  # noqa: N802
+            calls["timer"].append(ms)
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    width = 300_000_000
+    random = np.random.default_rng(5)
+    us = random.integers(0, 288 * width, 20_000)
+    x = pd.DataFrame({"ticker": random.integers(0, 40, 20_000), "us": us, "price": random.integers(50, 150, 20_000) / 4, "size": random.integers(0, 9, 20_000) * 1.0, "id": np.arange(20_000), "start_us": us - us % width})
+    x.loc[7, "price"] = np.nan
+    closer = jobs.BarCloser(width)
+    closer.init(Handle())
+    assert list(closer.handleInputRows((jobs.HEARTBEAT, 0), iter([x]), At(0))) == []
+    assert list(closer.handleInputRows((3, 0), iter([x[:9_000], x[9_000:15_000]]), At(0))) == []
+    first = (x[:15_000]["start_us"].min() + width) // 1000
+    assert calls == {"update": 1, "clear": 0, "timer": [first]}
+    half = 144 * width // 1000
+    closed = pd.concat(closer.handleExpiredTimer((3, 0), At(half), None))
+    assert len(calls["timer"]) == 2 and calls["timer"][1] > half
+    late = pd.concat(closer.handleInputRows((3, 0), iter([x[15_000:]]), At(half)))
+    rest = x[15_000:]
+    assert sorted(late["first_id"]) == sorted(rest[rest["start_us"] < 144 * width]["id"]) and late["late"].all() and (late["n"] == 1).all()
+    closed = pd.concat([closed, *closer.handleExpiredTimer((3, 0), At(288 * width // 1000), None)])
+    assert calls["clear"] == 1 and calls["update"] == 3 and list(closer.handleExpiredTimer((3, 0), At(10**12), None)) == []
+    on_time = x.drop(index=late["first_id"]).sort_values(["us", "id"])
+    want = on_time.assign(pv=on_time["price"] * on_time["size"]).groupby(["ticker", "start_us"]).agg(
+        first_us=("us", "min"), first_id=("id", lambda s: s.iloc[0]), o=("price", lambda s: s.iloc[0]), h=("price", "max"), l=("price", "min"), last_us=("us", "max"), last_id=("id", lambda s: s.iloc[-1]), c=("price", lambda s: s.iloc[-1]), v=("size", "sum"), pv=("pv", "sum"), n=("id", "size"))
+    got = closed.drop(columns="late").set_index(["ticker", "start_us"]).sort_index()
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
