@@ -34,6 +34,42 @@ def test_bpe_equals_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t), repr(t)
 
 
+def one_by_one(ranks, piece):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+        if best is None:
+            return [ranks[x] for x in parts]
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+
+def test_one_rank_queue_serves_all_pre_tokens():
+    """Ranks in any order, so that a merge can bring up a lower rank while others of its bucket still wait."""
+    for turn in range(60):
+        ways = random.Random(turn)
+        tokens = [b"a", b"b", b"c", *{bytes(ways.choice(b"abc") for _ in range(ways.randint(2, 6))) for _ in range(90)}]
+        ways.shuffle(tokens)
+        ranks = {t: 3 * i for i, t in enumerate(tokens)}
+        pieces = [bytes(ways.choice(b"abc") for _ in range(ways.choice([0, 1, 2, 5, 9, 30]))) for _ in range(80)]
+        want = [[ranks[p]] if p in ranks else one_by_one(ranks, p) for p in pieces]
+        got = bpe.RankQueue(ranks).merge_all(pieces)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    with pytest.raises(KeyError):
+        bpe.RankQueue(ranks).merge_all([b"abz"])
+
+
+def test_bpe_decodes_slices_of_lists():
+    import pyarrow as pa
+
+    codec = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    lists = pa.array([[1, 2], None, [], [50, 300, 7], [9]], pa.list_(pa.int32()))
+    names = {i: b for b, i in codec.ranks.items()}
+    want = [b"".join(names[i] for i in x or []) for x in lists.to_pylist()]
+    for at in range(6):
+        assert codec.decode(lists.slice(at)).to_pylist() == want[at:]
+        assert codec.decode(lists.slice(0, at)).to_pylist() == want[:at]
+
+
 def test_bpe_digests(spark):
     codec = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
