@@ -248,3 +248,23 @@ def test_one_of_many_copies_keeps_its_text(spark, docs, tmp_path):
     left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
     assert {r["doc_id"] for r in left if r["text"] == base} == {40, 50}
     assert {r["doc_id"] for r in left if not (r["text"] or "").strip()} <= {60, 61}
+
+
+def test_workers_forget_words_at_the_end_of_a_task():
+    """Also where the task is ended early; a worker that lives on holds none of them in later steps."""
+    for whole in (True, False):
+        jaccard.shingles(["some words of a text"], 2)
+        assert jaccard._WORDS
+        rows = jaccard._forgetting(iter([1, 2, 3]))
+        assert (list(rows) == [1, 2, 3]) if whole else next(rows) == 1
+        rows.close()
+        assert not jaccard._WORDS
+
+
+def test_the_filter_of_live_tokens_is_as_large_as_they_ask_for(spark, monkeypatch):
+    asked, own = [], jaccard.membership
+    monkeypatch.setattr(jaccard, "membership", lambda wanted, key, rows=None: asked.append(rows) or own(wanted, key, rows))
+    rows = [(1, 1, False, 3, [5, 6, 7]), (2, 2, False, 3, [7, 8, 9]), (3, 2, True, 1, [8])]
+    frame = spark.createDataFrame([(*r[:4], *[0] * 8, r[4]) for r in rows], "id long, component long, several boolean, n int, " + ", ".join(f"{b} long" for b in jaccard.BITS) + ", tokens array<long>")
+    live = {(r["id"], r["token"]) for r in jaccard.live_tokens(frame).collect()}
+    assert {(1, 7), (2, 7)} <= live and asked == [1]

@@ -182,3 +182,22 @@ def test_a_state_holds_the_bars_of_a_slot_and_its_calls_do_not_grow_with_them():
         first_us=("us", "min"), first_id=("id", lambda s: s.iloc[0]), o=("price", lambda s: s.iloc[0]), h=("price", "max"), l=("price", "min"), last_us=("us", "max"), last_id=("id", lambda s: s.iloc[-1]), c=("price", lambda s: s.iloc[-1]), v=("size", "sum"), pv=("pv", "sum"), n=("id", "size"))
     got = closed.drop(columns="late").set_index(["ticker", "start_us"]).sort_index()
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_ticks_without_ticker_leave_the_bars_of_others_as_they_are(spark):
+    """They come in one batch with other ticks, and turn the numbers beside them into floats there."""
+    from tidemark.streaming.batch import bar_parts
+
+    schema = "ticker long, ts timestamp, price double, size double, id long"
+    rows = tick_rows(range(2), per_day=20)
+    nameless = [(None, *x[1:4], 5_000 + i) for i, x in enumerate(rows[::4])]
+
+    def arriving():
+        folder = jobs.work_dir(spark, "nameless-ticks")
+        for part in (rows + nameless, [(None, dt.datetime(2024, 6, 1), 0.0, 0.0, None)]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+            yield folder
+
+    key = lambda r: (r["ticker"], r["width"], r["start"])
+    got = {key(r): r["n"] for r in jobs.rolled_bars(jobs.read_parts(spark, jobs.run_closed_bars(arriving(), spark, lambda s: s))).collect()}
+    assert got == {key(r): r["n"] for r in jobs.rolled_bars(bar_parts(spark.createDataFrame(rows, schema))).collect()}

@@ -74,6 +74,15 @@ def _word_digests(words: list[bytes]) -> np.ndarray:
     return out
 
 
+def _forgetting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes the result of a task on. Then its words are forgotten and free memory goes back: a worker lives on through later steps."""
+    try:
+        yield from batches
+    finally:
+        _WORDS.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Per text: sorted distinct 64-bit digests of its k-word shingles."""
     cut = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
@@ -132,7 +141,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
             columns = [none, none, none, none, [task] * PARTS, list(range(PARTS)), [sketch[i * CELLS : (i + 1) * CELLS].tobytes() for i in range(PARTS)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n int, digest binary, minima array<long>, task int, part int, cells binary")
+    return docs.mapInArrow(lambda batches: _forgetting(run(batches)), "doc_id long, n int, digest binary, minima array<long>, task int, part int, cells binary")
 
 
 def token_weights(profile: DataFrame) -> np.ndarray:
@@ -175,7 +184,7 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, weights: np.ndarray) -
             bits = np.array(parity, np.int64).reshape(-1, 8).T
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), tokens, *map(pa.array, bits)], ["digest", "n", "tokens", *BITS])
 
-    return docs.select("text").mapInArrow(run, "digest binary, n int, tokens array<long>, " + ", ".join(f"{b} long" for b in BITS))
+    return docs.select("text").mapInArrow(lambda batches: _forgetting(run(batches)), "digest binary, n int, tokens array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _slots(ids: pa.Array, power: int) -> np.ndarray:
@@ -194,7 +203,7 @@ def _holds(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
 
 def membership(wanted: DataFrame, key: str, rows: int | None = None) -> np.ndarray:
     """A bit array with the places of the numbers in `key`: as large as the number of rows asks for, 8 MB at most or where it is not
-    known. More numbers only make it less selective."""
+    known. More numbers only make it less selective. The driver, every executor and every worker hold a copy while it is used."""
     power = FILTER_BITS if rows is None else min(FILTER_BITS, max(16, (BITS_A_ROW * rows).bit_length()))
     size = (1 << power) // 8 // PARTS
 
@@ -237,7 +246,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 rows = [r for r in rows if r[0] not in seen and not seen.add(r[0])]
                 yield pa.RecordBatch.from_pydict({"digest": pa.array([r[0] for r in rows], pa.binary()), "shingles": pa.array([r[1] for r in rows], pa.binary())})
 
-    return docs.mapInArrow(run, "digest binary, shingles binary").join(wanted.drop("rep"), "digest").drop("digest")
+    return docs.mapInArrow(lambda batches: _forgetting(run(batches)), "digest binary, shingles binary").join(wanted.drop("rep"), "digest").drop("digest")
 
 
 def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -256,7 +265,7 @@ def verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 keep[i] = den * common >= num * (len(left) + len(right) - common)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a[keep]), "b": pa.array(c[keep])})
 
-    return pairs.select("x", "y", "left", "right").mapInArrow(run, "a long, b long")
+    return pairs.select("x", "y", "left", "right").mapInArrow(lambda batches: _forgetting(run(batches)), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -365,7 +374,8 @@ def live_tokens(entries: DataFrame) -> DataFrame:
     spares the others the way through a shuffle.
     """
     held = entries.select("component", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    bits = membership(held.filter("low < high"), "token")
+    alive = written(held.filter("low < high").select("token"), "jaccard-alive")
+    bits = membership(alive, "token", alive.count())
     carried = ["id", "component", "several", "n", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
