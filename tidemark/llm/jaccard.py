@@ -43,14 +43,14 @@ CELLS = (1 << CELL_BITS) // PARTS
 MINIMA, ALIKE = 8, 0.65
 #: Members that a component sends to meet a set in one round, and the part of links that makes another round worth while.
 SEATS, YIELD = 8, 0.02
-#: Rows of an Arrow batch.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch, and rows that the Parquet reader unpacks at once: texts and whole sets are large rows.
+BATCH_ROWS, BATCH_BYTES, READER_ROWS = 2_000, 1 << 20, 512
 #: Most bits of a filter (as a power of two), and its bits for each row: it spares most rows without a candidate a second look.
 FILTER_BITS, BITS_A_ROW = 26, 64
 BITS = tuple(f"b{i}" for i in range(8))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, *((np.arange(1, MINIMA + 1, dtype=object) * 0xD6E8FEB86659FD93 % (1 << 64)) | 1)], np.uint64)
 #: Words whose digests a worker keeps.
-WORD_ENTRIES, LONGEST_WORD = 300_000, 64
+WORD_ENTRIES, LONGEST_WORD = 100_000, 64
 
 
 def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
@@ -421,9 +421,10 @@ def candidates(tokens: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
-    """Arrow batches of few rows while whole sets travel: a row of `verified` holds two of them, on both sides of the Python worker. Shuffle
+    """Small batches while texts and whole sets travel: a row of `verified` holds two sets, on both sides of the Python worker. Shuffle
     files go with each step."""
-    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), **TIDY})
+    sizes = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": READER_ROWS}
+    return settings(spark, {name: str(n) for name, n in sizes.items()} | TIDY)
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.jaccard import components, membership, merged, small_batches, verified, within
+from tidemark.llm.jaccard import _forgetting, _holds, membership, merged, small_batches, verified, within
 from tidemark.llm.shared import written
 from tidemark.llm.tokens import slices
 
@@ -111,7 +111,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
             columns = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "keys", "short", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>, short binary, bits array<long>")
+    return docs.mapInArrow(lambda batches: _forgetting(run(batches)), "doc_id long, n long, digest binary, keys array<long>, short binary, bits array<long>")
 
 
 def least_agreement(num: int, den: int) -> int:
@@ -137,17 +137,22 @@ def alike(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
     return rows.mapInArrow(run, "x long, y long, agree long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of the classes `wanted` (id, rep, digest), computed again from a document of each; texts are not shuffled."""
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int, rows: int | None = None) -> DataFrame:
+    """(id, shingles) of the classes `wanted` (id, rep, digest), computed again from a document of each; texts are not shuffled.
+
+    The filter, for `rows` classes at most, is looked up in the worker that computes the sets: a second one behind it would hold the texts again.
+    """
+    bits = membership(wanted, "rep", rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in slices(batches, 1_000_000):
-            rows = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.tobytes()) for s in shingles(b.column("text").to_pylist(), k) if len(s)]
-            rows = [r for r in rows if r[0] not in seen and not seen.add(r[0])]
-            yield pa.RecordBatch.from_pydict({"digest": pa.array([r[0] for r in rows], pa.binary()), "shingles": pa.array([r[1] for r in rows], pa.binary())})
+        for whole in batches:
+            for b in slices([whole.filter(pa.array(_holds(bits, whole.column("doc_id"))))], 1_000_000):
+                own = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.tobytes()) for s in shingles(b.column("text").to_pylist(), k) if len(s)]
+                own = [r for r in own if r[0] not in seen and not seen.add(r[0])]
+                yield pa.RecordBatch.from_pydict({"digest": pa.array([r[0] for r in own], pa.binary()), "shingles": pa.array([r[1] for r in own], pa.binary())})
 
-    found = within(docs, "doc_id", membership(wanted, "rep")).mapInArrow(run, "digest binary, shingles binary")
+    found = docs.mapInArrow(lambda batches: _forgetting(run(batches)), "digest binary, shingles binary")
     return found.join(wanted.select("id", "digest"), "digest").drop("digest").dropDuplicates(["id"])
 
 
@@ -198,7 +203,7 @@ def _dedup(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     entries = classes.select("id", F.explode("keys").alias("key"))
     met = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
     met = written(met, "minmax-met")
-    buckets = written(within(entries, "key", membership(met, "key")).join(met, "key"), "minmax-buckets")
+    buckets = written(within(entries, "key", membership(met, "key", met.count())).join(met, "key"), "minmax-buckets")
     of_pairs = written(classes.select("id", "n", "short", "bits", "rep", "digest").join(buckets.select("id").distinct(), "id"), "minmax-of-pairs")
     known = written(of_pairs.select("id", F.col("id").alias("component")), "minmax-known")
     sets, tried = None, None
@@ -216,7 +221,7 @@ def _dedup(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             return 0, 0
         ids = near.select(F.col("x").alias("id")).union(near.select("y")).distinct()
         lacking = of_pairs.join(ids, "id", "left_semi") if sets is None else of_pairs.join(ids, "id", "left_semi").join(sets.select("id"), "id", "left_anti")
-        more = written(sets_of(docs, written(lacking.select("id", "rep", "digest"), "minmax-lacking"), k), "minmax-sets")
+        more = written(sets_of(docs, written(lacking.select("id", "rep", "digest"), "minmax-lacking"), k, 2 * n), "minmax-sets")
         sets = more if sets is None else sets.unionByName(more)
         links = written(confirmed(near, sets, num, den), "minmax-links")
         found = links.count()
