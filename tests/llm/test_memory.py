@@ -31,3 +31,17 @@ def test_sets_of_takes_one_worker_a_task(spark):
     assert plan.split("== Initial Plan ==")[-1].count("MapInArrow") == 1
     got = {r["id"]: len(r["shingles"]) // 8 for r in found.collect()}
     assert got == {7: 3, 8: 2}
+
+
+def test_first_stages_of_the_pipeline_use_small_batches(spark, monkeypatch):
+    """The workers of the first stages live on through the join: 10,000 whole texts at once stayed in their memory."""
+    import corpus_pipeline
+
+    seen = []
+    for module, name in ((corpus_pipeline.rules, "judge"), (corpus_pipeline.cotrain, "classify")):
+        monkeypatch.setattr(module, name, lambda docs, *a: seen.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) or docs.selectExpr("*", "true AS kept"))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: None)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert corpus_pipeline.quality_rules(spark, docs, "").columns == docs.columns
+    assert corpus_pipeline.quality_classifier(spark, docs, "").columns == docs.columns
+    assert seen == [str(jaccard.BATCH_BYTES)] * 2
