@@ -98,3 +98,60 @@ def test_copies_of_a_title_make_no_pairs(spark):
     _, copies, pairs, _ = news.clashing_titles(a, ["day"], "score", lambda df, name: df.localCheckpoint())
     assert pairs.count() == 0 and copies.count() == 39
     assert {r["doc_id"] for r in news.dedupe_stories(a, ["day"], "score").collect()} == {0, 99, 7, 8}
+
+
+def test_titles_of_a_crowded_day_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(news, "BLOCK_WORDS", 1200)
+    r = random.Random(11)
+    rows = [(d, i, r.choice([1.0, 2.0, 3.0]), " ".join(r.sample([f"word{k}" for k in range(40)], r.randint(1, 9)))) for d, n in ((1, 220), (2, 30)) for i in range(n)]
+    rows += [(1, 7, rows[7][2], "other words stand under that number")]  # a number that comes twice: its titles do not drop one another
+    a = spark.createDataFrame(rows, "day int, doc_id long, score double, title string")
+    written = {}
+    put = lambda df, name: written.setdefault(name, df.localCheckpoint())
+    _, _, pairs, sets = news.clashing_titles(a, ["day"], "score", put)
+    assert {x["day"]: x["blocks"] for x in written["story-blocks"].collect()} == {1: 4, 2: 1}
+    assert max(x.count() for name, x in written.items() if name != "story-pairs") <= len(rows)  # no row per word
+    ids = {x["sid"]: (x["day"], x["id"]["o"], x["id"]["doc_id"], frozenset(x["w"])) for x in written["story-sets"].collect()}
+    ranked = sorted(ids)
+    assert [ids[s][1:3] for s in ranked] == sorted(x[1:3] for x in ids.values()) and {x["sid"] for x in sets.collect()} == set(ids)
+    clash = lambda x, y: x[0] == y[0] and x[1:3] != y[1:3] and len(x[3] & y[3]) / min(len(x[3]), len(y[3])) > 0.45
+    want = sorted((s, t) for k, s in enumerate(ranked) for t in ranked[k + 1:] if clash(ids[s], ids[t]))
+    assert sorted((x["one"], x["other"]) for x in pairs.collect()) == want and len(want) > 1000
+
+
+def test_runs_of_pairs_are_bounded(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.functions import overlaps
+
+    monkeypatch.setattr(overlaps, "CHUNK", 8)
+    r = random.Random(4)
+    sets = [r.sample([f"w{k}" for k in range(30)], r.randint(1, 20)) for _ in range(60)]
+    n = np.arange(60)
+    for cross in (False, True):
+        runs = [[*zip(i.tolist(), j.tolist())] for i, j in overlaps.overlapping(pa.array(sets, pa.list_(pa.string())), n, n % 2, n, 0.45, cross)]
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if ((i + j) % 2 == 1) == cross and len({*sets[i]} & {*sets[j]}) / min(len(sets[i]), len(sets[j])) > 0.45}
+        got = [tuple(sorted(p)) for run in runs for p in run]
+        assert {*got} == want and len(got) == len(want) and max(map(len, runs)) <= 8
+
+
+def test_bodies_are_read_once_and_not_shuffled(spark, capsys, monkeypatch, tmp_path):
+    from tidemark.functions import text
+    from tidemark.plans import load_all
+
+    docs = [(i, "Title of words\nBody about Earnings" if i else None, "src1") for i in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (1, 0, 1), (9, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    seen = []
+    monkeypatch.setattr(news, "dedupe_stories", lambda a, key, score: seen.append(a) or a)
+    load_all()["greedy_dedupe_story"].build(spark, str(tmp_path))
+    whole = views.articles(spark, str(tmp_path))
+    assert sorted(x["doc_id"] for x in seen[0].collect()) == sorted(x["doc_id"] for x in whole.collect()) == [0, 1, 1, 2, 3]  # an article with two labels stays two rows
+    node = seen[0]._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    assert "sc#" in node.left().output().mkString(" ") and "text#" not in node.left().output().mkString(" ")
+    scored = whole.select(text.materiality(F.col("title"), F.col("body"), F.col("publisher")).alias("score"))
+    assert plan(scored, capsys).count("lower(") <= 3

@@ -33,6 +33,10 @@ def has_any(text: Column, keywords) -> Column:
     return keyword_hits(text, keywords) > 0
 
 
+def _any_lowered(low: Column, keywords) -> Column:
+    return sum((F.contains(low, F.lit(k)).cast("int") for k in keywords), F.lit(0)) > 0
+
+
 def occurrences(text: Column, keyword: str) -> Column:
     """Non-overlapping occurrences of one keyword."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -47,13 +51,19 @@ def keyword_sentiment(text: Column, bull, bear) -> dict[str, Column]:
 
 
 def materiality(title: Column, reason: Column, publisher: Column, material=None, passing=PASSING, fluff=FLUFF, wires=WIRES) -> Column:
-    """40, less 30 in passing, plus at most 45 from the first four material words, less 25 for lists, less 12 for wires."""
+    """40, less 30 in passing, plus at most 45 from the first four material words, less 25 for lists, less 12 for wires. The texts are
+    lowered once, as the element of an array: inside array functions a shared subexpression would be computed for every word."""
     material = MATERIAL if material is None else material
-    t, r = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(reason, F.lit("")))
-    found = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(k)) | F.contains(r, F.lit(k)), v) for k, v in material.items()]))
-    gain = F.least(F.aggregate(F.slice(found, 1, 4), F.lit(0), lambda a, v: a + v), F.lit(45))
-    s = F.lit(40) - F.when(has_any(r, passing), 30).otherwise(0) + gain - F.when(has_any(t, fluff), 25).otherwise(0) - F.when(has_any(publisher, wires), 12).otherwise(0)
-    return F.greatest(F.lit(0), F.least(F.lit(100), s))
+
+    def rated(x: Column) -> Column:
+        t, r = x["t"], x["r"]
+        found = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(k)) | F.contains(r, F.lit(k)), v) for k, v in material.items()]))
+        gain = F.least(F.aggregate(F.slice(found, 1, 4), F.lit(0), lambda a, v: a + v), F.lit(45))
+        s = F.lit(40) - F.when(_any_lowered(r, passing), 30).otherwise(0) + gain - F.when(_any_lowered(t, fluff), 25).otherwise(0) - F.when(_any_lowered(x["p"], wires), 12).otherwise(0)
+        return F.greatest(F.lit(0), F.least(F.lit(100), s))
+
+    low = F.struct(*[F.lower(F.coalesce(v, F.lit(""))).alias(k) for k, v in (("t", title), ("r", reason), ("p", publisher))])
+    return F.element_at(F.transform(F.array(low), rated), 1)
 
 
 def source_weight(publisher: Column, table=None, default: int = 60) -> Column:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.frames import clip, dealt
+from tidemark.functions.overlaps import overlapping
 
 c = F.col
+BLOCK_WORDS, TITLE_WORDS = 1_000_000, 16  # words of a block of titles; what a title counts besides its words
 
 
 def sentiment_value(s: Column) -> Column:
@@ -61,33 +67,36 @@ def top_per_publisher(a: DataFrame, key: str, score: str, per: int = 4, total: i
 
 def clashing_titles(a: DataFrame, key: list[str], score: str, put, share: float = 0.45) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Titles (id, key, doc_id), copies (key, id), pairs (one, other) of numbered titles whose words overlap by more than `share` of the
-    smaller set, `one` being the better ranked, and the numbers (key, id, sid).
+    smaller set, `one` being the better ranked, and the numbers (key, id, sid), which ascend with the rank.
 
-    Of the titles of a key with one set of words only the best ranked takes part: the others clash with it, or with what drops it. Pairs
-    come from an inverted index: words are ordered by how many titles hold them, and of the smaller set only so many of the rarest are
-    looked up that a pair with enough in common must meet in one of them. Common words are looked up by nobody. A row of the index
-    carries its title's words as numbers, so a pair is tested where it meets, and passes at its rarest common word only: what is
-    shuffled grows with the words, not with the pairs that meet. `put` writes a table and reads it again."""
+    Of the titles of a key with one set of words only the best ranked takes part: the others clash with it, or with what drops it. The
+    titles of a key are dealt to blocks of about `BLOCK_WORDS` words and any two blocks meet in a task of their own, which looks words up
+    in an index of its own rows. So what is shuffled is the words of a title once per block of its key and no row per word or per
+    pair that meets; memory of a task is that of two blocks however many titles a key has. `put` writes a table and reads it again."""
     ws = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("title"), "\\s+"), lambda w: F.length(w) > 3)))
     x = a.select(*key, "doc_id", c(score).alias("_s"), ws.alias("w")).withColumn("id", F.struct((-c("_s")).alias("o"), c("doc_id").alias("doc_id"))).drop("_s")
     x = put(x, "stories")
     keyed = x.where(F.size("w") > 0).dropna(subset=key)
     best = keyed.groupBy(*key, "w").agg(F.min("id").alias("id"))
     copies = keyed.join(best.withColumnRenamed("id", "_best"), [*key, "w"]).where("id > _best").select(*key, "id").distinct()
-    best = put(best.withColumn("sid", F.monotonically_increasing_id()), "story-sets")
-    held = best.select(*key, "sid", "id", F.explode("w").alias("word"))
-    often = put(held.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("k")).withColumn("code", F.monotonically_increasing_id()), "story-words")
-    rare = held.join(often, [*key, "word"]).groupBy("sid").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("k", "code"))).alias("e"))  # words of one title
-    rare = put(rare.select("sid", "id", F.size("e").alias("n"), c("e.code").alias("ws")), "story-codes")  # a code belongs to one key
-    parts = 1 + (rare.agg(F.sum("n")).first()[0] or 0) // 50_000  # always dealt by count: a word comes with its title's words, which the planner does not see
-    need = F.floor(c("n") * share) + 1
-    looked = rare.select(c("sid").alias("small"), c("id").alias("small_id"), c("n").alias("n_small"), c("ws").alias("w_small"), F.explode(F.slice("ws", F.lit(1), (c("n") - need + 1).cast("int"))).alias("code"))
-    index = rare.select(c("sid").alias("large"), c("id").alias("large_id"), c("n").alias("n_large"), c("ws").alias("w_large"), F.explode("ws").alias("code"))
-    smaller = (c("n_small") < c("n_large")) | ((c("n_small") == c("n_large")) & ((c("small_id") < c("large_id")) | ((c("small_id") == c("large_id")) & (c("small") < c("large")))))
-    both = F.array_intersect("w_small", "w_large")
-    near = dealt(looked, parts, "code").join(dealt(index, parts, "code"), "code").where(smaller & (c("small_id") != c("large_id"))).where((F.element_at(both, 1) == c("code")) & (F.size(both) / c("n_small") > share))
-    ahead = c("small_id") < c("large_id")
-    pairs = near.select(F.when(ahead, c("small")).otherwise(c("large")).alias("one"), F.when(ahead, c("large")).otherwise(c("small")).alias("other"))
+    best = put(best.orderBy("id").withColumn("sid", F.monotonically_increasing_id()), "story-sets")
+    load = best.groupBy(*key).agg(F.sum(F.size("w") + TITLE_WORDS).alias("load"))
+    load = put(load.withColumn("blocks", (1 + F.floor(c("load") / BLOCK_WORDS)).cast("int")), "story-blocks")
+    cells, sent = load.agg(F.sum(c("blocks") * (c("blocks") + 1) / 2), F.sum(c("load") * c("blocks"))).first()
+    parts = 1 + int(min(cells or 0, (sent or 0) // (BLOCK_WORDS // 16)))  # dealt by count: the planner does not see what a cell costs
+    block = F.pmod(F.xxhash64("sid"), "blocks").cast("int")
+    cut = best.join(load.drop("load"), key).select("*", block.alias("_block"), F.explode(F.sequence(F.lit(0), c("blocks") - 1)).alias("_with"))
+    cell = [*key, "_low", "_high"]
+    cut = cut.select(*key, F.least("_block", "_with").alias("_low"), F.greatest("_block", "_with").alias("_high"), "_block", "sid", c("id.o").alias("_o"), c("id.doc_id").alias("_doc"), "w")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        sid, block, low, high = (rows[n].to_numpy() for n in ("sid", "_block", "_low", "_high"))
+        o, doc = (rows[n].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) + 1 for n in ("_o", "_doc"))
+        for i, j in overlapping(rows["w"].combine_chunks(), o * (doc.max() + 1) + doc, (block != low).astype(np.int64), sid, share, bool(low[0] != high[0])):
+            yield pa.RecordBatch.from_pydict({"one": np.minimum(sid[i], sid[j]), "other": np.maximum(sid[i], sid[j])})
+
+    pairs = dealt(cut, parts, *cell).groupBy(*cell).applyInArrow(meet, "one long, other long")
     return x.select("id", *key, "doc_id"), copies, put(pairs, "story-pairs"), best.select(*key, "id", "sid")
 
 

@@ -88,7 +88,8 @@ a("subject_name_discovery", "publisher:s name:s mentions:i", "SELECT publisher,
 GREEDY = f"""tw AS (SELECT published, doc_id, row_number() OVER (PARTITION BY published ORDER BY {MATQ} DESC, doc_id) AS i, list_distinct(list_filter(regexp_split_to_array(lt, '\\s+'), lambda w: length(w) > 3)) AS w FROM lb),
 kp AS (WITH RECURSIVE q(published, i, kept, ids) AS (SELECT DISTINCT published, CAST(0 AS BIGINT), CAST([] AS VARCHAR[][]), CAST([] AS BIGINT[]) FROM tw UNION ALL SELECT published, i, CASE WHEN clash THEN kept ELSE list_append(kept, w) END, CASE WHEN clash THEN ids ELSE list_append(ids, doc_id) END FROM
     (SELECT q.published, tw.i, q.kept, q.ids, tw.w, tw.doc_id, len(list_filter(q.kept, lambda k: len(list_intersect(k, tw.w)) / greatest(1, least(len(k), len(tw.w))) > 0.45)) > 0 AS clash FROM q JOIN tw ON tw.published = q.published AND tw.i = q.i + 1)) SELECT * FROM q)"""
-a("greedy_dedupe_story", "published:s doc_id:i", "SELECT published, unnest(ids) AS doc_id FROM (SELECT published, arg_max(ids, i) AS ids FROM kp GROUP BY published)", lambda x: X.dedupe_stories(x.withColumn("sc", mat()), ["published"], "sc"), GREEDY)
+reg("greedy_dedupe_story", "published:s doc_id:i", "articles", "SELECT published, unnest(ids) AS doc_id FROM (SELECT published, arg_max(ids, i) AS ids FROM kp GROUP BY published)",
+    lambda s, d: X.dedupe_stories(art(s, d, lambda x: x.select("doc_id", "published", "title", mat().alias("sc"))), ["published"], "sc"), BODY + ", " + GREEDY)
 FG = {"FINANCIAL": ("ering", "tion"), "OPERATIONAL": ("der", "ent"), "STRATEGIC": ("que", "aux")}
 reg("fact_extraction", "doc_id:i pos:i fact:s grp:s", "", None, lambda s, d: X.stated_facts(art(s, d).withColumn("o", c("doc_id")).withColumn("body2", F.regexp_replace("body", "#", " 5% ")), "doc_id", "body2", "o", FG, ("xqz",), "FINANCIAL").select("doc_id", "pos", "fact", "grp"))
 
